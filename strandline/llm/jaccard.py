@@ -36,8 +36,10 @@ from strandline.llm.hashing import mix, pieces, shingle_sets
 COMBINE = 1 << 21
 #: Shingles that one slice of a region's members holds on average.
 SLICE = 400_000
-#: Pivots of a region that are compared at once.
-BLOCK = 64
+#: Pivots of a region at its second level, and how many times more at each level below.
+PIVOTS, DEEPER = 256, 8
+#: Shingles that the pivots of one block hold, about.
+BLOCK = 1 << 20
 #: Bits of the filter that says which documents are still of interest; a fixed size, however large the input.
 FILTER_BITS = 1 << 24
 
@@ -248,7 +250,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     placed = cut(_joined(rows, percent, True))
     edges = placed.where("near").select(F.col("sig").alias("a"), F.col("pivot").alias("b"))
 
-    used, most = None, BLOCK
+    used, most = None, PIVOTS
     while True:
         comps = cut(connected_components(edges))
         of = comps.select(F.col("node").alias("sig"), F.col("component").alias("comp"))
@@ -256,8 +258,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         known = placed.join(of, "sig", "left").select("region", "sig", "n", "d", F.coalesce("comp", "sig").alias("comp"))
         outside = known.join(heads, "region").where("comp <> head")
         fresh = outside.join(used, ["region", "sig"], "left_anti") if used is not None else outside
-        order = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("sig"), "sig"))
-        chosen = cut(fresh.withColumn("rank", order).where(F.col("rank") <= most).withColumn("cell", F.expr(f"cast((rank - 1) div {BLOCK} as int)")))
+        order = Window.partitionBy("region").orderBy(F.xxhash64("sig"), "sig")
+        ranked = fresh.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+        held = F.sum(F.col("n").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        chosen = cut(ranked.withColumn("cell", F.floor(F.coalesce(held, F.lit(0)) / BLOCK).cast("int")))
         if chosen.isEmpty():
             break
         width = 1 - percent / 100 + 1e-9
@@ -271,7 +275,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         more = cut(_joined(rows, percent, False).select(F.col("sig").alias("a"), F.col("pivot").alias("b")))
         done = chosen.select("region", "sig")
         used = cut(used.union(done) if used is not None else done)
-        edges, most = edges.union(more), most * 4
+        edges, most = edges.union(more), most * DEEPER
 
     named = classes.join(comps, classes.sig == comps.node, "left").select("sig", "doc", F.coalesce("component", "sig").alias("component"))
     names = named.groupBy("component").agg(F.min("doc").alias("component_id"))
