@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from strandline.llm import decontaminate, jaccard, language, mixing, sharding
+from strandline.llm import chat, decontaminate, jaccard, language, licenses, mixing, quality, secrets, sharding, urls
 
-MODULES = (sharding, decontaminate, mixing, jaccard, language)
+MODULES = (sharding, decontaminate, chat, secrets, licenses, mixing, jaccard, language, urls, quality)
 
 
 def queries() -> dict:
