@@ -7,20 +7,25 @@ from pyspark.sql import functions as F
 
 from strandline.operators import intervals
 
-LINE = Window.partitionBy("accession").orderBy("idx")
-ALL = Window.partitionBy("accession")
+
+def _line():
+    return Window.partitionBy("accession").orderBy("idx")
+
+
+def _all():
+    return Window.partitionBy("accession")
 
 
 def _edges(width: int) -> Column:
     """True where the frame of ``width`` rows is not whole, or the track no longer than it: the row stays as it is."""
-    half, n = width // 2, F.count("*").over(ALL)
+    half, n = width // 2, F.count("*").over(_all())
     return (F.col("idx") < half) | (F.col("idx") >= n - half) | (n <= width) | F.lit(width <= 1)
 
 
 def smooth_median(track: DataFrame, width: int) -> DataFrame:
     """``smoothed``: the running median (of an even frame the upper middle value), edges untouched."""
     half = width // 2
-    frame = LINE.rowsBetween(-half, width - half - 1)
+    frame = _line().rowsBetween(-half, width - half - 1)
     middle = F.get(F.sort_array(F.collect_list("score").over(frame)), F.lit(width // 2))
     return track.withColumn("smoothed", F.when(_edges(width), F.col("score")).otherwise(middle))
 
@@ -29,13 +34,13 @@ def alien(track: DataFrame, width: int) -> DataFrame:
     """``alien``: whether the running median is below 0, by a moving count of negative scores instead of sorting frames."""
     half = width // 2
     below = (F.col("score") < 0).cast("int")
-    many = F.sum(below).over(LINE.rowsBetween(-half, width - half - 1)) >= width // 2 + 1
+    many = F.sum(below).over(_line().rowsBetween(-half, width - half - 1)) >= width // 2 + 1
     return track.withColumn("alien", F.when(_edges(width), F.col("score") < 0).otherwise(many))
 
 
 def runs(flags: DataFrame, flag: str = "alien") -> DataFrame:
     """Maximal runs of set rows as (accession, first, last)."""
-    rows = flags.where(flag).withColumn("g", F.col("idx") - F.row_number().over(LINE))
+    rows = flags.where(flag).withColumn("g", F.col("idx") - F.row_number().over(_line()))
     return rows.groupBy("accession", "g").agg(F.min("idx").alias("first"), F.max("idx").alias("last")).drop("g")
 
 
@@ -54,22 +59,22 @@ def islands(track: DataFrame, width: int, w: int, dw: int, gap: int, least: int,
 
 def smooth5(track: DataFrame) -> DataFrame:
     """Running median of five rows, ends replicated."""
-    first, last = F.first("score").over(LINE.rowsBetween(Window.unboundedPreceding, 0)), F.last("score").over(LINE.rowsBetween(0, Window.unboundedFollowing))
-    near = [F.coalesce(F.lag("score", k).over(LINE), first) for k in (2, 1)] + [F.col("score")] + [F.coalesce(F.lead("score", k).over(LINE), last) for k in (1, 2)]
+    first, last = F.first("score").over(_line().rowsBetween(Window.unboundedPreceding, 0)), F.last("score").over(_line().rowsBetween(0, Window.unboundedFollowing))
+    near = [F.coalesce(F.lag("score", k).over(_line()), first) for k in (2, 1)] + [F.col("score")] + [F.coalesce(F.lead("score", k).over(_line()), last) for k in (1, 2)]
     return track.withColumn("smoothed", F.get(F.sort_array(F.array(*near)), F.lit(2)))
 
 
 def detrend(track: DataFrame, width: int) -> DataFrame:
     """``detrended``: the score less its running median with replicated ends; less the whole median if the frame does not fit."""
     half = width // 2
-    first, last = F.first("score").over(ALL.orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last("score").over(ALL.orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    n = F.count("*").over(ALL)
-    got = F.collect_list("score").over(LINE.rowsBetween(-half, width - half - 1))
+    first, last = F.first("score").over(_all().orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last("score").over(_all().orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    n = F.count("*").over(_all())
+    got = F.collect_list("score").over(_line().rowsBetween(-half, width - half - 1))
     before = F.greatest(F.lit(0), half - F.col("idx")).cast("int")
     after = F.greatest(F.lit(0), F.col("idx") + (width - half) - n).cast("int")
     frame = F.concat(F.array_repeat(first, before), got, F.array_repeat(last, after))
     local = F.get(F.sort_array(frame), F.lit(width // 2))
-    whole = F.median("score").over(ALL)
+    whole = F.median("score").over(_all())
     return track.withColumn("detrended", F.col("score") - F.when((n <= width) | F.lit(width < 3), whole).otherwise(local))
 
 
