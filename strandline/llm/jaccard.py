@@ -255,7 +255,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         comps = cut(connected_components(edges))
         of = comps.select(F.col("node").alias("sig"), F.col("component").alias("comp"))
         heads = placed.select("region").distinct().join(comps, F.col("region") == F.col("node"), "left").select("region", F.coalesce("component", "region").alias("head"))
-        known = placed.join(of, "sig", "left").select("region", "sig", "n", "d", F.coalesce("comp", "sig").alias("comp"))
+        known = cut(placed.join(of, "sig", "left").select("region", "sig", "n", "d", F.coalesce("comp", "sig").alias("comp")))
         outside = known.join(heads, "region").where("comp <> head")
         fresh = outside.join(used, ["region", "sig"], "left_anti") if used is not None else outside
         order = Window.partitionBy("region").orderBy(F.xxhash64("sig"), "sig")
