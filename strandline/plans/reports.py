@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
 from strandline.operators import evaluate, intervals, synthetic, tracks
-from strandline.plans.catalogue import _PARTS, _RUNS, _SEQ, _TILES, GAP, LEAST, SPAN, WIDTH, parts, r6, read, sequences, tiles, track
+from strandline.plans.catalogue import _K, _PARTS, _RUNS, _SEQ, _TILES, GAP, LEAST, SPAN, WIDTH, parts, r6, read, sequences, tiles, track
 from strandline.sources import genomes
 
 METHODS, TILE, NEED, EDGE, FLANK = 3, 10, 2, 40, 15
@@ -273,7 +273,9 @@ def q_protein_table(spark, d):
     return genomes.protein_table(heads.union(rows))
 
 
-@query("q_comp_distance", None)
+@query("q_comp_distance", f"""WITH {_K(4)}, n AS (SELECT lang, kmer, count(*) AS n FROM ok JOIN documents USING (doc_id) WHERE lang IN ('en', 'de') GROUP BY ALL), f AS (SELECT lang, kmer, n / sum(n) OVER (PARTITION BY lang) AS f FROM n),
+p AS (SELECT kmer, coalesce(max(f) FILTER (WHERE lang = 'en'), 0) AS x, coalesce(max(f) FILTER (WHERE lang = 'de'), 0) AS y FROM f GROUP BY kmer)
+SELECT 'en' AS a, 'de' AS b, round(sqrt(sum((x - y) ** 2)), 9) AS euclidean, round(sum(abs(x - y)), 9) AS manhattan, round(1 - sum(x * y) / (sqrt(sum(x ** 2)) * sqrt(sum(y ** 2)) + 1e-12), 9) AS cosine FROM p""")
 def q_comp_distance(spark, d):
     """Distances of the tetranucleotide profiles of two languages' documents."""
     lang = read(spark, d, "documents").select("doc_id", "lang").where("lang is not null")
