@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut, table
+from strandline.llm.common import cut, lean, table
 from strandline.llm.components import connected_components
 from strandline.llm.hashing import mix, pieces, shingle_sets
 
@@ -63,7 +63,7 @@ def _sizes(k: int):
                 sets = shingle_sets(f.text.iloc[low:high].tolist(), k)
                 yield pd.DataFrame({"doc_id": f.doc_id.iloc[low:high].to_numpy(), "n_shingles": [len(s) for s in sets], "sig": [_signature(s) for s in sets]})
 
-    return run
+    return lean(run)
 
 
 def _first_shingles(k: int, percent: int, rest: int):
@@ -99,7 +99,7 @@ def _first_shingles(k: int, percent: int, rest: int):
         if sets:
             yield from flush(sets)
 
-    return run
+    return lean(run)
 
 
 def _kept_sets(k: int, bits):
@@ -113,9 +113,10 @@ def _kept_sets(k: int, bits):
                 sets = [s for s in shingle_sets(f.text.iloc[low:high].tolist(), k) if len(s)]
                 yield pd.DataFrame({"sig": [_signature(s) for s in sets], "n": [len(s) for s in sets], "tokens": sets})
 
-    return run
+    return lean(run)
 
 
+@lean
 def _marked(ids):
     """The filter's bytes that a partition's ids set, as (byte, value)."""
     held = np.zeros(FILTER_BITS >> 3, np.uint8)
@@ -186,7 +187,7 @@ def _compare(percent: int, all_distances: bool):
             if out:
                 yield pd.DataFrame(out, columns=["region", "sig", "n", "d", "near", "pivot"])
 
-    return run
+    return lean(run)
 
 
 _ROW = ["region", "part", "cell", "kind", "sig", "n", "d", "comp", "tokens"]

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import free_name, table
+from strandline.llm.common import free_name, lean, table
 from strandline.llm.hashing import pieces
 
 #: N-grams in a profile; the longest n-gram.
@@ -46,6 +46,7 @@ def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([c[c > 0], two + (1 << 20), three[c[1:-1] > 0] + (1 << 21)]), return_counts=True)
 
 
+@lean
 def _counts(frames):
     """(lang, gram, n) of a task's texts, combined as they come."""
     held: dict = {}
@@ -109,7 +110,7 @@ def _predict(profiles: list[tuple[str, int, int]], length: int, input_column: st
                 got = [one(t) for t in part[input_column]]
                 yield part.drop(columns=input_column).assign(lang_pred=[g[0] for g in got], score=[g[1] for g in got], margin=[g[2] for g in got])
 
-    return run
+    return lean(run)
 
 
 def identify(docs: DataFrame, profiles: list[tuple[str, int, int]], keep: list[str], length: int = PROFILE) -> DataFrame:
