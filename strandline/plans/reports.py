@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
 from strandline.operators import evaluate, intervals, synthetic, tracks
-from strandline.plans.catalogue import _K, _PARTS, _RUNS, _SEQ, _TILES, GAP, LEAST, SPAN, WIDTH, parts, r6, read, sequences, tiles, track
+from strandline.plans.catalogue import _CV, _cv, _K, _PARTS, _RUNS, _SEQ, _TILES, GAP, LEAST, SPAN, WIDTH, parts, r6, read, sequences, tiles, track
 from strandline.sources import genomes
 
 METHODS, TILE, NEED, EDGE, FLANK = 3, 10, 2, 40, 15
@@ -285,6 +285,40 @@ def q_comp_distance(spark, d):
     return S.profile_distances(f, "en", "de").select("a", "b", *[F.round(c, 9).alias(c) for c in ("euclidean", "manhattan", "cosine")])
 
 
+@query("q_report_familiarity", f"WITH {_MC} SELECT method, count(*) FILTER (WHERE accession % 3 = 0) AS n_in, round(avg(f1) FILTER (WHERE accession % 3 = 0), 6) AS f1_in, round(avg(f1) FILTER (WHERE accession % 3 <> 0), 6) AS f1_out FROM f GROUP BY method")
+def q_report_familiarity(spark, d):
+    """Mean F1 of the sequences that a flag sets apart, and of the others."""
+    known = F.col("accession") % 3 == 0
+    return _rates(spark, d).groupBy("method").agg(F.sum(known.cast("long")).alias("n_in"), r6(F.avg(F.when(known, F.col("f1"))), "f1_in"), r6(F.avg(F.when(~known, F.col("f1"))), "f1_out"))
+
+
+@query("q_report_detection", f"WITH {_MB}, m AS (SELECT method, quantile_cont(te - ts + 1, 0.5) AS m FROM best GROUP BY method) SELECT method, CAST(te - ts + 1 > m AS INTEGER) AS half, count(*) AS n, round(avg(CASE WHEN ps IS NULL THEN 0.0 ELSE 100.0 END), 6) AS detection_rate FROM best JOIN m USING (method) GROUP BY ALL")
+def q_report_detection(spark, d):
+    """Detection rates of the shorter and the longer half of the positive intervals."""
+    found = _matches(spark, d).withColumn("size", F.col("te") - F.col("ts") + 1)
+    return evaluate.halves(found, "size", ["method"]).groupBy("method", "half").agg(F.count("*").alias("n"), r6(100 * F.avg(F.col("matched").cast("int")), "detection_rate"))
+
+
+@query("q_report_cases", f"""WITH {_MC}, {_MB.removeprefix(_MI + ", ")}, np AS (SELECT accession, method, count(*) FILTER (WHERE role = 'pred') AS n_pred FROM mi GROUP BY ALL),
+e AS (SELECT accession, method, unnest([abs(ps - ts), abs(pe - te)]) AS err FROM best WHERE ps IS NOT NULL), eb AS (SELECT accession, method, CAST(median(err) AS DOUBLE) AS mabe FROM e GROUP BY ALL), nm AS (SELECT accession, method, count(ps) AS n_matched FROM best GROUP BY ALL)
+SELECT accession, method, n_pred, tp, fp, round(f.p, 6) AS precision, round(f.r, 6) AS recall, round(f1, 6) AS f1, n_matched, mabe FROM f JOIN np USING (accession, method) LEFT JOIN nm USING (accession, method) LEFT JOIN eb USING (accession, method)""")
+def q_report_cases(spark, d):
+    """Each sequence and method: how many intervals are predicted, with what rates and boundary errors."""
+    n = method_intervals(spark, d).groupBy(*BY).agg(F.sum((F.col("role") == "pred").cast("long")).alias("n_pred"))
+    edges = evaluate.boundary_summary(_matches(spark, d), BY).select(*BY, "n_matched", "mabe")
+    rows = _rates(spark, d).join(n, BY).join(edges, BY, "left")
+    return rows.select(*BY, "n_pred", F.col("TP").alias("tp"), F.col("FP").alias("fp"), *[r6(F.col(c), c) for c in ("precision", "recall", "f1")], "n_matched", "mabe")
+
+
+@query("q_report_cv", f'WITH {_CV}, i AS (SELECT config, avg(v) AS m FROM s GROUP BY config ORDER BY round(avg(v), 9) DESC, config LIMIT 1), t AS (SELECT o AS "out", config, avg(v) AS tm FROM s, (SELECT unnest(range(0, 5)) AS o) WHERE fold <> o GROUP BY ALL), b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY "out" ORDER BY round(tm, 9) DESC, config) = 1), h AS (SELECT b."out", avg(s.v) AS m FROM b JOIN s ON s.fold = b."out" AND s.config = b.config GROUP BY 1) SELECT config, round(m, 6) AS in_sample, (SELECT round(avg(h.m), 6) FROM h) AS held_out FROM i')
+def q_report_cv(spark, d):
+    """The configuration chosen on all units with its mean, and the mean over folds of what was chosen without them."""
+    scores = _cv(spark, d)
+    chosen = evaluate.best_config(scores.groupBy("config").agg(F.avg("v").alias("m")), F.round("m", 9), ["config"])
+    held = evaluate.cross_validate(scores, ["config"], "unit", "v", 5).agg(r6(F.avg("held_out_mean"), "held_out"))
+    return chosen.select("config", r6(F.col("m"), "in_sample")).crossJoin(F.broadcast(held))  # one row
+
+
 def queries() -> dict:
     return dict(Q)
 
