@@ -171,6 +171,23 @@ def test_leaks_are_found(spark, hard, empty):
     assert decontaminate.common_subsequence([1, 2, 3, 4], [9, 1, 3, 9, 4]) == 3
 
 
+@pytest.mark.parametrize("n", [99, 240])
+def test_leaks_of_an_item_in_many_documents(spark, n):
+    rng = random.Random(12)
+    items = [(i, prose(rng, m, 900)) for i, m in enumerate((16, 48))]
+    docs, want = [], set()
+    for i in range(n):
+        w = prose(rng, 200, 900).split()
+        if i % 5 < 2:  # the same two passages in two fifths of all documents
+            w[40:40] = [*items[0][1].split(), *prose(rng, 60, 900).split(), *items[1][1].split()]
+            want |= {(i, 0), (i, 1)}
+        docs.append((i, " ".join(w)))
+    docs += [(n + i, docs[0][1]) for i in range(n // 5)]
+    want |= {(n + i, k) for i in range(n // 5) for k in (0, 1)}
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+
+
 def test_chat_round_trip(spark):
     texts = ["<|im_end|><|im_start|>assistant ok", "a & b &lt;| c &amp;", None, ""]
     rows = [(1, i, r, t) for i, (r, t) in enumerate(zip(("user", "assistant", "a\nb", "assistant"), texts, strict=True))]
