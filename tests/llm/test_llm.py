@@ -188,6 +188,14 @@ def test_leaks_of_an_item_in_many_documents(spark, n):
     assert {(r.doc_id, r.item_id) for r in got} == want
 
 
+def test_leaks_of_long_items(spark):
+    rng = random.Random(13)
+    items = [(0, prose(rng, 500, 9000)), (1, prose(rng, 97, 9000)), (2, prose(rng, 1500, 9000))]
+    docs = [(i, f"{prose(rng, 300, 9000)} {items[i % 3][1] if i < 6 else ''} {prose(rng, 300, 9000)}") for i in range(30)]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.common) for r in got} == {(i, i % 3, len(items[i % 3][1].split())) for i in range(6)}
+
+
 def test_chat_round_trip(spark):
     texts = ["<|im_end|><|im_start|>assistant ok", "a & b &lt;| c &amp;", None, ""]
     rows = [(1, i, r, t) for i, (r, t) in enumerate(zip(("user", "assistant", "a\nb", "assistant"), texts, strict=True))]
