@@ -3,17 +3,24 @@
 Each line of a text, and the text as a whole, is a unit. A template is compared
 with the units that are neither too short nor too long for the threshold:
 2 * common / (a + b) >= t needs min(a, b) / max(a, b) >= t / (2 - t).
+Runs of words from any word on, across line ends and of the same sizes, are
+units too: so a notice within a line, or over several, and a licence's own text
+are found. Only runs between two bigrams of a template need comparing.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import table
+from strandline.llm.common import lean, table
+from strandline.llm.hashing import mix, pieces, word_hashes
 
 #: Notices by which texts state their licence.
 TEMPLATES = {
@@ -27,6 +34,36 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
 }
+#: Headers of files and parts of licences' own texts, compared with runs of words only.
+BODIES = [
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+        with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
+        applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+        WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+        permissions and limitations under the License."""),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+        list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" """),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+        list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+        3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+        derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS
+        AND CONTRIBUTORS "AS IS" """),
+    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
+        as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
+    ("GPL-3.0", """The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most
+        software and other practical works are designed to take away your freedom to share and change the works. By contrast, the
+        GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make
+        sure it remains free software for all its users."""),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+        files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
+        modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+        Software is furnished to do so, subject to the following conditions:"""),
+]
 THRESHOLD = 0.8
 #: Templates stand in the plan as constants; a longer list raises an error.
 MOST_TEMPLATES = 256
@@ -56,13 +93,131 @@ def _own_bigrams(text: str) -> list[str]:
     return sorted({" ".join(p) for p in zip(w, w[1:])} or set(w))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+#: What normal() leaves, in bytes, after lower case.
+_BYTES = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789\n" else 32 for c in range(256))
+
+
+def _dice(a: set, b: set) -> float:
+    return 2 * len(a & b) / (len(a) + len(b))
+
+
+class Runs:
+    """Templates as sets of word bigrams, to be found in runs of words: ``named`` has (license, bigrams), ``lines`` those that lines are compared with."""
+
+    def __init__(self, named: list, lines: list, threshold: float):
+        self.named, self.lines, self.threshold, self.ratio = named, lines, threshold, threshold / (2 - threshold)
+        known = sorted(set().union(*(b for _, b in named)))
+        h, at = word_hashes(known)
+        code = self.code(h)[at[:-1]]
+        order = np.argsort(code)
+        self.codes = code[order]
+        self.member = np.array([[known[k] in b for k in order] for _, b in named])
+
+    @staticmethod
+    def code(h: np.ndarray) -> np.ndarray:
+        """Of each word with the next one."""
+        return mix(h * np.uint64(3) + mix(np.append(h[1:], h[:1])))
+
+    def bounds(self, k: int) -> tuple[int, int]:
+        """Least common bigrams, and most bigrams, of a run that template ``k`` may fit."""
+        m = len(self.named[k][1])
+        return max(1, math.ceil(m * self.ratio - 1e-9)), math.floor(m / self.ratio + 1e-9)
+
+    def found(self, texts: list) -> list:
+        """(text, line, license, dice) of the runs in ``texts``, which are normalised."""
+        h, at = word_hashes(texts)
+        if len(h) < 2:
+            return []
+        g = self.code(h)
+        place = np.minimum(np.searchsorted(self.codes, g), len(self.codes) - 1)
+        real = self.codes[place] == g
+        real[at[1:][at[1:] > 0] - 1] = False  # a text's last word has no next one
+        hit = np.flatnonzero(real)
+        text = np.searchsorted(at, hit, "right") - 1
+        wanted: dict = {}
+        for k, member in enumerate(self.member):
+            least, most = self.bounds(k)
+            own = member[place[hit]]
+            p, t = hit[own], text[own]
+            n = max(0, len(p) - least + 1)
+            ok = np.flatnonzero((p[least - 1 :][:n] - p[:n] < most) & (t[least - 1 :][:n] == t[:n]))
+            for i in ok:
+                wanted.setdefault(int(t[i]), {}).setdefault(k, []).append(int(p[i] - at[t[i]]))
+        return [(t, *row) for t, starts in wanted.items() for row in self.of_text(texts[t], starts)]
+
+    def of_text(self, text: str, starts: dict) -> list:
+        lines = [x.split() for x in text.split("\n")]
+        w = [x for line in lines for x in line]
+        pairs = [f"{a} {b}" for a, b in zip(w, w[1:])]
+        runs = []
+        for k, places in starts.items():
+            name, own = self.named[k]
+            _, most = self.bounds(k)
+            for i in places:
+                all_, common, best = set(), set(), (0.0, 0, 0)
+                for j in range(i, min(len(pairs), i + most)):
+                    all_.add(pairs[j])
+                    if pairs[j] in own:
+                        common.add(pairs[j])
+                        best = max(best, (2 * len(common) / (len(all_) + len(own)), len(common), -j))
+                if best[0] >= self.threshold:
+                    runs.append((-best[1], -best[0], name, i, -best[2] + 1))
+        first = [0]  # word that each line begins with
+        for line in lines:
+            first.append(first[-1] + len(line))
+        taken, out = [], []
+        for n, dice, name, low, high in sorted(runs):  # words low to high
+            if any(low <= b and a <= high for a, b in taken):
+                continue
+            taken.append((low, high))
+            line = bisect_left(first, low + 1) - 1
+            within = [(first[j], x) for j, x in enumerate(lines) if first[j] <= high and first[j + 1] > low]
+            if not any(self.covers(set(zip(x, x[1:])), -n) for _, x in [*within, (0, w)]):
+                out.append((line + 1, name, -dice))
+        return out
+
+    def covers(self, pairs: set, n: int) -> bool:
+        """Whether a line or whole text is found as such, with ``n`` bigrams of its template or more."""
+        pairs = {" ".join(p) for p in pairs}
+        return any(len(pairs & b) >= n and _dice(pairs, b) >= self.threshold for b in self.lines)
+
+
+def _find_runs(runs: Runs):
+    def run(frames):
+        for f in frames:
+            ids, out = f.doc_id.to_numpy(), []
+            for low, high in pieces(f.text.tolist()):
+                texts = [t.encode("utf-8", "surrogatepass").translate(_BYTES).decode("ascii") for t in f.text.iloc[low:high]]
+                out += [(ids[low + t], *row) for t, *row in runs.found(texts)]
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "unit", "license", "dice"])
+
+    return lean(run)
+
+
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, bodies: list = BODIES) -> DataFrame:
     """doc_id, unit, license, dice for every unit (0: whole text, 1 on: lines) that a template fits.
 
     A unit has the template of the largest coefficient, of several the first by
     name. Null, empty and blank texts, and blank lines, fit none; repeated rows
-    give repeated rows; a text of one line is one unit, 1.
+    give repeated rows; a text of one line is one unit, 1. A run of words that a
+    template or one of ``bodies`` fits, and of which no unit tells as much, has
+    the line in which it begins as its unit; of overlapping runs that with the
+    most bigrams in common counts.
     """
+    return _scan_units(docs, templates, threshold).unionByName(_scan_runs(docs, templates, threshold, bodies))
+
+
+def _scan_runs(docs: DataFrame, templates: dict[str, str], threshold: float, bodies: list) -> DataFrame:
+    own = {n: set(_own_bigrams(t)) for n, t in templates.items()}
+    named = [(n, b) for n, b in own.items()] + [(n, set(_own_bigrams(t))) for n, t in bodies]
+    # ids as strings, as pandas would make floats of longs with nulls
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).where("text is not null")
+    found = rows.mapInPandas(_find_runs(Runs(named, list(own.values()), threshold)), "doc_id string, unit int, license string, dice double")
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "unit", "license", F.round("dice", 6).alias("dice"))
+
+
+def _scan_units(docs: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
     if not 0 < len(templates) <= MOST_TEMPLATES:
         raise ValueError(f"1 to {MOST_TEMPLATES} templates")
     sets = {name: _own_bigrams(t) for name, t in templates.items()}

@@ -242,6 +242,17 @@ def test_licenses(spark, hard, empty):
     assert licenses.scan(hard).count() == 0 and licenses.scan(empty).count() == 0
 
 
+def test_licenses_in_runs_of_words(spark):
+    rng = random.Random(14)
+    p = prose(rng, 80)
+    mit, bsd, apache = (next(t for n, t in licenses.BODIES if n == x) for x in ("MIT", "BSD-3-Clause", "Apache-2.0"))
+    texts = ["Copyright 2020 X. Released under the MIT License. See LICENSE for details.", f"{p}\n{p} This work is licensed under the\nGNU Lesser General Public License, version 3. {p}", f"{p}\n{mit}\n{p}", f"{p} {bsd} {p}"]
+    texts += [f"{p}\n" + apache.replace("implied", "IMPLIED").replace(" ", "\n"), f"{p} released under the sun {p}", f"{p}\nReleased under the MIT License.\n{p}"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.license) for r in got} == {(0, "MIT"), (1, "LGPL-3.0"), (2, "MIT"), (3, "BSD-3-Clause"), (4, "Apache-2.0"), (6, "MIT")}
+    assert len(got) == 6 and {r.unit for r in got if r.doc_id in (0, 1, 6)} == {1, 2}
+
+
 def test_secrets(spark, hard, empty):
     rng = random.Random(8)
     key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
