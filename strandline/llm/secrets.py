@@ -1,9 +1,9 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are runs of key characters. Their features: length, the share of
-places where the class of character changes, the share of letters in words of
-the corpus's own dictionary, whether they stand in a path or address, and the
-words before them. The forest is fitted on labelled findings.
+Candidates are runs of key characters, and whatever follows an announcing word
+and = or :. Their features: length, the share of places where the class of
+character changes, the share of common letter pairs (in place of words of a
+dictionary), whether they stand in a path or address, and the words before them. The forest is fitted on labelled findings.
 """
 
 from __future__ import annotations
@@ -18,11 +18,15 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import SPACE, cut, table
 
-#: A candidate: a run of key characters within a word; a digit must be among them.
+#: A candidate: a run of key characters within a word.
 RUN = r"[A-Za-z0-9+/_=.-]{12,}"
 #: Words that announce a secret, and starts that public services give their keys.
 NAMES = "token|secret|password|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|credential|bearer"
 STARTS = "AKIA|ASIA|ghp_|gho_|github_pat_|sk-|sk_live_|xox[abp]-|AIza|eyJ|glpat-"
+#: A name with what assigns to it; what a value is after that, quoted or not; words that a quoted value is looked for in.
+GIVEN = rf"(?i)(?:{NAMES})[^\s=:]{{0,12}}\s*[=:]+\s*"
+VALUES = [r"^\"([^\"]+)\"", r"^'([^']+)'", r"^`([^`]+)`", r"^[\"'`]?(\S*?)[\"'`,;.)\]}]*(?:\s|$)"]
+VALUE_WORDS = 16
 #: Letter pairs common in European words, for the share of a candidate that reads as words.
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|ei|ch|ie|ge|un|la|el|os|ue|qu|ai|au|eu|il|ur|ns|ta|li|us|em"
 FEATURES = ["length", "digits", "upper", "transitions", "dictionary", "pathlike", "named", "assigned", "quoted", "known_start", "distinct"]
@@ -38,13 +42,27 @@ def candidates(docs: DataFrame) -> DataFrame:
     it in its own. Null and empty texts have none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(F.col("text").cast("string"), SPACE).alias("w"))
-    has = lambda x: (F.length(x) >= 12) & x.rlike("[0-9]") & x.rlike(RUN)
     word = lambda i: F.coalesce(F.get("w", i), F.lit(""))
-    hits = F.transform("w", lambda x, i: F.when(has(x), F.struct(i.alias("nth"), F.concat_ws(" ", word(i - 2), word(i - 1), F.lit("")).alias("near"), x.alias("word"))))
-    rows = rows.select("doc_id", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
-    rows = rows.select("doc_id", "h.nth", "h.near", "h.word", F.posexplode(F.regexp_extract_all("h.word", F.lit(f"({RUN})"))).alias("part", "found"))
-    before = F.concat("near", F.expr("substring(word, 1, locate(found, word) - 1)"))
-    return rows.where(F.col("found").rlike("[0-9]")).select("doc_id", "nth", "part", before.alias("before"), "found")
+    near = lambda i: F.concat_ws(" ", word(i - 2), word(i - 1), F.lit(""))
+    has = lambda x: (F.length(x) >= 12) & x.rlike(RUN)
+    given = lambda x, i: (x.rlike("[=:].") | word(i - 1).rlike("[=:]$")) & F.concat(near(i), x).rlike(f"(?i)({NAMES})")
+    ahead = lambda x, i: F.when(given(x, i), F.array_join(F.slice("w", i + 1, VALUE_WORDS), " "))
+    hits = F.transform("w", lambda x, i: F.when(has(x) | given(x, i), F.struct(i.alias("nth"), near(i).alias("near"), x.alias("word"), ahead(x, i).alias("ahead"))))
+    rows = rows.select("doc_id", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")).select("doc_id", "h.*")
+    # what of the word assigns: nothing, if the words before do, else its start
+    own = F.regexp_extract("word", rf"^(\S*?{GIVEN})\S", 1)
+    lead = F.when(F.col("near").rlike(GIVEN + "$"), "").when(own != "", own).when(F.col("near").rlike(rf"(?i)({NAMES})[^\s=:]{{0,12}}\s$"), F.nullif(F.regexp_extract("word", r"^([=:]+)\S", 1), F.lit("")))
+    rows = rows.withColumn("lead", F.when(~F.col("word").rlike("^[=:]+$"), lead))
+    rows = rows.withColumn("rest", F.expr("substring(ahead, length(lead) + 1)"))
+    value = F.coalesce(*[F.nullif(F.regexp_extract("rest", v, 1), F.lit("")) for v in VALUES])
+    rows = rows.withColumn("value", value).withColumn("runs", F.regexp_extract_all("word", F.lit(f"({RUN})")))
+    stands = F.concat("near", "lead", F.regexp_extract("rest", "^[\"'`]?", 0))
+    found = F.transform("runs", lambda x, k: F.struct(k.alias("part"), x.alias("found"), F.lit(None).cast("string").alias("stands")))
+    # a value that is a run is that run; any other is numbered after the word's runs
+    new = F.when(F.col("value").isNotNull() & ~F.array_contains("runs", F.col("value")), F.array(F.struct(F.size("runs").alias("part"), F.col("value").alias("found"), stands.alias("stands"))))
+    rows = rows.select("doc_id", "nth", "near", "word", F.explode(F.concat(found, F.coalesce(new, F.slice(found, 1, 0)))).alias("f")).select("doc_id", "nth", "near", "word", "f.*")
+    before = F.coalesce("stands", F.concat("near", F.expr("substring(word, 1, locate(found, word) - 1)")))
+    return rows.select("doc_id", "nth", "part", before.alias("before"), "found")
 
 
 def _count(c: Column, pattern: str) -> Column:

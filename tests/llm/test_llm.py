@@ -263,6 +263,13 @@ def test_secrets(spark, hard, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_secret_candidates_of_any_shape(spark):
+    texts = ['set password = "hunter2" now', "api_key: Ab3dE6gH9jK", "pwd='p@ss!w#r$d%'", "secret = abcdefghijklmnop", '{"token": "two words!"}', "password =x9 and", "key QwertyUiopAsdf", "see a: b and http://x.org"]
+    got = secrets.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.found) for r in got) == [(0, "hunter2"), (1, "Ab3dE6gH9jK"), (2, "p@ss!w#r$d%"), (3, "abcdefghijklmnop"), (4, "two words!"), (5, "x9"), (6, "QwertyUiopAsdf")]
+    assert next(r.before for r in got if r.doc_id == 0).endswith('password = "')
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     near = corpus_pipeline.drop_near_duplicates(spark, docs, DATA)
