@@ -151,7 +151,7 @@ def _runs(spark, d):
 
 for _name, _shift in (("start", 0), ("center", 30 // 2 - 10 // 2)):
 
-    @query(f"q_project_{_name}", f'WITH {_RUNS} SELECT accession, CAST(first * 10 + {_shift} AS BIGINT) AS start, CAST((last + 1) * 10 + {_shift} - 1 AS BIGINT) AS "end" FROM runs')
+    @query(f"q_project_narrow_{_name}", f'WITH {_RUNS} SELECT accession, CAST(first * 10 + {_shift} AS BIGINT) AS start, CAST((last + 1) * 10 + {_shift} - 1 AS BIGINT) AS "end" FROM runs')
     def q_project(spark, d, assign=_name):
         return tracks.project(_runs(spark, d), 30, 10, assign)
 
