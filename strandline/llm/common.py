@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set."""
+    """The folder that all executors share; where none is set a temporary one, if all run on this machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -36,6 +39,18 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def counted(df: DataFrame, *partition_by: str) -> tuple[DataFrame, int]:
+    """:func:`cut`, and the number of rows."""
+    out = cut(df, *partition_by)
+    return out, out.count()
+
+
+def few(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
+    """``df``, of about ``rows`` rows at most, in no more partitions than they are worth; nothing is shuffled for it."""
+    n = rows // each + 1
+    return df.coalesce(n) if n < n_partitions(df.sparkSession) else df
+
+
 def lean(run):
     """``run``, for mapInPandas, that gives freed memory back to the system at a task's end.
 
@@ -72,6 +87,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written with a number of its own for every row, equal rows too, in column ``name``."""
+    return cut(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def ranged(df: DataFrame, order: list, name: str = "_part") -> DataFrame:
     """``df`` written in ranges of ``order``, each numbered in column ``name``.
 

@@ -10,15 +10,22 @@ one. The join runs on distinct shingle sets (copies are one class):
    a third of all documents is one row for each task. Documents out of reach of
    all others are done.
 2. *Pivots.* Two neighbours share a shingle among each one's rarest (prefix
-   principle). Each such shingle names as pivot the least document that has it,
-   and a document stands in the regions of all pivots that its rarest shingles
-   name: so any two neighbours meet in a region.
-3. *Regions.* Each document's distance to its pivots is counted exactly. What
-   lies within the threshold is linked. Members outside the pivot's component
-   become the pivots of the next level, in blocks, against those members of
-   other components that lie in the triangle-inequality window around them. This
-   recurs until every region has either one component or no pivot left, so no
-   link between components is lost, and copies are never paired with each other.
+   principle). Each such shingle names as pivot the least document that has it.
+   The distance of a document to each pivot that its rarest shingles name is
+   counted exactly. The nearest one's region is its home, and it is repeated in
+   those of its other pivots as a boundary document: so any two neighbours meet
+   in a region. (Of pivots that a document shares no rare shingle with it lies
+   too far to meet anyone there; in this space nearly all pivots are at distance
+   1, so that homes alone, with windows of twice the threshold, would hold all
+   documents everywhere.)
+3. *Regions.* What lies within the threshold of a pivot is linked to it. Members
+   outside the pivot's component become the pivots of the next level. They stand
+   in cells by their distance, and a member goes to the cells that its
+   triangle-inequality window reaches, if any is of another component; only then
+   are shingles sent. This recurs until every region is out of pivots, so no link
+   between components is lost, and copies are never paired with each other.
+
+Links are contracted after each level: the next one knows components only.
 """
 
 from __future__ import annotations
@@ -28,18 +35,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut, lean, table
+from strandline.llm.common import counted, cut, few, lean, table
 from strandline.llm.components import connected_components
 from strandline.llm.hashing import mix, pieces, shingle_sets
 
 #: Shingles of documents that are combined at once in a task before they are shuffled.
 COMBINE = 1 << 21
-#: Shingles that one slice of a region's members holds on average.
-SLICE = 400_000
-#: Pivots of a region at its second level, and how many times more at each level below.
+#: Shingles that one slice of a cell's members holds on average.
+SLICE = 100_000
+#: Pivots of a region at its second level on average, and how many times more at each level below.
 PIVOTS, DEEPER = 256, 8
-#: Shingles that the pivots of one block hold, about.
+#: Shingles that the pivots of one block of a cell hold, about.
 BLOCK = 1 << 20
+#: Hash values that decide when a member becomes a pivot.
+TURNS = 1 << 30
 #: Bits of the filter that says which documents are still of interest; a fixed size, however large the input.
 FILTER_BITS = 1 << 24
 
@@ -135,83 +144,117 @@ def _filter(ids: DataFrame):
     return ids.sparkSession.sparkContext.broadcast(held)
 
 
-def _compare(percent: int, all_distances: bool):
-    """Members against the pivots of their block; rows come sorted, a block's pivots first."""
+_CELL = ["region", "cell", "part", "block"]
+_ROW = [*_CELL, "kind", "n", "d", "comp", "tokens"]
 
-    def index(block: list):
-        tokens = np.concatenate([b[2] for b in block])
-        who = np.repeat(np.arange(len(block)), [len(b[2]) for b in block])
+
+def _compare(percent: int):
+    """Links (a, b) of components, from members against the pivots of their block; rows come sorted, a block's pivots first."""
+
+    def index(pivots: list):
+        tokens = np.concatenate([p[3] for p in pivots])
+        who = np.repeat(np.arange(len(pivots)), [len(p[3]) for p in pivots])
         order = np.argsort(tokens, kind="stable")
         tokens, who = tokens[order], who[order]
         distinct, first = np.unique(tokens, return_index=True)
-        return distinct, np.append(first, len(tokens)), who, np.array([b[0] for b in block]), np.array([len(b[2]) for b in block]), np.array([b[1] for b in block]), np.array([b[3] for b in block])
+        return distinct, np.append(first, len(tokens)), who
 
-    def shared(look, tokens):
-        distinct, first, who, ids = look[:4]
+    def shared(look, tokens, n):
+        distinct, first, who = look
         at = np.searchsorted(distinct, tokens)
-        at = at[at < len(distinct)] if len(at) and at[-1] >= len(distinct) else at
+        at = at[: np.searchsorted(at, len(distinct))]
         hit = at[distinct[at] == tokens[: len(at)]]
-        if len(ids) == 1:
-            return np.array([len(hit)])
         counts = first[hit + 1] - first[hit]
         flat = np.repeat(first[hit] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-        return np.bincount(who[flat], minlength=len(ids))
+        return np.bincount(who[flat], minlength=n)
 
     def run(frames):
-        key, block, look = None, [], None
+        key, pivots, look, found = None, [], None, set()
         for f in frames:
-            out = []
-            for region, part, cell, kind, sig, n, d, comp, tokens in zip(f.region, f.part, f.cell, f.kind, f.sig, f.n, f.d, f.comp, f.tokens, strict=True):
-                if key != (region, part, cell):
-                    key, block, look = (region, part, cell), [], None
+            for *at, kind, n, d, comp, tokens in zip(*[f[c] for c in _ROW], strict=True):
+                if key != at:
+                    key, pivots, look = at, [], None
                 if kind == 0:
-                    block.append((sig, comp, np.asarray(tokens), d))
+                    pivots.append((n, d, comp, np.asarray(tokens)))
+                    continue
+                if not pivots:
                     continue
-                if not block:
+                if look is None:
+                    look, (sizes, ds, comps) = index(pivots), (np.array([p[i] for p in pivots]) for i in range(3))
+                maybe = (comps != comp) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)) & (np.abs(ds - d) <= 1 - percent / 100 + 1e-9)
+                if not maybe.any():
                     continue
-                look = look or index(block)
-                _, _, _, ids, sizes, comps, ds = look
-                if not all_distances:
-                    maybe = (comps != comp) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)) & (np.abs(ds - d) <= 1 - percent / 100 + 1e-9)
-                    if not maybe.any():
-                        continue
-                both = shared(look, np.asarray(tokens))
-                union = sizes + n - both
-                near = 100 * both >= percent * union
-                if all_distances:
-                    out.append((region, sig, n, 1 - both[0] / union[0], bool(near[0]), ids[0]))
-                else:
-                    near &= comps != comp
-                    for i in np.flatnonzero(near)[np.unique(comps[near], return_index=True)[1]]:
-                        out.append((region, sig, n, 0.0, True, ids[i]))
-            if out:
-                yield pd.DataFrame(out, columns=["region", "sig", "n", "d", "near", "pivot"])
+                both = shared(look, np.asarray(tokens), len(pivots))
+                near = maybe & (100 * both >= percent * (sizes + n - both))
+                found.update((comp, int(c)) for c in np.unique(comps[near]))
+            if len(found) > COMBINE >> 4:
+                yield pd.DataFrame(sorted(found), columns=["a", "b"])
+                found = set()
+        if found:
+            yield pd.DataFrame(sorted(found), columns=["a", "b"])
 
     return lean(run)
 
 
-_ROW = ["region", "part", "cell", "kind", "sig", "n", "d", "comp", "tokens"]
-
-
-def _joined(rows: DataFrame, percent: int, all_distances: bool) -> DataFrame:
-    rows = rows.select(*_ROW).repartition("region", "part", "cell").sortWithinPartitions("region", "part", "cell", "kind")
-    return rows.mapInPandas(_compare(percent, all_distances), "region long, sig long, n int, d double, near boolean, pivot long")
-
-
-def _keys(sets: DataFrame, percent: int, rest: int) -> DataFrame:
-    """(token, sig) of each set's rarest shared shingles, from those that come first in hash order."""
+def _places(sets: DataFrame, percent: int, rest: int) -> DataFrame:
+    """(region, sig, n): the pivots that each set's rarest shared shingles name, from those that come first in hash order."""
     n = F.col("n").cast("long")
     enough = F.expr(f"({percent} * cast(n as bigint) + 99) div 100")
     shared = F.greatest(F.lit(1), F.expr(f"cast(n as bigint) div {rest}"))
     least = F.greatest(F.lit(1), F.floor(enough / rest))
-    sized = sets.select("sig", "tokens", F.least(n, n - enough + shared).cast("int").alias("taken"), least.alias("least"))
-    rows = sized.select("sig", "taken", "least", F.explode(F.slice("tokens", F.lit(1), F.col("taken"))).alias("token"))
-    counts = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    sized = sets.select("sig", "n", "tokens", F.least(n, n - enough + shared).cast("int").alias("taken"), least.alias("least"))
+    rows = sized.select("sig", "n", "taken", "least", F.explode(F.slice("tokens", F.lit(1), F.col("taken"))).alias("token"))
+    counts = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("sig").alias("region")).where("df > 1")
     common = rows.join(counts, "token")
     by = Window.partitionBy("sig").orderBy("df", "token")
     whole = Window.partitionBy("sig")
     common = common.withColumns({"rank": F.row_number().over(by), "alone": F.col("taken") - F.count("*").over(whole)})
-    return common.where("alone + rank <= taken - least + 1").select("token", "sig")
+    return common.where("alone + rank <= taken - least + 1 and sig <> region").select("region", "sig", "n").distinct()
+
+
+def _with_tokens(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rows`` with the shingles of their ``sig``. A set stands in a few regions' slices and blocks, so no key of this join is hot."""
+    return rows.repartition("sig").join(sets.select("sig", "tokens").repartition("sig"), "sig")
+
+
+def _distances(places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``places`` with ``d``, the distance to the region's pivot, and ``near``; a region's members are dealt into slices, each with the pivot."""
+    sizes = places.groupBy("region").agg((F.floor(F.sum("n") / SLICE) + 1).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64(F.lit("part"), "sig"), F.col("parts")).cast("int").alias("part")
+    members = places.join(sizes, "region").select("region", part, F.lit(1).alias("kind"), "sig")
+    heads = sizes.select("region", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(0).alias("kind"), F.col("region").alias("sig"))
+    pivot = F.first("tokens").over(Window.partitionBy("region", "part").orderBy("kind").rowsBetween(Window.unboundedPreceding, 0))
+    rows = _with_tokens(members.union(heads), sets).repartition("region", "part").withColumn("pivot", pivot).where("kind = 1")
+    rows = rows.select("region", "sig", F.size("tokens").alias("n"), F.size("pivot").alias("pn"), F.size(F.array_intersect("tokens", "pivot")).alias("both"))
+    union = F.col("n") + F.col("pn") - F.col("both")
+    return rows.select("region", "sig", "n", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= percent * union).alias("near"))
+
+
+def _open_cells(known: DataFrame, most: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Of regions with members outside their pivot's component: members with ``turn`` (the region's pivots have hashes from ``done`` on below it), and cells."""
+    waits = known.where("comp <> head and h >= done")
+    turn = F.when(F.col("left") <= most, TURNS).otherwise(F.col("done") + F.ceil((TURNS - F.col("done")) * (most / F.col("left"))))
+    turns = few(waits.groupBy("region", "done").agg(F.count("*").alias("left")), rows).select("region", turn.cast("long").alias("turn"))
+    now = cut(few(known.join(turns, "region").withColumn("pivot", F.expr("comp <> head and h >= done and h < turn")), rows))
+    totals = few(now.groupBy("region", "cell").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("pivot"), F.col("n")).otherwise(0)).alias("pivots")), rows)
+    near = totals.select("region", F.explode(F.expr("sequence(cell - 1, cell + 1)")).alias("at"), "cell", "n", "pivots")
+    cells = near.groupBy("region", "at").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("at") == F.col("cell"), F.col("pivots")).otherwise(0)).alias("pivots"))
+    cells = cells.where("pivots > 0").select("region", F.col("at").alias("cell"), F.ceil(F.col("pivots") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / SLICE).cast("int").alias("parts"))
+    return now, cut(few(cells, rows))
+
+
+def _links(now: DataFrame, cells: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
+    """Links of components between the pivots of ``now`` and the members in their windows."""
+    number = lambda name, n: F.pmod(F.xxhash64(F.lit(name), "sig"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    slim = [c for c in _ROW if c != "tokens"]
+    pivots = now.where("pivot").join(cells, ["region", "cell"]).withColumns({"block": number("block", "blocks"), "part": every("parts"), "kind": F.lit(0)})
+    reached = cells.withColumn("at", F.explode(F.expr("sequence(cell - 1, cell + 1)"))).withColumnRenamed("cell", "of")
+    members = now.join(reached, (now.region == reached.region) & (now.cell == reached["at"])).select(now.region, F.col("of").alias("cell"), "sig", "n", "d", "comp", number("part", "parts").alias("part"), "blocks")
+    members = members.withColumns({"block": every("blocks"), "kind": F.lit(1)})
+    rows_ = _with_tokens(few(members.select("sig", *slim).union(pivots.select("sig", *slim)), rows), sets)
+    rows_ = few(rows_.select(*_ROW), rows).repartition(*_CELL).sortWithinPartitions(*_CELL, "kind")
+    return rows_.mapInPandas(_compare(percent), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -223,7 +266,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     nothing; so does a row without doc_id, whose component is null. Repeated
     rows are copies. Columns beside the two are not read.
     """
-    spark = docs.sparkSession
     rest = 10
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = cut(docs.mapInPandas(_sizes(k), "doc_id long, n_shingles int, sig long"))
@@ -239,44 +281,35 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     near = cut(classes.join(hits, "sig").where(F.col("hits") >= least).select("doc"))
 
     sets = cut(some.mapInPandas(_kept_sets(k, _filter(near)), "sig long, n int, tokens array<long>").dropDuplicates(["sig"]))
-    keys = cut(_keys(sets, percent, rest))
-    lead = keys.groupBy("token").agg(F.min("sig").alias("region"), F.count("*").alias("m")).where("m > 1")
-    places = cut(keys.join(lead, "token").where("sig <> region").select("region", "sig").distinct())
-
-    sizes = places.join(sets.select("sig", "n"), "sig").groupBy("region").agg((F.floor(F.sum("n") / SLICE) + 1).cast("int").alias("parts"))
-    none = {"d": F.lit(1.0), "comp": F.lit(0).cast("long"), "cell": F.lit(0)}
-    members = places.join(sizes, "region").join(sets, "sig").select("*", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int").alias("part"))
-    heads = sizes.join(sets, sizes.region == sets.sig).select("*", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
-    rows = members.withColumns({**none, "kind": F.lit(1)}).select(*_ROW).union(heads.withColumns({**none, "kind": F.lit(0)}).select(*_ROW))
-    placed = cut(_joined(rows, percent, True))
-    edges = placed.where("near").select(F.col("sig").alias("a"), F.col("pivot").alias("b"))
-
-    used, most = None, PIVOTS
+    places = cut(_places(sets, percent, rest))
+    placed, rows = counted(_distances(places, sets, percent))
+
+    comps = connected_components(few(placed.where("near").select(F.col("sig").alias("a"), F.col("region").alias("b")), rows), rows)
+    # the pivots' own rows, too; cells are as wide as the window
+    width = 1 - percent / 100 + 1e-9
+    at_pivot = few(placed.groupBy("region").agg(F.max("n").alias("n")), rows).join(sets.select(F.col("sig").alias("region"), F.col("n").alias("pn")), "region")
+    known = placed.select("region", "sig", "n", "d").union(at_pivot.select("region", F.col("region").alias("sig"), F.col("pn").alias("n"), F.lit(0.0).alias("d")))
+    own, lead = (comps.select(F.col("node").alias(c), F.col("component").alias(n)) for c, n in (("sig", "comp"), ("region", "head")))
+    known = few(few(known, rows).join(own, "sig", "left"), rows).join(lead, "region", "left").withColumns({"comp": F.coalesce("comp", "sig"), "head": F.coalesce("head", "region")})
+    turn = F.pmod(F.xxhash64(F.lit("turn"), "sig"), F.lit(TURNS))
+    known = cut(few(known.withColumns({"h": turn, "done": F.lit(0).cast("long"), "cell": F.floor(F.col("d") / width).cast("int")}), rows))
+
+    most = PIVOTS
     while True:
-        comps = cut(connected_components(edges))
-        of = comps.select(F.col("node").alias("sig"), F.col("component").alias("comp"))
-        heads = placed.select("region").distinct().join(comps, F.col("region") == F.col("node"), "left").select("region", F.coalesce("component", "region").alias("head"))
-        known = cut(placed.join(of, "sig", "left").select("region", "sig", "n", "d", F.coalesce("comp", "sig").alias("comp")))
-        outside = known.join(heads, "region").where("comp <> head")
-        fresh = outside.join(used, ["region", "sig"], "left_anti") if used is not None else outside
-        order = Window.partitionBy("region").orderBy(F.xxhash64("sig"), "sig")
-        ranked = fresh.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-        held = F.sum(F.col("n").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-        chosen = cut(ranked.withColumn("cell", F.floor(F.coalesce(held, F.lit(0)) / BLOCK).cast("int")))
-        if chosen.isEmpty():
+        now, cells = _open_cells(known, most, rows)
+        if cells.isEmpty():
+            break
+        links, n_links = counted(_links(now, cells, sets, percent, rows))
+        left = now.withColumn("done", F.col("turn")).drop("turn", "pivot")
+        if n_links:
+            joined = connected_components(links, n_links)
+            comps = cut(few(_relabelled(comps, joined, "component").union(_new_nodes(comps, joined)), rows))
+            left = _relabelled(_relabelled(left, joined, "comp"), joined, "head")
+        # regions that had no pivot left are closed
+        known, rows = counted(few(left.where(F.col("done") < TURNS), rows))
+        if not rows:
             break
-        width = 1 - percent / 100 + 1e-9
-        open_ = chosen.groupBy("region").agg((F.max("cell") + 1).alias("cells"), F.min("d").alias("low"), F.max("d").alias("high"))
-        against = known.join(open_, "region").where(F.col("d").between(F.col("low") - width, F.col("high") + width))
-        sizes = against.groupBy("region").agg((F.floor(F.sum("n") / SLICE) + 1).cast("int").alias("parts"))
-        members = against.join(sizes, "region").withColumns({"part": F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"), "cell": F.explode(F.expr("sequence(0, cells - 1)")), "kind": F.lit(1)})
-        pivots = chosen.join(sizes, "region").withColumns({"part": F.explode(F.expr("sequence(0, parts - 1)")), "kind": F.lit(0)})
-        slim = [c for c in _ROW if c != "tokens"]
-        rows = members.select(*slim).union(pivots.select(*slim)).join(sets.select("sig", "tokens"), "sig")
-        more = cut(_joined(rows, percent, False).select(F.col("sig").alias("a"), F.col("pivot").alias("b")))
-        done = chosen.select("region", "sig")
-        used = cut(used.union(done) if used is not None else done)
-        edges, most = edges.union(more), most * DEEPER
+        most *= DEEPER
 
     named = classes.join(comps, classes.sig == comps.node, "left").select("sig", "doc", F.coalesce("component", "sig").alias("component"))
     names = named.groupBy("component").agg(F.min("doc").alias("component_id"))
@@ -285,6 +318,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     return linked.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _relabelled(rows: DataFrame, joined: DataFrame, column: str) -> DataFrame:
+    to = joined.select(F.col("node").alias(column), F.col("component").alias("to_"))
+    return rows.join(to, column, "left").withColumn(column, F.coalesce("to_", column)).drop("to_").select(*rows.columns)
+
+
+def _new_nodes(comps: DataFrame, joined: DataFrame) -> DataFrame:
+    """Those of ``joined`` that no link had reached before."""
+    return joined.join(comps.select("node"), "node", "left_anti").select("node", "component")
+
+
 def op7_jaccard(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
 
