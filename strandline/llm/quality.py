@@ -1,9 +1,13 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
 The metrics of each text are counted in its row. Each language and source has
-quantile sketches of its metrics (Greenwald-Khanna summaries, built in each
-task and merged), whose fences replace fixed cutoffs; a source with few rows
-takes its language's fences, a language with few rows those of all rows.
+KLL quantile sketches of its metrics, built in tasks from its distinct sets of
+counts, so that copies count once, and merged. Merging those of a language's
+sources gives the language's sketches, merging all languages' those of all rows.
+The sketches' fences replace fixed cutoffs; a source with few rows takes its
+language's fences, a language with few rows those of all rows, and no fence lies
+further out than the next wider group's fence and its width once more, so that a
+source that is mostly junk does not set the measure for itself.
 """
 
 from __future__ import annotations
@@ -15,33 +19,46 @@ from strandline.llm.common import SPACE, cut, table, words
 
 #: Fixed limits of the base rule: least words, and the largest share of repeated words in percent.
 LEAST_WORDS, REPEATED = 50, 50
-#: Width of the fences in interquartile ranges; rows that a group needs for fences of its own; the sketches' accuracy.
-FENCE, LEAST_ROWS, ACCURACY = 6.0, 100, 2000
+#: Width of the fences in interquartile ranges; distinct rows that a group needs for fences of its own; the sketches' size.
+FENCE, LEAST_ROWS, SKETCH = 6.0, 100, 1000
+#: Digits of the quartiles that count: sketches are random in the last ones.
+DIGITS = 3
 #: Metrics (per word or line) with the least range that counts as their interquartile range.
 RANGES = {"symbols": 0.05, "dup_lines": 0.1, "repeats": 0.05, "word_length": 0.5}
 
 
+#: Words from which on a window's hash and place are two numbers. Below, they are one: at least 52 bits are left for the hash.
+LONG = 4096
+
+
 def with_repeats(rows: DataFrame, w: str = "w") -> DataFrame:
     """``rows`` with n_repeat_words: words of the array ``w`` in 3-word windows that it has twice or more, the first included.
 
-    Each window is one long: its hash above, its place below, with as many bits
-    for places as the text needs. Sorted, equal windows are neighbours; their
-    places, sorted again, are covered by runs of three words. Each step is a
-    column of its own, so that no step is made again for every element.
+    Each window is its hash and its place: in a text of fewer than ``LONG``
+    words one long with the hash above, in a longer one a pair with the whole
+    64-bit hash. Sorted, equal windows are neighbours; their places, sorted
+    again, are covered by runs of three words. Each step is a column of its own,
+    so that no step is made again for every element.
     """
+    bits = LONG.bit_length() - 1
+    mask = LONG - 1
     rows = rows.withColumn("n_", F.size(w))
-    rows = rows.withColumn("bits_", F.ceil(F.log2(F.col("n_") + F.lit(2.0))).cast("int"))
     place = F.sequence(F.lit(0), F.col("n_") - 3)
-    shift = lambda how, c: F.call_function(how, c, F.col("bits_"))
-    window = F.transform(place, lambda i: shift("shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))).bitwiseOR(i.cast("long")))
-    rows = rows.withColumn("line_", F.when(F.col("n_") >= 4, F.sort_array(F.when(F.col("n_") >= 4, window))))
-    mask = shift("shiftleft", F.lit(1).cast("long")) - 1
-    at = lambda i: shift("shiftright", F.get("line_", i))
-    same = F.transform(F.col("line_"), lambda x, i: F.when(F.coalesce(at(i + 1) == shift("shiftright", x), F.lit(False)) | F.coalesce(at(i - 1) == shift("shiftright", x), F.lit(False)), x.bitwiseAND(mask)))
-    rows = rows.withColumn("twice_", F.sort_array(F.filter(same, lambda x: x.isNotNull())))
+    hash_ = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    short, long = (F.col("n_") >= 4) & (F.col("n_") < LONG), F.col("n_") >= LONG
+    one = F.transform(place, lambda i: F.shiftleft(hash_(i), bits).bitwiseOR(i.cast("long")))
+    two = F.transform(place, lambda i: F.struct(hash_(i).alias("h"), i.cast("long").alias("i")))
+    rows = rows.withColumns({"one_": F.when(short, F.sort_array(F.when(short, one))), "two_": F.when(long, F.sort_array(F.when(long, two)))})
+
+    def repeated(line: str, hash_of, place_of):
+        near = lambda x, i: F.coalesce(hash_of(F.get(line, i + 1)) == hash_of(x), F.lit(False)) | F.coalesce(hash_of(F.get(line, i - 1)) == hash_of(x), F.lit(False))
+        return F.filter(F.transform(F.col(line), lambda x, i: F.when(near(x, i), place_of(x))), lambda x: x.isNotNull())
+
+    places = F.coalesce(repeated("one_", lambda x: F.shiftright(x, bits), lambda x: x.bitwiseAND(F.lit(mask).cast("long"))), repeated("two_", lambda x: x["h"], lambda x: x["i"]))
+    rows = rows.withColumn("twice_", F.sort_array(places))
     none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-9).cast("long").alias("last"))
     covered = F.aggregate("twice_", none, lambda s, x: F.struct((s["n"] + F.least(F.lit(3).cast("long"), x - s["last"])).alias("n"), x.alias("last")), lambda s: s["n"])
-    return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("n_", "bits_", "line_", "twice_")
+    return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("n_", "one_", "two_", "twice_")
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -61,8 +78,26 @@ def measured(docs: DataFrame) -> DataFrame:
     return rows.withColumn("base_failed", failed)
 
 
+def sketches(rows: DataFrame) -> list[DataFrame]:
+    """Sketches of the metrics by language and source, by language and over all, each merged from the ones before it, with ``n`` rows."""
+    own = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(m, SKETCH).alias(m) for m in RANGES])
+    out = [cut(own)]
+    for by in (["lang"], []):
+        out.append(cut(out[-1].groupBy(*by).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in RANGES])))
+    return out
+
+
+def fences(level: DataFrame) -> DataFrame:
+    """``level`` with low, high and width of each metric in place of its sketch."""
+    for m, least in RANGES.items():
+        low, high = (F.when(F.col("n") > 0, F.round(F.kll_sketch_get_quantile_double(m, F.lit(q)), DIGITS)) for q in (0.25, 0.75))
+        width = FENCE * F.greatest(high - low, F.lit(least))
+        level = level.withColumn(m, F.struct((low - width).alias("low"), (high + width).alias("high"), width.alias("width")))
+    return level
+
+
 def judge(rows: DataFrame) -> DataFrame:
-    """``rows`` of :func:`measured` with ``kept``."""
+    """``rows`` of :func:`measured` with ``kept``: what does not fail the base rule and lies within its group's fences."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     rows = rows.withColumns({
         "symbols": F.col("n_symbols") / n,
@@ -71,26 +106,28 @@ def judge(rows: DataFrame) -> DataFrame:
         "word_length": F.col("word_chars") / n,
     })
     rows = cut(rows)
-    used = rows.where("not base_failed")
-    quartiles = lambda m: F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), ACCURACY)
-
-    def fences(level: int, *by: str) -> DataFrame:
-        got = used.groupBy(*by).agg(F.count("*").alias("n"), *[quartiles(m).alias(m) for m in RANGES])
-        sides = []
-        for m, least in RANGES.items():
-            width = FENCE * F.greatest(F.get(m, F.lit(1)) - F.get(m, F.lit(0)), F.lit(least))
-            sides += [(F.get(m, F.lit(0)) - width).alias(f"low_{m}"), (F.get(m, F.lit(1)) + width).alias(f"high_{m}")]
-        got = got.where(F.col("n") >= LEAST_ROWS) if by else got
-        return cut(got.select(*[F.col(b).alias(f"{b}_{level}") for b in by], F.struct(*sides).alias(f"fence_{level}")))
-
-    own, lang, all_ = fences(0, "lang", "source"), fences(1, "lang"), fences(2)
+    used = rows.where("not base_failed").select("lang", "source", "n_words", "n_lines", *RANGES).distinct()
+    own, lang, all_ = (fences(level) for level in sketches(used))
+    own, lang = own.where(F.col("n") >= LEAST_ROWS), lang.where(F.col("n") >= LEAST_ROWS)
+
+    def named(level: DataFrame, i: int) -> DataFrame:
+        return cut(level.select(*[F.col(c).alias(f"{c}_{i}") for c in ("lang", "source") if c in level.columns], F.struct(*RANGES).alias(f"fence_{i}")))
+
+    own, lang, all_ = named(own, 0), named(lang, 1), named(all_, 2)
     held = rows.join(own, rows.lang.eqNullSafe(own.lang_0) & rows.source.eqNullSafe(own.source_0), "left")
     held = held.join(lang, held.lang.eqNullSafe(lang.lang_1), "left").join(F.broadcast(all_), F.lit(True), "left")  # one row
-    fence = F.coalesce("fence_0", "fence_1", "fence_2")
     inside = F.lit(True)
     for m in RANGES:
-        inside &= F.col(m) <= fence[f"high_{m}"]
-    inside &= F.col("word_length") >= fence["low_word_length"]
+        low = high = None
+        for i in (2, 1, 0):  # each group's fence, no further out than the wider group's and its width
+            f = F.col(f"fence_{i}")[m]
+            own_low = f["low"] if low is None else F.greatest(f["low"], low - wide)
+            own_high = f["high"] if high is None else F.least(f["high"], high + wide)
+            low, high = (own_low, own_high) if low is None else (F.when(f.isNull(), low).otherwise(own_low), F.when(f.isNull(), high).otherwise(own_high))
+            wide = f["width"] if i == 2 else F.coalesce(f["width"], wide)
+        inside &= F.col(m) <= high
+        if m == "word_length":
+            inside &= F.col(m) >= low
     return held.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 
 
