@@ -1,14 +1,20 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 Candidates are runs of key characters, and whatever follows an announcing word
-and = or :. Their features: length, the share of places where the class of
-character changes, the share of common letter pairs (in place of words of a
-dictionary), whether they stand in a path or address, and the words before them. The forest is fitted on labelled findings.
+and = or :. The forest sees a candidate's length, the share of places where the
+class of character changes, the share of its letters that are in words of the
+corpus's own dictionary (the words that the most documents have), whether it
+stands in a path or address, and what announces, assigns or quotes it.
+
+It is fitted on labelled findings. Where none are given, those candidates teach
+whose own form says what they are: keys of public services, digests and long
+mixed runs on one side, words, numbers and addresses on the other. The label
+rule reads characters only, the forest no pattern of them; most of what is
+announced is neither and is left to the forest.
 """
 
 from __future__ import annotations
 
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -16,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import SPACE, cut, table
+from strandline.llm.common import SPACE, cut, keyed, table
 
 #: A candidate: a run of key characters within a word.
 RUN = r"[A-Za-z0-9+/_=.-]{12,}"
@@ -27,11 +33,11 @@ STARTS = "AKIA|ASIA|ghp_|gho_|github_pat_|sk-|sk_live_|xox[abp]-|AIza|eyJ|glpat-
 GIVEN = rf"(?i)(?:{NAMES})[^\s=:]{{0,12}}\s*[=:]+\s*"
 VALUES = [r"^\"([^\"]+)\"", r"^'([^']+)'", r"^`([^`]+)`", r"^[\"'`]?(\S*?)[\"'`,;.)\]}]*(?:\s|$)"]
 VALUE_WORDS = 16
-#: Letter pairs common in European words, for the share of a candidate that reads as words.
-PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|ei|ch|ie|ge|un|la|el|os|ue|qu|ai|au|eu|il|ur|ns|ta|li|us|em"
-FEATURES = ["length", "digits", "upper", "transitions", "dictionary", "pathlike", "named", "assigned", "quoted", "known_start", "distinct"]
-#: Labelled findings that the forest is fitted on, about, at most (by the hash of the finding); trees and their depth; least probability.
-FITTED, TREES, DEPTH, LEAST = 20_000, 20, 6, 0.5
+FEATURES = ["length", "transitions", "dictionary", "pathlike", "named", "assigned", "quoted"]
+#: The dictionary: the words of the most documents, so many at most and in so many documents at least; letters of a word.
+DICTIONARY, IN_DOCUMENTS, LETTERS = 50_000, 5, 3
+#: Labelled findings of each label that the forest is fitted on, about, at most (by the hash of the finding); trees and their depth; least probability.
+FITTED, TREES, DEPTH, LEAST = 10_000, 30, 6, 0.5
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -55,73 +61,91 @@ def candidates(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("lead", F.when(~F.col("word").rlike("^[=:]+$"), lead))
     rows = rows.withColumn("rest", F.expr("substring(ahead, length(lead) + 1)"))
     value = F.coalesce(*[F.nullif(F.regexp_extract("rest", v, 1), F.lit("")) for v in VALUES])
-    rows = rows.withColumn("value", value).withColumn("runs", F.regexp_extract_all("word", F.lit(f"({RUN})")))
+    rows = rows.withColumn("value", value).withColumns({"runs": F.regexp_extract_all("word", F.lit(f"({RUN})")), "gaps": F.split("word", RUN)})
     stands = F.concat("near", "lead", F.regexp_extract("rest", "^[\"'`]?", 0))
-    found = F.transform("runs", lambda x, k: F.struct(k.alias("part"), x.alias("found"), F.lit(None).cast("string").alias("stands")))
+    # what stands before the k-th run in the word: gaps and runs in turn
+    upto = lambda k: F.array_join(F.zip_with(F.slice("gaps", 1, k + 1), F.concat(F.slice("runs", 1, k), F.array(F.lit(""))), lambda g, r: F.concat(g, r)), "")
+    found = F.transform("runs", lambda x, k: F.struct(k.alias("part"), x.alias("found"), F.concat("near", upto(k)).alias("before")))
     # a value that is a run is that run; any other is numbered after the word's runs
-    new = F.when(F.col("value").isNotNull() & ~F.array_contains("runs", F.col("value")), F.array(F.struct(F.size("runs").alias("part"), F.col("value").alias("found"), stands.alias("stands"))))
-    rows = rows.select("doc_id", "nth", "near", "word", F.explode(F.concat(found, F.coalesce(new, F.slice(found, 1, 0)))).alias("f")).select("doc_id", "nth", "near", "word", "f.*")
-    before = F.coalesce("stands", F.concat("near", F.expr("substring(word, 1, locate(found, word) - 1)")))
-    return rows.select("doc_id", "nth", "part", before.alias("before"), "found")
+    new = F.when(F.col("value").isNotNull() & ~F.array_contains("runs", F.col("value")), F.array(F.struct(F.size("runs").alias("part"), F.col("value").alias("found"), stands.alias("before"))))
+    rows = rows.select("doc_id", "nth", F.explode(F.concat(found, F.coalesce(new, F.slice(found, 1, 0)))).alias("f"))
+    return rows.select("doc_id", "nth", "f.part", "f.before", "f.found")
 
 
-def _count(c: Column, pattern: str) -> Column:
-    return F.regexp_count(c, F.lit(pattern))
+def dictionary(docs: DataFrame) -> DataFrame:
+    """(word): the lower-case words of the most documents, at most ``DICTIONARY``, each in ``IN_DOCUMENTS`` or more."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(rf"\p{{L}}{{{LETTERS},}}"), F.lit(0)))
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= IN_DOCUMENTS)
+    return cut(counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).select("word"))
 
 
-def features(found: DataFrame) -> DataFrame:
+def features(found: DataFrame, known: DataFrame) -> DataFrame:
+    """``found`` (found, before, id) with ``FEATURES``; ``known``: the dictionary."""
     f, b = F.col("found"), F.col("before")
     n = F.length(f)
-    changes = _count(f, "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])")
+    changes = F.regexp_count(f, F.lit("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"))
+    runs = F.filter(F.regexp_extract_all(f, F.lit(r"\p{Lu}?\p{Ll}+|\p{Lu}+"), F.lit(0)), lambda x: F.length(x) >= LETTERS)
+    parts = found.select("id", F.explode(runs).alias("part")).select("id", F.length("part").alias("letters"), F.lower("part").alias("word"))
+    covered = parts.join(F.broadcast(known), "word").groupBy("id").agg(F.sum("letters").alias("covered"))  # a fixed number of words
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    return found.withColumns({
+    return found.join(covered, "id", "left").withColumns({
         "length": n.cast("double"),
-        "digits": _count(f, "[0-9]") / n,
-        "upper": _count(f, "[A-Z]") / n,
-        "transitions": changes / n,
-        "dictionary": 2 * _count(F.lower(f), PAIRS) / n,
-        "pathlike": flag(b.rlike(r"(://|www\.|[/\\@])\S*$") | f.rlike(r"/.*/|\.[a-z]{2,4}$")),
+        "transitions": changes / F.greatest(n, F.lit(1)),
+        "dictionary": F.coalesce("covered", F.lit(0)) / F.greatest(n, F.lit(1)),
+        "pathlike": flag(b.rlike(r"(://|www\.|[/\\@])\S*$") | f.rlike(r"/.*/")),
         "named": flag(b.rlike(f"(?i)({NAMES})")),
         "assigned": flag(b.rlike(r"[=:]\s*[\"'`]?$")),
         "quoted": flag(b.rlike(r"[\"'`]$")),
-        "known_start": flag(f.rlike(f"^({STARTS})")),
-        "distinct": F.size(F.array_distinct(F.split(f, ""))) / n,
-    })
+    }).drop("covered")
+
+
+def form(found: Column) -> Column:
+    """1 for a value whose own characters say that it is a key, 0 for one that is words, a number or an address by them, else null."""
+    key = found.rlike(f"^({STARTS})[A-Za-z0-9_-]{{12,}}$") | (found.rlike("^([0-9a-f]{32,}|[0-9A-F]{32,})$") & found.rlike("[A-Fa-f]") & found.rlike("[0-9]"))
+    mixed = found.rlike("^[A-Za-z0-9+/_-]{24,}={0,2}$") & found.rlike("[a-z]") & found.rlike("[A-Z]") & found.rlike("[0-9].*[0-9].*[0-9]")
+    plain = found.rlike("^[A-Za-z]+[.]*$") | found.rlike("^[0-9.+/=_-]+$") | found.rlike("^[A-Za-z]+([._/-][A-Za-z0-9]+)+$")
+    return F.when(key | mixed, 1.0).when(plain, 0.0)
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
-    """Findings that can be labelled by rule, with ``label``: 1 a named and assigned key or a public start, 0 a number, date, path or word list."""
-    f, b = F.col("found"), F.col("before")
-    yes = (b.rlike(f"(?i)({NAMES})" + r"\S{0,12}\s*[=:]\s*[\"'`]?$") & f.rlike("[A-Za-z]") & f.rlike("[0-9]") & ~f.rlike(r"^(\w)\1+$")) | f.rlike(f"^({STARTS})[A-Za-z0-9_-]{{12,}}$")
-    no = f.rlike(r"^[0-9.+/=_-]+$") | b.rlike(r"(://|www\.|[@/])\S*$") | f.rlike(r"^[A-Za-z]+([._/-][A-Za-z0-9]+)+$")
-    return found.withColumn("label", F.when(yes, 1.0).when(no, 0.0)).where("label is not null")
+    """The findings that their own form labels, but for those that an announcing word assigns and that are no key by form, with ``label``."""
+    given = F.col("before").rlike(GIVEN + "[\"'`]?$")
+    label = form(F.col("found"))
+    return found.withColumn("label", F.when((label == 1) | ~given, label)).where("label is not null")
 
 
 def fit(labelled: DataFrame, seed: int = 3) -> PipelineModel | None:
-    """A forest fitted on ``labelled`` (features and label); none without both labels."""
-    if labelled.select("label").distinct().count() < 2:
+    """A forest fitted on ``labelled`` (features and label), on about ``FITTED`` of each label; none without both labels."""
+    counts = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
+    if len(counts) < 2:
         return None
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="vector", handleInvalid="keep"), RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=seed)]).fit(labelled)
+    share = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, int(min(1.0, FITTED / n) * (1 << 30)))])
+    some = labelled.where(F.pmod(F.xxhash64("found", "before"), F.lit(1 << 30)) < F.element_at(share, F.col("label")))
+    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="vector", handleInvalid="keep"), RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=seed)]).fit(some)
+
+
+def scored(found: DataFrame, model: PipelineModel) -> DataFrame:
+    """``found`` (features) with ``score``, the forest's probability of a secret."""
+    return model.transform(found).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """doc_id, nth, part, found, score, is_secret for every candidate of ``docs``.
 
     ``labelled`` (found, before, label) are labelled findings; without it those
-    candidates of ``docs`` teach that rules can label. Without both kinds of
-    labels every score is null and ``is_secret`` says whether a rule labels the
-    candidate as a secret. Repeated rows give repeated findings.
+    candidates of ``docs`` teach that their form labels. Without both kinds of
+    labels every score is null and ``is_secret`` says whether a candidate is a
+    key by form. Repeated rows give repeated findings; rows without doc_id are
+    scanned like others; other columns are not read.
     """
-    rows = cut(candidates(docs))
-    teach = weak_labels(rows) if labelled is None else labelled
-    teach = cut(features(teach.select("found", "before", "label")))
-    share = min(1.0, FITTED / max(1, teach.count()))
-    model = fit(teach.where(F.pmod(F.xxhash64("found", "before"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    rows = keyed(candidates(docs), "id")
+    known = dictionary(docs)
+    full = cut(features(rows, known))
+    teach = weak_labels(full) if labelled is None else features(keyed(labelled.select("found", "before", "label"), "id"), known)
+    model = fit(cut(teach.select("found", "before", "label", *FEATURES)))
     if model is None:
-        sure = weak_labels(rows).where("label = 1").select("doc_id", "nth", "part").distinct().withColumn("sure", F.lit(True))
-        return rows.join(sure, ["doc_id", "nth", "part"], "left").select("doc_id", "nth", "part", "found", F.lit(None).cast("double").alias("score"), F.coalesce("sure", F.lit(False)).alias("is_secret"))
-    score = F.get(vector_to_array("probability"), F.lit(1))
-    return model.transform(features(rows)).select("doc_id", "nth", "part", "found", F.round(score, 6).alias("score"), (score >= LEAST).alias("is_secret"))
+        return full.select("doc_id", "nth", "part", "found", F.lit(None).cast("double").alias("score"), F.coalesce(form(F.col("found")) == 1, F.lit(False)).alias("is_secret"))
+    return scored(full, model).select("doc_id", "nth", "part", "found", F.round("score", 6).alias("score"), (F.col("score") >= LEAST).alias("is_secret"))
 
 
 def op4_secrets(spark, sf_dir):
