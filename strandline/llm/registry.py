@@ -1,19 +1,15 @@
-"""Queries of the corpus operators and of the pipeline, and their SQL."""
+"""Queries of the corpus operators and their SQL."""
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from strandline.llm import chat, decontaminate, jaccard, language, licenses, mixing, quality, secrets, sharding, urls
 
 MODULES = (sharding, decontaminate, chat, secrets, licenses, mixing, jaccard, language, urls, quality)
 
 
 def queries() -> dict:
-    found = {name: f for m in MODULES for name, f in m.QUERIES.items()}
-    return found | {"pipeline": corpus_pipeline.run}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    found = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
-    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -1,8 +1,11 @@
 import collections
+import itertools
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -142,11 +145,55 @@ def test_mixing_targets(spark, hard, empty):
 
 def test_language_held_out_accuracy(spark, hard, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = language.language_of(docs, ["doc_id", "lang"]).withColumn("out", language.is_held_out(F.col("doc_id"))).where("out").collect()
+    rows = language.language_of(docs).select("doc_id", "lang", "language.lang_pred").where(language.is_held_out(F.col("doc_id"))).collect()
     assert sum(r.lang == r.lang_pred for r in rows) > 0.97 * len(rows)
-    got = {r.doc_id: r for r in language.language_of(hard, ["doc_id"]).collect()}
+    got = {r.doc_id: r for r in language.language_of(hard).select("doc_id", "language.*").collect()}
     assert got[1].lang_pred == got[2].lang_pred == got[3].lang_pred == "und" and got[6].lang_pred != "und"
-    assert language.language_of(empty, ["doc_id"]).count() == 0
+    assert language.language_of(empty).count() == 0
+
+
+def grams(text):
+    """N-grams by plain Python: 1 to 3 characters, runs of other characters as one space, none of one space or with one in the middle."""
+    line = re.sub(" +", " ", " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " ")
+    found = collections.Counter(line[i : i + n] for n in (1, 2, 3) for i in range(len(line) - n + 1)) if line != " " else {}
+    return {g: n for g, n in found.items() if g != " " and g[1:2] != " " or len(g) == 2}
+
+
+def test_language_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(21)
+    letters = {"x": "abcde", "y": "abcfg", "z": "日本語éa"}
+    texts = [(i, "".join(rng.choice(letters[lang] + " 1½") for _ in range(rng.randrange(1, 60))), lang) for i, lang in enumerate("xyz" * 20)]
+    odd = ["½", "²", "Ⅷ"[:0] + "①②", "123 !", "", None, "a", "Éa 本"]
+    texts += [(1000 + i, t, None) for i, t in enumerate(odd)] + [(2000, texts[0][1], None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "CHUNK", 1 << 18)
+    length = 12
+    profiles = language.learn(docs.where("lang is not null"), length)
+    counts = {lang: collections.Counter() for lang in letters}
+    for _, t, lang in texts:
+        if lang:
+            counts[lang].update(grams(t))
+
+    def code(g):  # the order of ties
+        n = sum(ord(c) << 21 * (len(g) - 1 - i) if c != " " else 0 for i, c in enumerate(g))
+        return n if g[0] != " " else -1 - n - (1 << 62 if len(g) == 3 else 0)
+
+    ranks = {lang: {g: i for i, g in enumerate(sorted(c, key=lambda g: (-c[g], code(g)))[:length])} for lang, c in counts.items()}
+    assert {(lang, code(g), r + 1) for lang, of in ranks.items() for g, r in of.items()} == set(profiles)
+    got = {r.doc_id: r for r in language.identify(docs, profiles, length).select("doc_id", "language.*").collect()}
+    for i, t, _ in texts:
+        n = grams(t or "")
+        mine = sorted(n, key=lambda g: (-n[g], code(g)))[:length]
+        if not mine:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0), t
+            continue
+        out = {lang: sum(abs(of[g] - k) if g in of else length for k, g in enumerate(mine)) / (length * len(mine)) for lang, of in ranks.items()}
+        best = min(sorted(out), key=out.get)
+        assert got[i].lang_pred == best and got[i].score == pytest.approx(1 - out[best])
+    whole = language.ngrams(texts[2][1] * 3)
+    for chunk in (1, 2, 7):
+        monkeypatch.setattr(language, "CHUNK", chunk)
+        assert all((a == b).all() for a, b in zip(language.ngrams(texts[2][1] * 3), whole, strict=True))
 
 
 def test_leaks_are_found(spark, hard, empty):
@@ -196,6 +243,76 @@ def test_leaks_of_long_items(spark):
     assert {(r.doc_id, r.item_id, r.common) for r in got} == {(i, i % 3, len(items[i % 3][1].split())) for i in range(6)}
 
 
+def substituted(rng, text, share, words):
+    w = text.split()
+    for i in rng.sample(range(len(w)), round(share * len(w))):
+        w[i] = rng.choice(words)
+    return " ".join(w)
+
+
+def test_leaks_of_paraphrases(spark):
+    """Recall by the share of words that are others, and no hit in what holds no item. The figures are in the README."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").orderBy("doc_id").limit(700)
+    items = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").orderBy("item_id").collect()]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    known = {r.doc_id for r in decontaminate.leaks(docs, bench).select("doc_id").distinct().collect()}
+    clean = [r.text for r in docs.collect() if r.doc_id not in known and 60 < len(r.text.split()) < 1500]
+    rng = random.Random(22)
+    words = [w for t in clean for w in t.split()]
+    rows, want = [(r, t) for r, t in enumerate(clean)], {}
+    for share in (0, 0.1, 0.2, 0.3, 0.4):
+        for _ in range(60):
+            base, (i, text) = rng.choice(clean).split(), rng.choice(items)
+            at, n = rng.randrange(len(base) + 1), len(rows)
+            rows.append((n, " ".join([*base[:at], substituted(rng, text, share, words), *base[at:]])))
+            want.setdefault(share, []).append((n, i))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    recall = {share: sum(w in got for w in ws) / len(ws) for share, ws in want.items()}
+    print("recall by substitution", recall)
+    assert all(r >= 0.9 for r in recall.values()) and recall[0] == 1
+    planted = {n for ws in want.values() for n, _ in ws}
+    assert not {d for d, _ in got if d not in planted}
+
+
+def test_latent_is_not_lexical():
+    """Two words that keep the same company lie near in the latent space, though their vectors have no word in common."""
+    rng = random.Random(23)
+    company = [[f"c{t}x{i}" for i in range(12)] for t in range(6)]
+    texts = [" ".join([rng.choice(("left", "right")) if t == 0 else f"own{t}", *rng.sample(company[t], 10)] * 5) for t in range(6) for _ in range(40)]
+    frame = pd.DataFrame({"text": texts, "is_item": False})
+    counts = pd.concat(decontaminate._frequencies.__wrapped__(iter([frame])))
+    df = np.zeros(decontaminate.WORDS, np.int64)
+    df[counts.word[counts.word >= 0]] = counts.n[counts.word >= 0]
+    idf = decontaminate.weights(df, len(texts))
+
+    class Shared:
+        value = None
+
+    q = np.linalg.qr(np.random.default_rng(1).standard_normal((decontaminate.WORDS, 6)))[0].astype(np.float32)
+    for _ in range(3):
+        Shared.value = (idf, q)
+        z = np.zeros(q.shape)
+        for f in decontaminate._gram(Shared).__wrapped__(iter([frame])):
+            for words, blob in zip(f.words, f.blob, strict=True):
+                at = np.frombuffer(words, np.int32)
+                z[at] += np.frombuffer(blob, np.float32).reshape(len(at), -1)
+        q = np.linalg.qr(z)[0].astype(np.float32)
+    vectors = q * idf[:, None]
+    items = decontaminate.Items([(0, "left"), (1, "right"), (2, "own3")], idf, decontaminate.usual_square(df, idf), vectors)
+    cosines = items.latent @ items.latent.T
+    assert cosines[0, 1] > 0.9 and abs(cosines[0, 2]) < 0.3
+
+
+def test_leaks_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BATCH", 4)
+    monkeypatch.setattr(decontaminate, "STRIPE", 3)
+    rng = random.Random(24)
+    items = [(i, prose(rng, 30, 900)) for i in range(20)]
+    docs = [(i, prose(rng, 80, 900) + " " + items[i][1]) for i in range(20)] + [(100, prose(rng, 80, 900)), (None, items[0][1])]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(20)}
+
+
 def test_chat_round_trip(spark):
     texts = ["<|im_end|><|im_start|>assistant ok", "a & b &lt;| c &amp;", None, ""]
     rows = [(1, i, r, t) for i, (r, t) in enumerate(zip(("user", "assistant", "a\nb", "assistant"), texts, strict=True))]
@@ -226,6 +343,43 @@ def test_quality_counts_equal_brute_force(spark, hard, empty):
     assert quality.judge(quality.measured(hard)).count() == 12 and quality.judge(quality.measured(empty)).count() == 0
 
 
+def repeat_words(text):
+    w = (text or "").split()
+    n = collections.Counter(zip(w, w[1:], w[2:]))
+    return len({j + k for j in range(len(w) - 2) if n[tuple(w[j : j + 3])] > 1 for k in range(3)})
+
+
+def test_quality_of_long_texts(spark):
+    rng = random.Random(25)
+    texts = [" ".join(map(str, range(30_000))), " ".join(rng.choice(WORDS) for _ in range(9000)), " ".join(map(str, range(4100))) + " 7 8 9", " ".join(map(str, range(4095))) + " 7 8 9"]
+    got = {r.doc_id: r.n_repeat_words for r in quality.measured(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")).collect()}
+    assert got == {i: repeat_words(t) for i, t in enumerate(texts)} and got[0] == 0 and got[2] == 6
+
+
+def test_quality_fences(spark):
+    """Verdicts against fences by exact quartiles; a source of which two fifths are junk, and a large group of copies, do not set the measure."""
+    rng = random.Random(26)
+    rows = [(i, prose(rng, rng.randrange(60, 90)), "en", "a" if i % 2 else "b") for i in range(500)]
+    junk = lambda: " ".join(rng.choice(WORDS) + "#" * 9 for _ in range(70))
+    rows += [(1000 + i, junk(), "en", "a") for i in range(170)] + [(5000 + i, rows[0][1], "en", "b") for i in range(300)] + [(9000, prose(rng, 70), None, None)]
+    got = {r.doc_id: r for r in quality.judge(quality.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))).collect()}
+    assert not any(got[1000 + i].kept for i in range(170)) and all(got[i].kept for i in range(500)) and got[9000].kept and got[5007].kept
+
+    def fences(values, least):
+        q = sorted(values)
+        at = lambda p: q[max(0, math.ceil(p * len(q)) - 1)]
+        width = quality.FENCE * max(at(0.75) - at(0.25), least)
+        return at(0.25) - width, at(0.75) + width, width
+
+    for m, least in quality.RANGES.items():
+        level = {k: fences({(r[m], r.n_words) for r in got.values() if r.doc_id < 9000 and (k == "en" or r.source == k)} and [v for v, _ in {(r[m], r.n_words) for r in got.values() if r.doc_id < 9000 and (k == "en" or r.source == k)}], least) for k in ("a", "b", "en")}
+        for r in got.values():
+            low, high, _ = level.get(r.source, level["en"])
+            high = min(high, level["en"][1] + level["en"][2])
+            if r.kept:
+                assert r[m] <= high + 0.05
+
+
 def test_url_rules(spark):
     pages = [(0, "https://www.Example.org/es/1"), (1, "http://example.org/en/12?x#y"), (2, "http://a.com/de/1"), (3, "http://a.com/fr/"), (4, "http://b.net/x"), (5, None), (6, "nothing"), (7, "http://x.org?q"), (8, "http://x.org/")]
     pages += [(100 + i, f"http://bad{i % 2}.net/ads/{i}") for i in range(30)] + [(200 + i, f"http://good.net/news/{i}") for i in range(60)]
@@ -236,6 +390,39 @@ def test_url_rules(spark):
     assert all(got[100 + i].verdict == "block" for i in range(30)) and all(got[200 + i].verdict == "allow" for i in range(60))
 
 
+def test_urls_of_any_shape(spark, empty):
+    labels = spark.createDataFrame([(None, 0, 1), (1, None, None), (2, 0, None), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([(1, "http://a.net/x", 7), (1, "http://a.net/x", 8), (None, "http://b.com/fr/?" + "q=1&" * 5000, 9), (2, "://", 1), (3, "", 1), (4, None, 1)], "page_id long, url string, verdict int")
+    got = urls.judge(pages, labels).collect()
+    assert len(got) == 6 and {r.verdict for r in got if r.page_id == 1} == {"allow"} and [r.rule for r in got if r.page_id is None] == ["com/fr/"]
+    assert urls.judge(pages.limit(0), labels).count() == 0 and urls.judge(pages, labels.limit(0)).count() == 6
+
+
+def test_url_combinations_equal_brute_force(spark):
+    rng = random.Random(27)
+    rows = [(i, sorted(rng.sample("abcdef", rng.randrange(1, 5)))) for i in range(120)]
+    rows = [(i, t, "block" if ("a" in t and "b" in t) or rng.random() < 0.1 else "allow") for i, t in rows]
+    got = {(tuple(r.combination), r.verdict): (round(r.confidence, 6), round(r.support * 120)) for r in urls.mine(spark.createDataFrame(rows, "id long, tokens array<string>, verdict string")).collect()}
+    every = {}
+    for n in range(1, 6):
+        for c in itertools.combinations("abcdef", n):
+            hits = [v for _, t, v in rows if set(c) <= set(t)]
+            for v in urls.VERDICTS:
+                m, share = hits.count(v), sum(r[2] == v for r in rows) / 120
+                if m >= urls.LEAST and m / len(hits) >= urls.CONFIDENCE and m / len(hits) / share >= urls.LIFT:
+                    every[c, v] = round(m / len(hits), 6), m
+    want = {k: x for k, x in every.items() if not any(set(o) < set(k[0]) and v == k[1] and y[0] >= x[0] for (o, v), y in every.items())}
+    assert got == want and (("a", "b"), "block") in got
+
+
+def test_constant_tokens_do_not_multiply_combinations(spark):
+    pages = [(i, f"http://ads.example.net/en/x?{'&'.join(f'k{j}=1' for j in range(16))}") for i in range(12)] + [(20 + i, f"http://news{i % 3}.net/") for i in range(12)]
+    labels = [(i, 0, 1) for i in range(12)] + [(20 + i, 1, 0) for i in range(12)]
+    rows = urls.prepared(spark.createDataFrame(pages, "page_id long, url string"))
+    found = urls.mine(urls.teaching(rows, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).collect()
+    assert 1 <= len(found) <= 4 and {r.verdict for r in found} == {"block"}
+
+
 def test_licenses(spark, hard, empty):
     docs = spark.createDataFrame([(0, "Some text.\nReleased under the MIT license"), (1, "licensed under the apache license version 2.0!"), (2, "no licence here at all"), (3, None)], "doc_id long, text string")
     assert {(r.doc_id, r.unit, r.license) for r in licenses.scan(docs).collect()} == {(0, 2, "MIT"), (1, 1, "Apache-2.0")}
@@ -270,10 +457,138 @@ def test_secret_candidates_of_any_shape(spark):
     assert next(r.before for r in got if r.doc_id == 0).endswith('password = "')
 
 
-def test_pipeline_stages(spark):
+def test_secret_candidates_equal_brute_force(spark):
+    """Runs of key characters with what stands before each, of words that hold a run twice, too."""
+    rng = random.Random(28)
+    run = lambda: "".join(rng.choice("abcXYZ019+/_=.-") for _ in range(rng.randrange(5, 20)))
+    texts = [" ".join("|".join(run() for _ in range(rng.randrange(1, 4))) for _ in range(12)) for _ in range(30)] + ["x ABCDEFGHIJKL|ABCDEFGHIJKL|ABCDEFGHIJKL"] * 2
+    got = collections.Counter((r.doc_id, r.nth, r.part, r.before, r.found) for r in secrets.candidates(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect())
+    want = collections.Counter()
+    for i, t in enumerate(texts):
+        w = t.split()
+        for j, x in enumerate(w):
+            near = " ".join([w[j - 2] if j > 1 else "", w[j - 1] if j else "", ""])
+            for k, m in enumerate(re.finditer(r"[A-Za-z0-9+/_=.-]{12,}", x)):
+                want[i, j, k, near + x[: m.start()], m.group()] += 1
+    assert got == want
+
+
+def test_secret_features_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "IN_DOCUMENTS", 3)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["correct horse battery"] * 3 + ["staple once", None, ""])], "doc_id long, text string")
+    known = secrets.dictionary(docs)
+    assert sorted(r.word for r in known.collect()) == ["battery", "correct", "horse"]
+    cases = [("correctHorse9", 'pass: "'), ("a/b/c", "http://x/"), ("HTTPServer1", "token = '"), ("", ""), ("stapleBattery-battery", "x@")]
+    got = {r.found: r for r in secrets.features(spark.createDataFrame([(i, f, b) for i, (f, b) in enumerate(cases)], "id long, found string, before string"), known).collect()}
+    for f, b in cases:
+        change = sum((x.isdigit() and y.isalpha()) or (x.isalpha() and y.isdigit()) or (x.islower() and y.isupper()) for x, y in zip(f, f[1:])) + sum(f[i].isupper() and f[i + 1].isupper() and f[i + 2].islower() for i in range(len(f) - 2))
+        runs = [m.group().lower() for m in re.finditer("[A-Z]?[a-z]+|[A-Z]+", f)]
+        covered = sum(len(r) for r in runs if r in ("battery", "correct", "horse"))
+        r = got[f]
+        assert r.length == len(f) and (r.named, r.assigned, r.quoted) == (float("token" in b), float(b.rstrip("\"' ")[-1:] in ("=", ":")), float(b[-1:] in ("'", '"')))
+        if f:
+            assert r.transitions == pytest.approx(change / len(f)) and r.dictionary == pytest.approx(covered / len(f))
+        assert r.pathlike == float(b in ("http://x/", "x@") or f == "a/b/c")
+
+
+def test_secret_forest_decides_on_held_out_findings(spark):
+    """Labelled findings teach that announced phrases of the corpus's words are no secrets; on texts not learned from it removes them."""
+    rng = random.Random(29)
+    key = lambda: "".join(rng.choice("abcdefghijkmnpqrstuvwxyz23456789ABCDEFGH") for _ in range(rng.randrange(14, 30)))
+    phrase = lambda: "".join(rng.choice(LONGER).title() for _ in range(3))
+    LONGER = ["horse", "battery", "staple", "window", "garden", "yellow", "planet"]
+    lines, truth = [], {}
+    for i in range(300):
+        value = key() if i % 2 else phrase()
+        truth[value] = bool(i % 2)
+        lines.append((i, f'the {" ".join(LONGER)} password = "{value}" and more'))
+    docs = spark.createDataFrame(lines, "doc_id long, text string")
+    labelled = [(v, 'the planet password = "', float(x)) for v, x in list(truth.items())[:200]]
+    got = [r for r in secrets.scan(docs, spark.createDataFrame(labelled, "found string, before string, label double")).collect() if r.found in truth and r.doc_id >= 200]
+    assert len(got) == 100 and sum(r.is_secret == truth[r.found] for r in got) >= 95
+    assert secrets.scan(docs, spark.createDataFrame(labelled[:1], "found string, before string, label double")).where("score is null").count() >= 300
+
+
+@pytest.fixture(scope="module")
+def rough(spark):
+    """Null and repeated ids, equal rows, and columns named like those the stages make."""
+    rng = random.Random(30)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, nth int, row_key string, taken_copies int, language string"
+    rows, base = [], prose(rng, 90)
+    for i in range(40):
+        rows.append((i if i % 5 else None, prose(rng, rng.randrange(20, 90)), "en", "ab"[i % 2], 1, 0.5, i, "k", 7, "l"))
+    rows += [(3, base, "en", "a", 1, 0.5, 100, None, 7, "l"), (None, base, "en", None, 1, 0.5, 101, "k", 7, "l"), (2, base + " more", "en", "b", 1, None, 102, "k", 7, "l")]
+    rows += [rows[1]] * 2 + [(50, None, None, None, None, None, None, None, None, None), (51, "½ 12", "en", "a", 1, 0.5, 103, "k", 7, "l")]
+    return spark.createDataFrame(rows, schema)
+
+
+def tuples(df):
+    return collections.Counter(tuple(r) for r in df.collect())
+
+
+def test_stage_language(spark, rough):
+    got = corpus_pipeline.identify_language(spark, rough, DATA)
+    assert got.columns == rough.columns and tuples(got) == collections.Counter({r: n for r, n in tuples(rough).items() if r[1] and re.search("[^\\W\\d_]", r[1].replace("½", ""))})
+
+
+def test_stage_near_duplicates(spark, rough):
+    rows = rough.collect()
+    groups = components(list(enumerate(r.text for r in rows)))
+    by = collections.defaultdict(list)
+    for i, (_, c) in groups.items():
+        by[c].append(rows[i])
+    want = collections.Counter(min(g, key=lambda r: (r.doc_id is None, r.doc_id or 0)) for g in by.values())
+    got = corpus_pipeline.drop_near_duplicates(spark, rough, DATA)
+    assert got.columns == rough.columns and tuples(got) == collections.Counter({tuple(r): n for r, n in want.items()})
+
+
+def test_stage_decontamination(spark, rough):
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").limit(3).collect()
+    leaky = [(i, f"{items[0].text} and more", "en", "a", 1, 0.5, 200, "k", 7, "l") for i in (None, 3)]
+    docs = rough.union(spark.createDataFrame(leaky, rough.schema))
+    got = corpus_pipeline.drop_benchmark_leaks(spark, docs, DATA)
+    assert got.columns == rough.columns and tuples(got) == tuples(rough)
+
+
+def test_stage_mixing(spark, rough):
+    got = corpus_pipeline.mix_sources(spark, rough, DATA)
+    assert got.columns == rough.columns
+    rows, before = tuples(got), tuples(rough)
+    assert all(n <= 2 * before[r] for r, n in rows.items())
+    size = collections.Counter()
+    for r, n in before.items():
+        size[r[3]] += n * len((r[1] or "").split())
+    taken = collections.Counter()
+    for r, n in rows.items():
+        taken[r[3]] += n * len((r[1] or "").split())
+    target = {r.source: r.target for r in mixing.mix_documents(rough, spark.read.parquet(f"{DATA}/labels.parquet")).select("source", "target").distinct().collect()}
+    assert all(abs(taken[s] - t) <= 50 and t <= 2 * size[s] for s, t in target.items())
+
+
+def test_stage_sharding(spark, rough):
+    got = corpus_pipeline.shard(spark, rough, DATA).toPandas()
+    assert len(got) == rough.count() and all(sorted(v) == list(range(len(v))) for _, v in got.groupby("shard").slot)
+
+
+def test_pipeline(spark, rough):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     near = corpus_pipeline.drop_near_duplicates(spark, docs, DATA)
     want = components([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(r.doc_id for r in near.collect()) == sorted(i for i, (_, c) in want.items() if i == c) and near.columns == docs.columns
+    for rows in (rough, rough.limit(0)):
+        for _, stage in corpus_pipeline.STAGES:
+            rows = stage(spark, rows, DATA)
+        assert {"doc_id", "shard", "slot"} <= set(rows.columns)
+        rows.collect()
     out = corpus_pipeline.run(spark, DATA)
     assert out.count() > 0 and {"doc_id", "shard", "slot"} <= set(out.columns)
+
+
+def test_no_machine_local_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from strandline.llm import common
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://h:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError):
+        common.shared_dir(cluster)
