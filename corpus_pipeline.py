@@ -1,15 +1,17 @@
 """A corpus pipeline in five stages, each on all that the one before it kept.
 
-Every stage but the last returns the columns of ``documents``. ``run`` writes
-each stage's rows as Parquet in the shared folder and reads them for the next.
+Every stage but the last returns the columns of ``documents``, whatever they
+are and are called. Stages decide on rows, not on ids: null and repeated ids
+are rows like any other. ``run`` writes each stage's rows as Parquet in the
+shared folder and reads them for the next.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut, table
+from strandline.llm.common import cut, free_name, keyed, table
 from strandline.llm.decontaminate import leaks
 from strandline.llm.jaccard import jaccard_components
 from strandline.llm.language import language_of
@@ -22,35 +24,37 @@ LEAST_SCORE = 0.1
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: no null texts, no texts without letters."""
-    found = language_of(docs, docs.columns)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    name = free_name(docs, "language")
+    found = language_of(docs, name)
+    return found.where((F.col(name)["lang_pred"] != "und") & (F.col(name)["score"] >= LEAST_SCORE)).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group, and those without id, which are in no group."""
-    out = cut(jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
-    kept = docs.join(out, docs.doc_id.cast("long") == out.gone, "left_anti")
-    twice = cut(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")))
-    if twice.isEmpty():
-        return kept
-    one = kept.join(twice, kept.doc_id == twice.again, "left")
-    nth = F.row_number().over(Window.partitionBy("again").orderBy("text"))
-    copies = one.where("again is not null").withColumn("nth", nth).where("nth = 1")
-    return one.where("again is null").select(*docs.columns).union(copies.select(*docs.columns))
+    """The document with the least id of each group (null last, of equal ids any one); what is in no group stays."""
+    key = free_name(docs, "row_key")
+    rows = keyed(docs, key)
+    found = cut(jaccard_components(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), F.col("component_id").alias("group_")))
+    ids = rows.select(F.col(key), F.col("doc_id").cast("long").alias("id_")).join(found, key)
+    first = F.struct(F.col("id_").isNull().alias("none"), "id_", F.col(key).alias("key"))
+    stays = ids.groupBy("group_").agg(F.min(first).alias("first")).select(F.col("first.key").alias(key))
+    return rows.join(stays, key, "left_semi").drop(key)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    out = cut(leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("gone")).distinct())
-    return docs.join(out, docs.doc_id.cast("long") == out.gone, "left_anti")
+    key = free_name(docs, "row_key")
+    rows = keyed(docs, key)
+    out = cut(leaks(rows.select(key, "text"), table(spark, sf_dir, "benchmark"), key).select(key).distinct())
+    return rows.join(out, key, "left_anti").drop(key)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    mixed = mix_documents(docs, table(spark, sf_dir, "labels"))
-    copies = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").cast("int").alias("taken_copies"))
-    taken = docs.join(copies, docs.doc_id.cast("long").eqNullSafe(F.col("taken_id")))
-    return taken.withColumn("taken_copies", F.explode(F.sequence(F.lit(1), F.col("taken_copies")))).select(*[taken[c] for c in docs.columns])
+    key, copies, nth = (free_name(docs, n) for n in ("row_key", "taken_copies", "nth_copy"))
+    rows = keyed(docs, key)
+    mixed = mix_documents(rows.select("doc_id", "text", "source", key), table(spark, sf_dir, "labels"), key)
+    taken = rows.join(mixed.where("copies > 0").select(key, F.col("copies").cast("int").alias(copies)), key)
+    return taken.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(key, copies, nth)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +70,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: Rank-order profiles, component search and latent retrieval are beyond SQL; the tests hold each stage against brute force.
+#: Rank-order profiles, component search and latent retrieval are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
