@@ -1,10 +1,19 @@
-"""Sequence and composition functions over columns of bases A, T, C, G (anything else is ambiguous)."""
+"""Sequence and composition functions over columns of bases A, T, C, G (anything else is ambiguous).
+
+Sequences are looked at in chunks: rows of a bounded length that overlap by as
+much as a k-mer or a window needs. So a sequence of any length is many rows, and
+counts are summed over its chunks. Within a chunk, counting runs over arrays of
+codes in Arrow batches; a row for each base would cost a hundred times as much.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BASES = "ATCG"
@@ -18,18 +27,106 @@ def encode(seq: Column) -> Column:
     return F.transform(F.split(F.translate(seq, "atcg", BASES), ""), lambda ch: F.instr(F.lit(BASES), ch) - 1)
 
 
+#: Bases of a chunk, about, and bases that are counted at once.
+CHUNK, AT_ONCE = 1 << 18, 1 << 18
+_CODE = np.full(128, 4, np.uint8)
+for _i, _base in enumerate(BASES):
+    _CODE[[ord(_base), ord(_base.lower())]] = _i
+
+
+def chunked(rows: DataFrame, seq: str, size: int, overlap: int) -> DataFrame:
+    """``rows`` with ``seq`` in chunks: each has ``offset`` (long), ``size`` positions from there and the next ``overlap`` ones, if there are any."""
+    assert overlap <= size
+    rest = [c for c in rows.columns if c != seq]
+    parts = F.when(F.length(seq) <= size, F.array(F.col(seq))).otherwise(F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
+    joined = F.transform("c_", lambda x, i: F.struct((i.cast("long") * size).alias("offset"), F.concat(x, F.substring(F.coalesce(F.get("c_", i + 1), F.lit("")), 1, overlap)).alias(seq)))
+    return rows.select(*rest, parts.alias("c_")).select(*rest, F.explode(joined).alias("c_")).select(*rest, "c_.offset", f"c_.{seq}")
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes 0 to 3 of all texts' characters, 4 for ambiguous ones, and where each text begins (one more entry than texts)."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.where(points < 128, _CODE[np.minimum(points, 127)], np.uint8(4))
+    return codes, np.cumsum([0, *map(len, texts)])
+
+
+def _kmer_ids(codes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, ids) of the unambiguous k-mers that lie within one text; places count over all texts."""
+    n = max(0, len(codes) - k + 1)
+    ids, good = np.zeros(n, np.int64), np.ones(n, bool)
+    for j in range(k):
+        c = codes[j : j + n]
+        ids = ids * 4 + c
+        good &= c < 4
+    for j in range(1, k):  # those that reach over a text's end
+        ends = at[1:-1] - j
+        good[ends[(ends >= 0) & (ends < n)]] = False
+    places = np.flatnonzero(good)
+    return places, ids[places]
+
+
+def _slices(texts: list) -> Iterator[tuple[int, int]]:
+    """Texts of about ``AT_ONCE`` characters at a time, as (first, last + 1)."""
+    low = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= AT_ONCE:
+            yield low, i + 1
+            low, size = i + 1, 0
+    if low < len(texts):
+        yield low, len(texts)
+
+
+def _in_batches(rows: DataFrame, seq: str, keys: list[str], made: str, run) -> DataFrame:
+    """``keys`` and what ``run`` (batch columns, texts) yields: indices of the texts and Arrow arrays of the columns ``made``."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(seq)).to_pylist()
+            held = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names if c != seq}
+            for low, high in _slices(texts):
+                which, columns = run({c: v[low:high] for c, v in held.items()}, texts[low:high])
+                if len(which):
+                    own = [held[c].take(pa.array(which + low)) for c in keys]
+                    yield pa.RecordBatch.from_arrays([*own, *columns.values()], names=[*keys, *columns])
+
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys), made])
+    return rows.where(F.col(seq).isNotNull()).mapInArrow(over, schema)
+
+
+def kmer_text(kid: Column, k: int) -> Column:
+    """The k-mer of an id (a long)."""
+    return F.concat(*[F.substring(F.lit(BASES), (F.shiftright(kid, 2 * (k - 1 - i)).bitwiseAND(F.lit(3).cast("long")) + 1).cast("int"), F.lit(1)) for i in range(k)])
+
+
 def kmers(rows: DataFrame, seq: str, k: int) -> DataFrame:
     """``rows`` without ``seq``, one row for each unambiguous k-mer (pos from 0, kmer)."""
-    rest = [c for c in rows.columns if c != seq]
-    r = rows.select(*rest, F.split(F.translate(seq, "atcg", BASES), "").alias("c_")).where(F.size("c_") >= k)
-    r = r.select(*rest, "c_", F.explode(F.sequence(F.lit(0), F.size("c_") - k)).alias("pos"))
-    r = r.select(*rest, "pos", F.array_join(F.slice("c_", F.col("pos") + 1, k), "").alias("kmer"))
-    return r.where(F.col("kmer").rlike(f"^[ATCG]{{{k}}}$"))
+    keys = [c for c in rows.columns if c != seq]
+
+    def run(columns, texts):
+        codes, at = _codes(texts)
+        places, ids = _kmer_ids(codes, at, k)
+        text = np.searchsorted(at, places, "right") - 1
+        offset = columns["offset"].to_numpy(zero_copy_only=False)
+        return text, {"pos": pa.array(places - at[text] + offset[text]), "kid": pa.array(ids)}
+
+    found = _in_batches(chunked(rows, seq, CHUNK, k - 1), seq, keys, "pos long, kid long", run)
+    return found.select(*keys, "pos", kmer_text(F.col("kid"), k).alias("kmer"))
 
 
 def kmer_counts(rows: DataFrame, seq: str, k: int) -> DataFrame:
+    """(keys, kmer, n): counts are made for each chunk, or batch of chunks where there are no keys, and summed."""
     keys = [c for c in rows.columns if c != seq]
-    return kmers(rows, seq, k).groupBy(*keys, "kmer").agg(F.count("*").alias("n"))
+
+    def run(columns, texts):
+        codes, at = _codes(texts)
+        places, ids = _kmer_ids(codes, at, k)
+        text = np.searchsorted(at, places, "right") - 1 if keys else np.zeros(len(places), np.int64)
+        each, n = np.unique((text << 2 * k) + ids, return_counts=True)
+        return each >> 2 * k, {"kid": pa.array(each & ((1 << 2 * k) - 1)), "n_": pa.array(n)}
+
+    found = _in_batches(chunked(rows, seq, CHUNK, k - 1), seq, keys, "kid long, n_ long", run)
+    return found.groupBy(*keys, "kid").agg(F.sum("n_").alias("n")).select(*keys, kmer_text(F.col("kid"), k).alias("kmer"), "n")
 
 
 def kmer_id(kmer: Column, k: int) -> Column:
@@ -58,30 +155,79 @@ def starts(rows: DataFrame, n: Column, step: int, name: str = "win_idx") -> Data
     return r.select(*rows.columns, F.explode(F.expr("sequence(0L, n_ - 1)")).alias(name)).withColumn("start", F.col(name) * step)
 
 
+def window_counts(rows: DataFrame, seq: str, key: str, ks: list[int], w: int, dw: int) -> DataFrame:
+    """(key, win_idx, c1, ck for each of ``ks``): counts, by id, of the bases and of the k-mers that start and end in each window.
+
+    Counts of each ``dw`` places are made once and summed over a window's ``w / dw``
+    of them, less the k-mers that begin in its last k - 1 places. A chunk holds
+    all places of the windows that start in it, so nothing is shuffled.
+    """
+    assert w % dw == 0 and max(ks, default=1) <= dw
+    m, size = w // dw, max(w, CHUNK // dw * dw)
+
+    def run(columns, texts):
+        codes, at = _codes(texts)
+        offset, length = (columns[c].to_numpy(zero_copy_only=False) for c in ("offset", "n_"))
+        windows = np.clip(np.minimum(size // dw, -(-(length - w) // dw) - offset // dw), 0, None)
+        hops = np.where(windows > 0, windows + m - 1, 0)
+        base = np.cumsum([0, *hops])
+        text = np.repeat(np.arange(len(texts)), windows)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
+        first = base[text] + nth
+        out = {"win_idx": pa.array(offset[text] // dw + nth)}
+        for k in (1, *ks):
+            places, ids = _kmer_ids(codes, at, k)
+            t = np.searchsorted(at, places, "right") - 1
+            pos = places - at[t]
+            used = pos < hops[t] * dw
+            pos, ids, t = pos[used], ids[used], t[used]
+            cell = (base[t] + pos // dw << 2 * k) + ids
+            shape = (int(base[-1]), 1 << 2 * k)
+            n = np.bincount(cell, minlength=shape[0] * shape[1]).reshape(shape)
+            upto = np.concatenate([np.zeros((1, shape[1]), np.int64), np.cumsum(n, axis=0)])
+            got = upto[first + m] - upto[first]
+            if k > 1:
+                late = np.bincount(cell[pos % dw > dw - k], minlength=shape[0] * shape[1]).reshape(shape)
+                got -= late[first + m - 1]
+            out[f"c{k}"] = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * shape[1]), pa.array(got.ravel()))
+        return text, out
+
+    sized = rows.select(key, F.length(seq).cast("long").alias("n_"), seq).where(F.col("n_") > w)
+    made = ", ".join(["win_idx long", *(f"c{k} array<bigint>" for k in (1, *ks))])
+    return _in_batches(chunked(sized, seq, size, w), seq, [key], made, run)
+
+
 def window_base_counts(rows: DataFrame, seq: str, key: str, w: int, dw: int) -> DataFrame:
-    """(key, win_idx, A, T, C, G) by hop buckets: counts of each ``dw`` bases are made once and summed over a window's buckets."""
-    assert w % dw == 0
-    r = rows.select(key, F.regexp_extract_all(F.translate(seq, "atcg", BASES), F.lit(f"(?s).{{1,{dw}}}"), F.lit(0)).alias("b_"), n_windows(F.length(seq), w, dw).alias("n_")).where("n_ > 0")
-    r = r.select(key, "n_", F.posexplode("b_").alias("win_idx", "s_"))
-    counts = base_counts(F.col("s_"))
-    r = r.select(key, "n_", "win_idx", *[c.alias(b) for b, c in counts.items()])
-    frame = Window.partitionBy(key).orderBy("win_idx").rowsBetween(0, w // dw - 1)
-    return r.select(key, "n_", F.col("win_idx").cast("long").alias("win_idx"), *[F.sum(b).over(frame).alias(b) for b in BASES]).where("win_idx < n_").drop("n_")
+    """(key, win_idx, A, T, C, G)."""
+    return window_counts(rows, seq, key, [], w, dw).select(key, "win_idx", *[F.get("c1", F.lit(i)).alias(b) for i, b in enumerate(BASES)])
 
 
 def window_kmer_counts(rows: DataFrame, seq: str, key: str, k: int, w: int, dw: int) -> DataFrame:
-    """(key, win_idx, kmer, n), zero counts left out: k-mers that start in the window and end in it.
+    """(key, win_idx, kmer, n), zero counts left out: k-mers that start in the window and end in it."""
+    found = window_counts(rows, seq, key, [k], w, dw).select(key, "win_idx", F.posexplode(f"c{k}").alias("kid", "n")).where("n > 0")
+    return found.select(key, "win_idx", kmer_text(F.col("kid").cast("long"), k).alias("kmer"), "n")
 
-    Each k-mer's count by bucket is made once; a window's is its buckets' sum less the last k - 1 places.
-    """
-    assert w % dw == 0
-    sized = rows.select(key, seq, n_windows(F.length(seq), w, dw).alias("n_")).where("n_ > 0")
-    at = kmers(sized, seq, k).withColumn("bucket", F.floor(F.col("pos") / dw))
-    per = at.groupBy(key, "n_", "kmer", "bucket").agg(F.count("*").alias("n"), F.sum((F.pmod("pos", F.lit(dw)) >= dw - k + 1).cast("long")).alias("tail"))
-    m = w // dw
-    spread = per.select(key, "n_", "kmer", "n", "tail", "bucket", F.explode(F.expr(f"sequence(greatest(0L, bucket - {m - 1}), bucket)")).alias("win_idx")).where("win_idx < n_")
-    n = F.sum(F.col("n") - F.when(F.col("bucket") == F.col("win_idx") + m - 1, F.col("tail")).otherwise(0))
-    return spread.groupBy(key, "win_idx", "kmer").agg(n.alias("n")).where("n > 0")
+
+def karlin_array(c1: Column, c2: Column, mode: str = "normalized") -> Column:
+    """The 16 dinucleotide biases, by id, of arrays of base and pair counts."""
+    return F.transform(c2, lambda n, i: karlin(n, F.get(c1, F.floor(i / 4).cast("int")).cast("double"), F.get(c1, i % 4).cast("double"), mode))
+
+
+def amino_acid_counts(c3: Column) -> Column:
+    """Counts of the 21 classes in alphabetical order, * first, from an array of the counts of 3-mers by id: all frames."""
+    ids = {a: [] for a in sorted(set(AMINO_ACIDS))}
+    for i, codon in enumerate(product(BASES, repeat=3)):
+        ids[CODONS["".join(codon)]].append(i)
+    return F.array(*[sum((F.get(c3, F.lit(i)) for i in of[1:]), F.get(c3, F.lit(of[0]))).cast("double") for of in ids.values()])
+
+
+def window_features(rows: DataFrame, seq: str, key: str, w: int, dw: int, mode: str = "normalized") -> DataFrame:
+    """(key, win_idx, gc, skew, h_dinuc, h_aa, h_tetra, dinuc, aa, tetra): each window's composition, the last three as arrays."""
+    n = window_counts(rows, seq, key, [2, 3, 4], w, dw)
+    n = n.select(key, "win_idx", "c1", karlin_array(F.col("c1"), F.col("c2"), mode).alias("dinuc"), amino_acid_counts(F.col("c3")).alias("aa"), F.col("c4").cast("array<double>").alias("tetra"))
+    c, g = F.get("c1", F.lit(2)), F.get("c1", F.lit(3))
+    named = {"gc": (g + c) / w, "skew": gc_skew(g, c), **{f"h_{a}": offset_entropy(F.col(a)) for a in ("dinuc", "aa", "tetra")}}
+    return n.select(key, "win_idx", *[c.alias(x) for x, c in named.items()], "dinuc", "aa", "tetra")
 
 
 def gc_skew(g: Column, c: Column) -> Column:
@@ -98,8 +244,9 @@ def karlin(n: Column, x: Column, y: Column, mode: str = "normalized") -> Column:
 def offset_entropy(counts: Column) -> Column:
     """Sum of p log2 p with p = f / sum + 1 over an array of counts; 0 if they sum to about nothing."""
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-    h = F.aggregate(counts, F.lit(0.0), lambda a, x: a + (x / total + 1) * F.log2(x / total + 1))
-    return F.when(F.abs(total) <= 1e-6, 0.0).otherwise(h)
+    share = lambda x: F.try_divide(x, total) + 1
+    h = F.aggregate(counts, F.lit(0.0), lambda a, x: a + share(x) * F.log2(share(x)))
+    return F.when(F.abs(total) > 1e-6, h).otherwise(0.0)
 
 
 def amino_acid(codon: Column) -> Column:
@@ -107,6 +254,12 @@ def amino_acid(codon: Column) -> Column:
     return F.element_at(table, codon)
 
 
+def gc_difference(counts: DataFrame, a: str, b: str) -> DataFrame:
+    """(gc_difference): by how much the shares of G and C among unambiguous bases differ between two names of (name, A, T, C, G)."""
+    share = lambda n: F.try_divide(F.sum(F.when(F.col("name") == n, F.col("G") + F.col("C"))), F.sum(F.when(F.col("name") == n, F.col("A") + F.col("T") + F.col("C") + F.col("G"))))
+    return counts.agg(F.abs(share(a) - share(b)).alias("gc_difference"))
+
+
 def profile_distances(profiles: DataFrame, a: str, b: str) -> DataFrame:
     """Euclidean, Manhattan and cosine distance of the k-mer profiles (name, kmer, f) of two names."""
     left, right = (profiles.where(F.col("name") == n).select("kmer", F.col("f").alias(f)) for n, f in ((a, "x"), (b, "y")))

@@ -6,42 +6,60 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.sources.staging import cut
 
-def pca(rows: DataFrame, d: int, key: str = "accession") -> DataFrame:
-    """``scores`` (array of ``d``): centred principal component scores of ``vec`` within each key.
+
+def pca_all(rows: DataFrame, dims: dict[str, int], key: str = "accession") -> DataFrame:
+    """``rows`` with each column of ``dims`` as its centred principal component scores within each key, so many at most.
 
     Second moments are sums over rows, so each task sends a matrix for each key
-    and not its rows; only those meet. Signs make each axis's largest entry positive.
+    and column and not its rows; only those meet. Signs make each axis's largest
+    entry positive. ``rows`` is read twice.
     """
+    columns = list(dims)
 
     def moments(frames):
         held: dict = {}
         for f in frames:
             for k, g in f.groupby(key, dropna=False):
-                x = np.stack(g.vec.to_numpy()).astype(float)
-                n, s, m = held.get(k, (0, 0.0, 0.0))
-                held[k] = n + len(x), s + x.sum(axis=0), m + x.T @ x
-        for k, (n, s, m) in held.items():
-            yield pd.DataFrame({key: [k], "n": [n], "s": [s.tolist()], "m": [m.ravel().tolist()]})
+                for c in columns:
+                    x = np.stack(g[c].to_numpy()).astype(float)
+                    n, s, m = held.get((k, c), (0, 0.0, 0.0))
+                    held[k, c] = n + len(x), s + x.sum(axis=0), m + x.T @ x
+        for (k, c), (n, s, m) in held.items():
+            yield pd.DataFrame({key: [k], "column": [c], "n": [n], "s": [s.tolist()], "m": [m.ravel().tolist()]})
 
     def axes(f: pd.DataFrame) -> pd.DataFrame:
         n, s = int(f.n.sum()), np.sum([np.array(x) for x in f.s], axis=0)
         m = np.sum([np.array(x) for x in f.m], axis=0).reshape(len(s), len(s))
         mean = s / n
         _, v = np.linalg.eigh(m / n - np.outer(mean, mean))
-        v = v[:, ::-1][:, : min(d, len(s), max(2, n - 1))]
+        v = v[:, ::-1][:, : min(dims[f.column.iloc[0]], len(s), max(2, n - 1))]
         v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
-        return pd.DataFrame({key: f[key].iloc[:1], "mean": [mean.tolist()], "axes": [v.T.tolist()]})
+        return pd.DataFrame({key: f[key].iloc[:1], "column": f.column.iloc[:1], "mean": [mean.tolist()], "axes": [v.T.tolist()]})
 
     kind = rows.schema[key].dataType.simpleString()
-    parts = rows.select(key, "vec").mapInPandas(moments, f"{key} {kind}, n long, s array<double>, m array<double>")
-    model = parts.groupBy(key).applyInPandas(axes, f"{key} {kind}, mean array<double>, axes array<array<double>>")
-    centred = F.zip_with("vec", "mean", lambda a, b: a - b)
+    parts = rows.select(key, *columns).mapInPandas(moments, f"{key} {kind}, column string, n long, s array<double>, m array<double>")
+    model = parts.groupBy(key, "column").applyInPandas(axes, f"{key} {kind}, column string, mean array<double>, axes array<array<double>>")
+    own = lambda c: F.max(F.when(F.col("column") == c, F.struct("mean", "axes"))).alias(f"model_{c}")
+    rows = rows.join(model.groupBy(key).agg(*[own(c) for c in columns]), key)
+    for c in columns:
+        rows = rows.withColumn(c, _onto(c, F.col(f"model_{c}"))).drop(f"model_{c}")
+    return rows
+
+
+def _onto(column: str, fit: Column) -> Column:
+    centred = F.zip_with(column, fit["mean"], lambda x, m: x - m)
     dot = lambda axis: F.aggregate(F.zip_with(axis, centred, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return rows.join(model, key).withColumn("scores", F.transform("axes", dot)).drop("mean", "axes")
+    return F.transform(fit["axes"], dot)
+
+
+def pca(rows: DataFrame, d: int, key: str = "accession") -> DataFrame:
+    """``rows`` with ``scores`` (array of ``d``): centred principal component scores of ``vec`` within each key."""
+    return pca_all(rows.withColumn("scores", F.col("vec")), {"scores": d}, key)
 
 
 def _chi2_cut(d: int, p: float) -> float:
@@ -93,8 +111,12 @@ def robust_covariance(x: np.ndarray, support: float, seed: int) -> tuple[np.ndar
     return mean, np.linalg.pinv(cov)
 
 
+#: Rows of a series that a fit takes at most, evenly spaced: a fit runs in one task.
+FIT_ROWS = 50_000
+
+
 def _fit(rows: DataFrame, contamination: float, support: float, seed: int, stride: int) -> DataFrame:
-    """(accession, location, precision, offset) fitted on every ``stride``-th row; a fit takes one key's decimated rows."""
+    """(accession, location, precision, offset) fitted on every ``stride``-th row of a series, or fewer if those are more than ``FIT_ROWS``."""
 
     def fit(f: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(f.sort_values("idx").x.to_numpy()).astype(float)
@@ -105,7 +127,8 @@ def _fit(rows: DataFrame, contamination: float, support: float, seed: int, strid
 
     kind = rows.schema["accession"].dataType.simpleString()
     nth = F.row_number().over(Window.partitionBy("accession").orderBy("idx")) - 1
-    some = rows.withColumn("nth_", nth).where(F.col("nth_") % stride == 0).select("accession", "idx", "x")
+    sizes = rows.groupBy("accession").agg(F.greatest(F.lit(stride), F.ceil(F.count("*") / FIT_ROWS)).alias("stride_"))
+    some = rows.withColumn("nth_", nth).join(sizes, "accession").where(F.col("nth_") % F.col("stride_") == 0).select("accession", "idx", "x")
     return some.groupBy("accession").applyInPandas(fit, f"accession {kind}, location array<double>, precision array<array<double>>, offset double")
 
 
@@ -121,9 +144,11 @@ def two_stage_envelope(rows: DataFrame, contamination=(0.15, 0.05), support=(0.7
     """``rows`` (accession, idx, x array) with ``score``: below 0 is alien.
 
     A first envelope scores all rows; a second one, fitted on its inliers,
-    scores those anew; outliers of the first keep their score.
+    scores those anew; outliers of the first keep their score. Rows and first
+    scores are written, as each is read several times.
     """
-    first = _scored(rows, _fit(rows, contamination[0], support[0], seed, stride), "s1")
+    rows = cut(rows)
+    first = cut(_scored(rows, _fit(rows, contamination[0], support[0], seed, stride), "s1"))
     inside = first.where("s1 >= 0").select("accession", "idx", "x")
     enough = inside.groupBy("accession").agg((F.count("*") > F.max(F.size("x")) + 2).alias("enough")).where("enough")
     second = _fit(inside.join(enough.select("accession"), "accession"), contamination[1], support[1], seed, stride)

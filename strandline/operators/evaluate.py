@@ -18,12 +18,14 @@ def rates(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"precision": p, "recall": r, "f1": safe(2 * p * r, p + r), "accuracy": 100 * safe(tp + tn, tp + tn + fp + fn), "mcc": mcc})
 
 
-def boundary_summary(matches: DataFrame, by: list[str]) -> DataFrame:
-    """n_matched, mabe, medians and shares within limits of both edges' errors, of the rows of ``best_overlap``; null where none matched."""
-    long = matches.where("matched").select(*by, "jaccard", "signed_start", "signed_end", F.explode(F.array("start_err", "end_err")).alias("err"))
-    within = {f"within_{n}": F.avg(F.when(F.col("err") <= n, 100.0).otherwise(0.0)) for n in (5, 10, 20)}
-    edges = long.groupBy(*by).agg(F.median("err").alias("mabe"), *[c.alias(n) for n, c in within.items()])
-    each = matches.groupBy(*by).agg(F.sum(F.col("matched").cast("long")).alias("n_matched"), F.median("jaccard").alias("median_jaccard"), F.median("signed_start").alias("median_signed_start"), F.median("signed_end").alias("median_signed_end"))
+def boundary_summary(matches: DataFrame, by: list[str], limits: tuple[int, ...] = (1000, 2500, 5000)) -> DataFrame:
+    """n_matched, mabe, medians and shares within ``limits`` of both edges' errors, of the rows of ``best_overlap``; null where none matched."""
+    m = F.when(F.col("matched"), F.lit(True))
+    long = matches.where("matched").select(*by, F.explode(F.array("start_err", "end_err")).alias("err"))
+    within = [F.avg(F.when(F.col("err") <= n, 100.0).otherwise(0.0)).alias(f"within_{n}") for n in limits]
+    edges = long.groupBy(*by).agg(F.median("err").alias("mabe"), *within)
+    medians = [F.median(F.when(m, F.col(c))).alias(f"median_{c}") for c in ("jaccard", "signed_start", "signed_end")]
+    each = matches.groupBy(*by).agg(F.sum(F.col("matched").cast("long")).alias("n_matched"), *medians)
     return each.join(edges, by, "left")
 
 
@@ -126,6 +128,52 @@ def best_config(scores: DataFrame, objective: Column, keys: list[str], by: list[
     return scores.withColumn("nth_", F.row_number().over(line)).where("nth_ = 1").drop("nth_")
 
 
+def folds(units: DataFrame, unit: str, n: int, seed: int = 0) -> DataFrame:
+    """(unit, fold): distinct units dealt into ``n`` folds of equal size (one more or less), in the order of a seeded hash.
+
+    Units are numbered within hash ranges, and ranges by running counts of a row each, so that no task takes them all.
+    """
+    ranges = 1024
+    rows = units.select(unit).distinct().withColumn("h_", F.xxhash64(F.lit(seed), unit)).withColumn("r_", F.shiftrightunsigned("h_", 54))
+    inside = F.row_number().over(Window.partitionBy("r_").orderBy("h_", unit))
+    sizes = rows.groupBy("r_").agg(F.count("*").alias("m_"))
+    ahead = sizes.select("r_", F.coalesce(F.sum("m_").over(Window.orderBy("r_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead_"))  # 1024 rows
+    assert ranges == 1 << 10
+    return rows.withColumn("i_", inside).join(F.broadcast(ahead), "r_").select(unit, ((F.col("i_") - 1 + F.col("ahead_")) % n).cast("int").alias("fold"))
+
+
+def self_comparisons(tests: DataFrame, difference: str = "mean_diff", p: str = "p", digits: int = 2) -> DataFrame:
+    """``tests`` with ``suspect``: a difference that rounds to 0 beside a p-value of 1, as of a method held against itself."""
+    return tests.withColumn("suspect", F.coalesce((F.round(difference, digits) == 0) & (F.col(p) >= 1 - 1e-9), F.lit(False)))
+
+
+def checked_comparisons(tests: DataFrame, **columns) -> DataFrame:
+    """``tests``; reading a row that compares a method with itself raises an error."""
+    found = self_comparisons(tests, **columns)
+    return found.where(F.when(F.col("suspect"), F.raise_error(F.lit("self-comparison: a method held against itself"))).otherwise(F.lit(True)).cast("boolean")).drop("suspect")
+
+
+def flags(text: Column, categories: dict[str, list[str]], any_of: tuple[str, ...] = ()) -> dict[str, Column]:
+    """A boolean for each category whose patterns (case does not count) a text matches, and ``any_hgt`` of those ``any_of``; null counts as empty."""
+    t = F.coalesce(text, F.lit(""))
+    found = {name: t.rlike("(?i)" + "|".join(patterns)) for name, patterns in categories.items()}
+    some = F.lit(False)
+    for name in any_of or categories:
+        some = some | found[name]
+    return found | {"any_hgt": some}
+
+
+def enrichment(genes: DataFrame, by: list[str], categories: list[str]) -> DataFrame:
+    """(by, category, marker_in, genes_in, rate_in, rate_out, odds_ratio, p) of ``genes`` (by, inside, a boolean column for each category)."""
+    long = genes.select(*by, "inside", F.inline(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("has")) for c in categories])))
+    cell = lambda i, h: F.sum(((F.col("inside") == i) & (F.col("has") == h)).cast("long"))
+    t = long.groupBy(*by, "category").agg(cell(True, True).alias("a"), cell(False, True).alias("b"), cell(True, False).alias("c"), cell(False, False).alias("d"))
+    a, b, c, d = (F.col(x) for x in "abcd")
+    rate = lambda x, y: 100 * x / F.greatest(x + y, F.lit(1))
+    ratio = odds_ratio(*[x.cast("double") for x in (a, b, c, d)])
+    return t.select(*by, "category", a.alias("marker_in"), (a + c).alias("genes_in"), rate(a, c).alias("rate_in"), rate(b, d).alias("rate_out"), ratio.alias("odds_ratio"), fisher_greater(a, b, c, d).alias("p"))
+
+
 def cross_validate(scores: DataFrame, config: list[str], unit: str, value: str, folds: int) -> DataFrame:
     """Per fold the configuration chosen on the other folds' units, and its mean on the fold's. ``scores`` has ``fold``."""
     train = scores.crossJoin(F.broadcast(scores.sparkSession.range(folds).select(F.col("id").alias("out"))))  # a row for each fold

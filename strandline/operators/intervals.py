@@ -89,14 +89,27 @@ def points_inside(points: DataFrame, other: DataFrame, keys: list[str] = KEYS) -
     return found.where("kind_ = 1").select(*keys, "pos", *extra, F.coalesce(F.col("last_") >= F.col("pos"), F.lit(False)).alias("inside"))
 
 
+def evaluated(pred: DataFrame, pos: DataFrame, neg: DataFrame, lengths: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """TP, FN, FP, TN of every series of ``lengths`` (keys, length), with all intervals clipped to it; 0 where a series has none."""
+    roles = (("pred", pred), ("pos", pos), ("neg", neg))
+    rows = [clip(f.select(*keys, "start", "end").join(lengths.select(*keys, "length"), keys)).select(*keys, F.lit(r).alias("role"), "start", "end") for r, f in roles]
+    found = confusion(rows[0].union(rows[1]).union(rows[2]), keys)
+    names = ("TP", "FN", "FP", "TN")
+    return lengths.select(*keys).join(found, keys, "left").select(*keys, *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names])
+
+
 def best_overlap(truth: DataFrame, preds: DataFrame, keys: list[str] = KEYS, bin_: int = 64) -> DataFrame:
     """Each interval of ``truth`` with the prediction of the largest overlap (ties: the first), and its edge errors.
 
-    Both sides are dealt into bins of ``bin_`` positions and joined on those: an equi-join instead of a range join.
+    Both sides are dealt into bins and joined on those: an equi-join instead of a range join. Bins are ``bin_`` positions
+    wide, doubled until a series' intervals are two bins long at most on average.
     """
-    bins = lambda: F.explode(F.expr(f"sequence(start div {bin_}, end div {bin_})")).alias("bin")
+    spans = truth.select(*keys, "start", "end").unionByName(preds.select(*keys, "start", "end"))
+    wide = spans.groupBy(*keys).agg((F.lit(bin_) * F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.avg(F.col("end") - F.col("start") + 1), F.lit(1.0)) / bin_))))).cast("long").alias("bin_"))
+    preds = preds.join(wide, keys)
+    bins = lambda: F.explode(F.expr("sequence(start div bin_, end div bin_)")).alias("bin")
     t = truth.select(*keys, "start", "end").distinct()
-    left = t.select(*keys, F.col("start").alias("ts"), F.col("end").alias("te"), bins())
+    left = t.join(wide, keys).select(*keys, F.col("start").alias("ts"), F.col("end").alias("te"), bins())
     right = preds.select(*keys, F.col("start").alias("ps"), F.col("end").alias("pe"), bins())
     ov = F.least("te", "pe") - F.greatest("ts", "ps") + 1
     pairs = left.join(right, [*keys, "bin"]).withColumn("ov", ov).where("ov > 0")
@@ -105,5 +118,6 @@ def best_overlap(truth: DataFrame, preds: DataFrame, keys: list[str] = KEYS, bin
     ps, pe = F.col("m.ps"), F.col("m.pe")
     union_ = F.greatest("te", pe) - F.least("ts", ps) + 1
     return out.select(
-        *keys, "ts", "te", F.col("m").isNotNull().alias("matched"), (ps - F.col("ts")).alias("signed_start"), (pe - F.col("te")).alias("signed_end"), F.abs(ps - F.col("ts")).alias("start_err"), F.abs(pe - F.col("te")).alias("end_err"), F.try_divide(-F.col("m.o"), union_).alias("jaccard")
+        *keys, "ts", "te", F.col("m").isNotNull().alias("matched"), (ps - F.col("ts")).alias("signed_start"), (pe - F.col("te")).alias("signed_end"), F.abs(ps - F.col("ts")).alias("start_err"), F.abs(pe - F.col("te")).alias("end_err"),
+        ((F.abs(ps - F.col("ts")) + F.abs(pe - F.col("te"))) / 2).alias("mean_err"), F.coalesce(F.try_divide(-F.col("m.o"), union_), F.lit(0.0)).alias("jaccard")
     )

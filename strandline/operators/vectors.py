@@ -16,13 +16,34 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.greatest(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(1e-12))
 
 
-def pool_windows(tiles: DataFrame, windows: DataFrame, tile: int, w: int) -> DataFrame:
-    """(accession, win_idx, dim, value): overlap-weighted mean of the tile vectors that each window (accession, win_idx, start) touches."""
-    long = tiles.select("accession", "tile_idx", F.posexplode("vec").alias("dim", "v"))
+def cosine_guard(rows: DataFrame, a: str, b: str, least: float = 0.999) -> DataFrame:
+    """(n, lowest, accepted): whether two versions of every vector point the same way."""
+    return rows.agg(F.count("*").alias("n"), F.min(cosine(F.col(a), F.col(b))).alias("lowest")).withColumn("accepted", F.coalesce(F.col("lowest") > least, F.lit(False)))
+
+
+def gathered(long: DataFrame, keys: list[str], dim: str, value: str) -> DataFrame:
+    """(keys, vec) of rows of one entry each."""
+    entries = F.array_sort(F.collect_list(F.struct(dim, value)))  # as many as a vector has
+    return long.groupBy(*keys).agg(F.transform(entries, lambda e: e[value]).alias("vec"))
+
+
+def pool_vectors(tiles: DataFrame, windows: DataFrame, tile: int, w: int, step: int | None = None) -> DataFrame:
+    """(accession, win_idx, vec): overlap-weighted mean of the tile vectors that each window (accession, win_idx, start) touches."""
+    if step not in (None, tile):
+        raise ValueError("tiles must follow each other without gap or overlap")
     touched = windows.select("accession", "win_idx", "start", F.explode(F.expr(f"sequence(floor(start / {tile}), floor((start + {w - 1}) / {tile}))")).alias("tile_idx"))
     weight = F.least(F.col("start") + w, (F.col("tile_idx") + 1) * tile) - F.greatest(F.col("start"), F.col("tile_idx") * tile)
-    rows = touched.withColumn("wt", weight).join(long, ["accession", "tile_idx"])
-    return rows.groupBy("accession", "win_idx", "dim").agg((F.sum(F.col("wt") * F.col("v")) / F.greatest(F.sum("wt"), F.lit(1e-6))).alias("value"))
+    rows = touched.withColumn("wt", weight.cast("double")).join(tiles.select("accession", "tile_idx", "vec"), ["accession", "tile_idx"])
+    some = F.array_sort(F.collect_list(F.struct("tile_idx", "wt", "vec")))  # the few tiles of one window
+    found = rows.groupBy("accession", "win_idx").agg(some.alias("t_"), F.sum("wt").alias("all_"))
+    none = F.transform(F.get("t_", F.lit(0))["vec"], lambda _: F.lit(0.0))
+    total = F.aggregate("t_", none, lambda s, t: F.zip_with(s, t["vec"], lambda a, v: a + t["wt"] * v))
+    return found.select("accession", "win_idx", F.transform(total, lambda v: v / F.greatest(F.col("all_"), F.lit(1e-6))).alias("vec"))
+
+
+def pool_windows(tiles: DataFrame, windows: DataFrame, tile: int, w: int) -> DataFrame:
+    """(accession, win_idx, dim, value) of :func:`pool_vectors`."""
+    return pool_vectors(tiles, windows, tile, w).select("accession", "win_idx", F.posexplode("vec").alias("dim", "value"))
 
 
 def robust_distance(tiles: DataFrame) -> DataFrame:

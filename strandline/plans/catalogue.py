@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
-from strandline.operators import detect, evaluate, intervals, tracks, vectors
+from strandline.operators import detect, evaluate, intervals, predict, tracks, vectors
+from strandline.plans import configs
+from strandline.sources import genomes
 
 LETTERS = string.ascii_lowercase + string.ascii_uppercase
 ON_BASES = "".join(S.BASES[i % 26 % 4] for i in range(52))
@@ -75,7 +77,7 @@ _RATES = """round(100.0 * coalesce("TP" / nullif("TP" + "FP", 0), 0), 6) AS prec
   round(coalesce(("TP" * "TN" - "FP" * "FN") / nullif(sqrt(CAST("TP" + "FP" AS DOUBLE) * ("TP" + "FN") * ("TN" + "FP") * ("TN" + "FN")), 0), 0), 6) AS mcc"""
 _BEST = f"""{_PARTS}, t AS (SELECT DISTINCT accession, s, e FROM parts WHERE role = 'pos'), p AS (SELECT accession, s, e FROM parts WHERE role = 'pred'),
 j AS (SELECT t.accession, t.s AS ts, t.e AS te, p.s AS ps, p.e AS pe, least(t.e, p.e) - greatest(t.s, p.s) + 1 AS ov FROM t LEFT JOIN p ON p.accession = t.accession AND p.s <= t.e AND p.e >= t.s),
-best AS (SELECT *, CASE WHEN ps IS NULL THEN NULL ELSE ov / (greatest(te, pe) - least(ts, ps) + 1) END AS jac FROM j QUALIFY row_number() OVER (PARTITION BY accession, ts, te ORDER BY CASE WHEN ps IS NULL THEN 0 ELSE ov END DESC, ps, pe) = 1)"""
+best AS (SELECT *, CASE WHEN ps IS NULL THEN 0.0 ELSE ov / (greatest(te, pe) - least(ts, ps) + 1) END AS jac FROM j QUALIFY row_number() OVER (PARTITION BY accession, ts, te ORDER BY CASE WHEN ps IS NULL THEN 0 ELSE ov END DESC, ps, pe) = 1)"""
 _TILES = "tiles AS (SELECT CAST(label AS BIGINT) AS accession, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS tile_idx, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)"
 _LONG = _TILES + ", long AS (SELECT accession, tile_idx, unnest(range(0, len(vec))) AS dim, unnest(vec) AS v FROM tiles)"
 _ROBUST = f"""{_LONG}, c AS (SELECT accession, dim, median(v) AS m FROM long GROUP BY ALL),
@@ -106,7 +108,8 @@ def q_base_counts(spark, d):
 
 @query("q_encode", f"WITH {_SEQ} SELECT doc_id, CAST(list_sum(list_transform(string_split(seq, ''), lambda ch: instr('ATCG', ch) - 1)) AS BIGINT) AS code_sum FROM seqs WHERE seq <> ''")
 def q_encode(spark, d):
-    return sequences(spark, d).where("seq <> ''").select("doc_id", F.aggregate(S.encode(F.col("seq")), F.lit(0).cast("long"), lambda a, x: a + x).alias("code_sum"))
+    parts = S.chunked(sequences(spark, d).where("seq <> ''"), "seq", S.CHUNK, 0)
+    return parts.groupBy("doc_id").agg(F.sum(F.aggregate(S.encode(F.col("seq")), F.lit(0).cast("long"), lambda a, x: a + x)).alias("code_sum"))
 
 
 _ONE = _CH + ", one AS (SELECT doc_id, unnest(c) AS ch, generate_subscripts(c, 1) - 1 AS pos FROM chars)"
@@ -183,13 +186,12 @@ def q_l2(spark, d):
     return tiles(spark, d).select("accession", "tile_idx", F.posexplode(vectors.l2(F.col("vec"))).alias("dim", "v")).select("accession", "tile_idx", F.col("dim").cast("long").alias("dim"), r6(F.col("v"), "value"))
 
 
-@query("q_pool_windows", f"WITH {_LONG}, n AS (SELECT accession, max(tile_idx) + 1 AS n FROM tiles GROUP BY 1), w AS (SELECT accession, unnest(range(0, CAST(greatest(0, ceil((n * {TILE} - 35) / 5)) AS BIGINT))) AS win_idx FROM n), j AS (SELECT w.accession, win_idx, dim, v, least(win_idx * 5 + 35, (tile_idx + 1) * {TILE}) - greatest(win_idx * 5, tile_idx * {TILE}) AS wt FROM w JOIN long USING (accession)) SELECT accession, win_idx, dim, round(sum(wt * v) / sum(wt), 6) AS value FROM j WHERE wt > 0 AND dim < 8 GROUP BY ALL")
+@query("q_pool_windows", f"WITH {_LONG}, n AS (SELECT accession, max(tile_idx) + 1 AS n FROM tiles GROUP BY 1), w AS (SELECT accession, unnest(range(0, CAST(greatest(0, ceil((n * {TILE} - 35) / 5)) AS BIGINT))) AS win_idx FROM n), j AS (SELECT w.accession, win_idx, dim, v, least(win_idx * 5 + 35, (tile_idx + 1) * {TILE}) - greatest(win_idx * 5, tile_idx * {TILE}) AS wt FROM w JOIN long USING (accession)) SELECT accession, win_idx, dim, round(sum(wt * v) / sum(wt), 6) AS value FROM j WHERE wt > 0 GROUP BY ALL")
 def q_pool_windows(spark, d):
     t = tiles(spark, d)
     n = t.groupBy("accession").agg(((F.max("tile_idx") + 1) * TILE).alias("len"))
     windows = S.starts(n, S.n_windows(F.col("len"), 35, 5), 5).select("accession", "win_idx", "start")
-    short = t.withColumn("vec", F.slice("vec", 1, 8))
-    return vectors.pool_windows(short, windows, TILE, 35).select("accession", "win_idx", F.col("dim").cast("long").alias("dim"), r6(F.col("value"), "value"))
+    return vectors.pool_windows(t, windows, TILE, 35).select("accession", "win_idx", F.col("dim").cast("long").alias("dim"), r6(F.col("value"), "value"))
 
 
 @query("q_robust_stat", f"WITH {_ROBUST} SELECT accession, idx, round(score, 5) AS score FROM rd")
@@ -279,15 +281,15 @@ def q_strict_official(spark, d):
     return seg.groupBy("accession").agg(r6(100 * F.try_divide(tp, tp + fp), "official"), r6(100 * F.try_divide(tp, called), "strict"), r6(called / F.lit(float(SPAN)), "called"))
 
 
-@query("q_boundary_errors", f"WITH {_BEST} SELECT accession, ts, te, ps IS NOT NULL AS matched, ps - ts AS signed_start, pe - te AS signed_end, round(jac, 6) AS jaccard FROM best")
+@query("q_boundary_errors", f"WITH {_BEST} SELECT accession, ts, te, ps IS NOT NULL AS matched, ps - ts AS signed_start, pe - te AS signed_end, (abs(ps - ts) + abs(pe - te)) / 2 AS mean_err, round(jac, 6) AS jaccard FROM best")
 def q_boundary_errors(spark, d):
-    return intervals.best_overlap(role(spark, d, "pos"), role(spark, d, "pred")).select("accession", "ts", "te", "matched", "signed_start", "signed_end", r6(F.col("jaccard"), "jaccard"))
+    return intervals.best_overlap(role(spark, d, "pos"), role(spark, d, "pred")).select("accession", "ts", "te", "matched", "signed_start", "signed_end", "mean_err", r6(F.col("jaccard"), "jaccard"))
 
 
-@query("q_boundary_summary", f"WITH {_BEST}, b AS (SELECT accession % 50 AS grp, * FROM best), e AS (SELECT grp, unnest([abs(ps - ts), abs(pe - te)]) AS err FROM b WHERE ps IS NOT NULL), es AS (SELECT grp, median(err) AS mabe, {', '.join(f'round(avg(CASE WHEN err <= {n} THEN 100.0 ELSE 0.0 END), 6) AS within_{n}' for n in (5, 10, 20))} FROM e GROUP BY grp) SELECT grp, CAST(count(ps) AS BIGINT) AS n_matched, round(median(jac), 6) AS median_jaccard, any_value(mabe) AS mabe, any_value(within_5) AS within_5, any_value(within_10) AS within_10, any_value(within_20) AS within_20 FROM b LEFT JOIN es USING (grp) GROUP BY grp")
+@query("q_boundary_summary", f"WITH {_BEST}, b AS (SELECT accession % 50 AS grp, * FROM best), e AS (SELECT grp, unnest([abs(ps - ts), abs(pe - te)]) AS err FROM b WHERE ps IS NOT NULL), es AS (SELECT grp, median(err) AS mabe, {', '.join(f'round(avg(CASE WHEN err <= {n} THEN 100.0 ELSE 0.0 END), 6) AS within_{n}' for n in (5, 10, 20))} FROM e GROUP BY grp) SELECT grp, CAST(count(ps) AS BIGINT) AS n_matched, round(median(CASE WHEN ps IS NOT NULL THEN jac END), 6) AS median_jaccard, any_value(mabe) AS mabe, any_value(within_5) AS within_5, any_value(within_10) AS within_10, any_value(within_20) AS within_20 FROM b LEFT JOIN es USING (grp) GROUP BY grp")
 def q_boundary_summary(spark, d):
     m = intervals.best_overlap(role(spark, d, "pos"), role(spark, d, "pred")).withColumn("grp", F.col("accession") % 50)
-    s = evaluate.boundary_summary(m, ["grp"])
+    s = evaluate.boundary_summary(m, ["grp"], (5, 10, 20))
     return s.select("grp", "n_matched", r6(F.col("median_jaccard"), "median_jaccard"), "mabe", *[r6(F.col(f"within_{n}"), f"within_{n}") for n in (5, 10, 20)])
 
 
@@ -322,8 +324,10 @@ _PAIR = "m AS (SELECT user_id, event_type, max(value) AS v FROM events GROUP BY
 
 def _pairs(spark, d):
     means = read(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("v"))
-    a, b = [r[0] for r in read(spark, d, "events").select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    return evaluate.paired(means, "user_id", "event_type", "v", a, b).withColumn("d", F.round("d", 2))
+    # the first two event types, as a row of two names beside each
+    names = read(spark, d, "events").select("event_type").distinct().agg(F.array_sort(F.collect_set("event_type")).alias("t"))
+    named = means.join(F.broadcast(names), F.lit(True)).select("user_id", "v", (F.array_position("t", F.col("event_type"))).alias("nth"))  # one row of a few names
+    return evaluate.paired(named, "user_id", "nth", "v", 1, 2).withColumn("d", F.round("d", 2))
 
 
 @query("q_pivot_pairs", f"WITH {_PAIR} SELECT user_id, d FROM pr")
@@ -331,10 +335,21 @@ def q_pivot_pairs(spark, d):
     return _pairs(spark, d).select("user_id", "d")
 
 
-@query("q_wilcoxon", f"WITH {_PAIR}, r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM pr WHERE d <> 0) SELECT (SELECT count(*) FROM pr) AS n, (SELECT count(*) FROM pr WHERE d > 0) AS wins, round(sum(r) FILTER (WHERE d > 0), 3) AS w_plus, round(sum(r) FILTER (WHERE d < 0), 3) AS w_minus FROM r")
-def q_wilcoxon(spark, d):
-    w = evaluate.wilcoxon(_pairs(spark, d))
-    return w.select("n", "wins", F.round("w_plus", 3).alias("w_plus"), F.round("w_minus", 3).alias("w_minus"))
+def _signed_ranks(used: str, where: str) -> str:
+    """Rank sums and z of ``pr``, of the rows ``used``, zero differences' ranks in halves."""
+    return f"""r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM pr {where}),
+ti AS (SELECT sum(m * m * m - m) AS ties FROM (SELECT count(*) AS m FROM r GROUP BY abs(d))),
+w AS (SELECT count(*) AS k, sum(CASE WHEN d > 0 THEN r WHEN d = 0 THEN r / 2 ELSE 0 END) AS wp, sum(CASE WHEN d < 0 THEN r WHEN d = 0 THEN r / 2 ELSE 0 END) AS wm FROM r)
+SELECT (SELECT count(*) FROM pr) AS n, (SELECT count(*) FROM pr WHERE d > 0) AS wins, round(wp, 3) AS w_plus, round(wm, 3) AS w_minus,
+  round((least(wp, wm) - k * (k + 1) / 4.0) / nullif(sqrt(k * (k + 1) * (2 * k + 1) / 24.0 - ties / 48.0), 0), 6) AS z FROM w, ti"""
+
+
+for _zeros, _where in (("wilcox", "WHERE d <> 0"), ("zsplit", "")):
+
+    @query("q_wilcoxon" if _zeros == "wilcox" else f"q_wilcoxon_{_zeros}", f"WITH {_PAIR}, {_signed_ranks(_zeros, _where)}")
+    def q_wilcoxon(spark, d, zeros=_zeros):
+        w = evaluate.wilcoxon(_pairs(spark, d), zeros)
+        return w.select("n", "wins", F.round("w_plus", 3).alias("w_plus"), F.round("w_minus", 3).alias("w_minus"), r6(F.col("z"), "z"))
 
 
 @query("q_bootstrap")
@@ -389,28 +404,39 @@ def q_qcut(spark, d):
 
 @query("q_keyword_flags", "SELECT doc_id, regexp_matches(coalesce(text, ''), 'licen[sc]e', 'i') AS license, regexp_matches(coalesce(text, ''), 'token|secret', 'i') AS secret, regexp_matches(coalesce(text, ''), 'licen[sc]e|token|secret', 'i') AS any_flag FROM documents")
 def q_keyword_flags(spark, d):
-    t = F.coalesce("text", F.lit(""))
-    a, b = t.rlike("(?i)licen[sc]e"), t.rlike("(?i)token|secret")
-    return read(spark, d, "documents").select("doc_id", a.alias("license"), b.alias("secret"), (a | b).alias("any_flag"))
+    found = evaluate.flags(F.col("text"), {"license": ["licen[sc]e"], "secret": ["token", "secret"]})
+    return read(spark, d, "documents").select("doc_id", *[c.alias("any_flag" if n == "any_hgt" else n) for n, c in found.items()])
+
+
+_CATS = {n: "|".join(p).replace("'", "''") for n, p in configs.CATEGORIES.items()}
+_PRODUCTS = "c AS (SELECT list_sort(list(DISTINCT k)) AS k FROM (VALUES ('ISxx integrase'), ('IS256 element'), ('phage tail'), ('fimbrial protein'), ('toxin'), ('multidrug efflux pump'), ('plain protein'), ('TetracyclinE binding')) v(k))"
+PRODUCTS = sorted(["ISxx integrase", "IS256 element", "phage tail", "fimbrial protein", "toxin", "multidrug efflux pump", "plain protein", "TetracyclinE binding"])
+
+
+@query("q_categories", f"WITH {_PRODUCTS}, p AS (SELECT p_partkey, p_brand || ' ' || k[p_partkey % 8 + 1] AS product FROM part, c), f AS (SELECT p_partkey, {', '.join(f"regexp_matches(product, '{x}', 'i') AS {n}" for n, x in _CATS.items())} FROM p) SELECT *, mobility OR virulence OR resistance AS any_hgt FROM f")
+def q_categories(spark, d):
+    """Parts under made product names, by what the patterns of categories find in them."""
+    product = F.concat("p_brand", F.lit(" "), F.get(F.array(*[F.lit(p) for p in PRODUCTS]), (F.col("p_partkey") % 8).cast("int")))
+    return read(spark, d, "part").select("p_partkey", *[c.alias(n) for n, c in evaluate.flags(product, configs.CATEGORIES).items()])
 
 
 @query("q_header_fill", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS user_turn FROM conversations")
 def q_header_fill(spark, d):
-    line = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return read(spark, d, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(line).alias("user_turn"))
+    rows = read(spark, d, "conversations").select("conv_id", "turn", "role")
+    return genomes.carried(rows, "conv_id", "turn", F.when(F.col("role") == "user", F.col("turn")), "user_turn").drop("role")
 
 
 @query("q_union_dedup", "WITH u AS (SELECT l_orderkey AS k, l_linenumber AS o, l_extendedprice AS v FROM lineitem UNION ALL SELECT o_orderkey, 0, o_totalprice FROM orders) SELECT k, v FROM u QUALIFY row_number() OVER (PARTITION BY k ORDER BY o DESC, v DESC) = 1")
 def q_union_dedup(spark, d):
     u = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("o"), F.col("l_extendedprice").alias("v"))
     u = u.unionByName(read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit(0).alias("o"), F.col("o_totalprice").alias("v")))
-    return u.groupBy("k").agg(F.max(F.struct("o", "v")).alias("m")).select("k", "m.v")
+    return genomes.last_of(u, ["k"], ["o"]).select("k", "v")
 
 
 @query("q_resume_antijoin", "SELECT o_orderkey, sha1(o_orderpriority)[1:10] AS digest FROM orders ANTI JOIN (SELECT l_orderkey AS o_orderkey FROM lineitem WHERE l_returnflag = 'R') USING (o_orderkey)")
 def q_resume_antijoin(spark, d):
     done = read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return read(spark, d, "orders").join(done, "o_orderkey", "left_anti").select("o_orderkey", F.substring(F.sha1("o_orderpriority"), 1, 10).alias("digest"))
+    return genomes.missing(read(spark, d, "orders"), done, ["o_orderkey"]).select("o_orderkey", F.substring(F.sha1("o_orderpriority"), 1, 10).alias("digest"))
 
 
 @query("q_refine")
@@ -432,11 +458,100 @@ def q_mcd_scores(spark, d):
     return detect.two_stage_envelope(x, stride=1).select("accession", "idx", r6(F.col("score"), "score"))
 
 
+_BASE_OF = "substring('ATCG', CAST(vec[2 * j - 1] > 0 AS INTEGER) * 2 + CAST(vec[2 * j] > 0 AS INTEGER) + 1, 1)"
+_LSEQ = f"{_TILES}, lseq AS (SELECT accession, string_agg(s, '' ORDER BY tile_idx) AS seq, count(*) * {TILE} AS len FROM (SELECT accession, tile_idx, array_to_string(list_transform(range(1, {TILE + 1}), lambda j: {_BASE_OF}), '') AS s FROM tiles) GROUP BY accession)"
+
+
+def label_sequences(spark, d) -> DataFrame:
+    """(accession, seq): bases by the signs of each tile's first entries, so that a series has tiles and a sequence."""
+    bit = lambda i: (F.get("vec", F.lit(i)) > 0).cast("int")
+    own = F.concat(*[F.substring(F.lit(S.BASES), bit(2 * j) * 2 + bit(2 * j + 1) + 1, F.lit(1)) for j in range(TILE)])
+    rows = tiles(spark, d).select("accession", "tile_idx", own.alias("s"))
+    whole = F.array_sort(F.collect_list(F.struct("tile_idx", "s")))  # a sequence, as the readers give it
+    return rows.groupBy("accession").agg(F.array_join(F.transform(whole, lambda t: t["s"]), "").alias("seq"))
+
+
+def _windowed(k: int) -> str:
+    """Counts of the k-mers of each window of 400 at steps of 200, as wk<k>."""
+    next_ = " || ".join(["ch", *(f"lead(ch, {i}) OVER w" for i in range(1, k))])
+    return f"""km{k} AS (SELECT doc_id, pos, {next_} AS kmer FROM one {"WINDOW w AS (PARTITION BY doc_id ORDER BY pos)" if k > 1 else ""}),
+wk{k} AS (SELECT doc_id, kmer, pos // 200 - o AS win_idx, count(*) AS c FROM km{k} JOIN nw USING (doc_id), (VALUES (0), (1)) v(o) WHERE regexp_full_match(kmer, '[ATCG]{{{k}}}') AND pos // 200 - o >= 0 AND pos // 200 - o < n AND pos + {k} <= (pos // 200 - o) * 200 + 400 GROUP BY ALL)"""
+
+
+def _entropy(rows: str, f: str, name: str) -> str:
+    return f"{name} AS (SELECT doc_id, win_idx, sum((f / s + 1) * log2(f / s + 1)) AS {name} FROM (SELECT doc_id, win_idx, {f} AS f, sum({f}) OVER (PARTITION BY doc_id, win_idx) AS s FROM {rows}) GROUP BY ALL)"
+
+
+_AA = ", ".join(str(x) for x in S.CODONS.items())
+_FEATURES = f"""{_ONE}, nw AS (SELECT doc_id, CAST(greatest(0, ceil((len - 400) / 200)) AS BIGINT) AS n FROM chars), {', '.join(_windowed(k) for k in (1, 2, 3, 4))},
+grid AS (SELECT doc_id, unnest(range(0, n)) AS win_idx FROM nw),
+b1 AS (SELECT doc_id, win_idx, sum(c) FILTER (WHERE kmer = 'G') AS g, sum(c) FILTER (WHERE kmer = 'C') AS c FROM wk1 GROUP BY ALL),
+bias AS (SELECT p.doc_id, p.win_idx, p.c / (sqrt(x.c) * sqrt(y.c) + 1e-6) AS f FROM wk2 p JOIN wk1 x ON x.doc_id = p.doc_id AND x.win_idx = p.win_idx AND x.kmer = p.kmer[1] JOIN wk1 y ON y.doc_id = p.doc_id AND y.win_idx = p.win_idx AND y.kmer = p.kmer[2]),
+acid AS (SELECT doc_id, win_idx, aa, sum(c) AS f FROM wk3 JOIN (VALUES {_AA}) v(codon, aa) ON codon = kmer GROUP BY ALL),
+{_entropy("bias", "f", "h_dinuc")}, {_entropy("acid", "f", "h_aa")}, {_entropy("wk4", "c", "h_tetra")}"""
+
+
+@query("q_window_features", f"WITH {_FEATURES} SELECT doc_id, win_idx, round((coalesce(g, 0) + coalesce(c, 0)) / 400.0, 6) AS gc, round(coalesce((coalesce(g, 0) - coalesce(c, 0)) / nullif(coalesce(g, 0) + coalesce(c, 0), 0), 0), 6) AS skew, {', '.join(f'round(coalesce({h}, 0), 6) AS {h}' for h in ('h_dinuc', 'h_aa', 'h_tetra'))} FROM grid LEFT JOIN b1 USING (doc_id, win_idx) LEFT JOIN h_dinuc USING (doc_id, win_idx) LEFT JOIN h_aa USING (doc_id, win_idx) LEFT JOIN h_tetra USING (doc_id, win_idx)")
+def q_window_features(spark, d):
+    f = S.window_features(sequences(spark, d), "seq", "doc_id", 400, 200)
+    return f.select("doc_id", "win_idx", *[r6(F.col(c), c) for c in ("gc", "skew", "h_dinuc", "h_aa", "h_tetra")])
+
+
+@query("q_fused_windows", f"""WITH {_LSEQ}, long AS (SELECT accession, tile_idx, unnest(range(0, len(vec))) AS dim, unnest(vec) AS v FROM tiles),
+w AS (SELECT accession, seq, unnest(range(0, CAST(greatest(0, ceil((len - 40) / 10)) AS BIGINT))) AS win_idx FROM lseq),
+c AS (SELECT accession, win_idx, length(s) - length(replace(s, 'G', '')) AS g, length(s) - length(replace(s, 'C', '')) AS c FROM (SELECT accession, win_idx, substring(seq, win_idx * 10 + 1, 40) AS s FROM w)),
+j AS (SELECT w.accession, win_idx, dim, v, least(win_idx * 10 + 40, (tile_idx + 1) * {TILE}) - greatest(win_idx * 10, tile_idx * {TILE}) AS wt FROM w JOIN long USING (accession))
+SELECT accession, win_idx, dim, round(sum(wt * v) / sum(wt), 6) AS value FROM j WHERE wt > 0 GROUP BY ALL
+UNION ALL SELECT accession, win_idx, 64, round((g + c) / 40.0, 6) FROM c UNION ALL SELECT accession, win_idx, 65, round(coalesce((g - c) / nullif(g + c, 0), 0), 6) FROM c""")
+def q_fused_windows(spark, d):
+    """Pooled tile vectors and composition of the same windows, one after the other."""
+    t, seq = tiles(spark, d), label_sequences(spark, d)
+    windows = S.starts(seq.select("accession", F.length("seq").alias("len")), S.n_windows(F.col("len"), 40, 10), 10).select("accession", "win_idx", "start")
+    n = S.window_counts(seq, "seq", "accession", [], 40, 10)
+    c, g = F.get("c1", F.lit(2)), F.get("c1", F.lit(3))
+    composition = n.select("accession", "win_idx", F.array((g + c) / 40, S.gc_skew(g, c)).alias("vec"))
+    fused = predict.window_matrix([vectors.pool_vectors(t, windows, TILE, 40), composition])
+    return fused.select("accession", "win_idx", F.posexplode("vec").alias("dim", "v")).select("accession", "win_idx", F.col("dim").cast("long").alias("dim"), r6(F.col("v"), "value"))
+
+
+@query("q_cosine_guard", f"WITH {_TILES}, c AS (SELECT list_dot_product(vec, r) / greatest(sqrt(list_dot_product(vec, vec)) * sqrt(list_dot_product(r, r)), 1e-12) AS c FROM (SELECT vec, list_transform(vec, lambda x: round(x, 1)) AS r FROM tiles)) SELECT count(*) AS n, round(min(c), 9) AS lowest, coalesce(min(c) > 0.999, false) AS accepted FROM c")
+def q_cosine_guard(spark, d):
+    """Vectors against themselves with one digit."""
+    t = tiles(spark, d).withColumn("short", F.transform("vec", lambda x: F.round(x, 1)))
+    return vectors.cosine_guard(t, "vec", "short").withColumn("lowest", F.round("lowest", 9))
+
+
+@query("q_evaluate", f"WITH {_PARTS}, l AS (SELECT DISTINCT accession FROM parts), cell AS (SELECT accession, p, max(role = 'pred') AS pr, max(role = 'pos') AS po, max(role = 'neg') AS ne FROM bases WHERE p < {SPAN // 3} GROUP BY accession, p), n AS (SELECT accession, count(*) FILTER (WHERE pr AND po) AS tp, count(*) FILTER (WHERE NOT pr AND po) AS fn, count(*) FILTER (WHERE pr AND ne) AS fp, count(*) FILTER (WHERE NOT pr AND ne) AS tn FROM cell GROUP BY accession) SELECT l.accession, coalesce(tp, 0) AS \"TP\", coalesce(fn, 0) AS \"FN\", coalesce(fp, 0) AS \"FP\", coalesce(tn, 0) AS \"TN\", round(100.0 * coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(100.0 * coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall FROM l LEFT JOIN n USING (accession)")
+def q_evaluate(spark, d):
+    """All intervals clipped to a third of the span, and counted."""
+    lengths = parts(spark, d).select("accession").distinct().withColumn("length", F.lit(SPAN // 3).cast("long"))
+    found = evaluate.rates(intervals.evaluated(*[role(spark, d, r) for r in ("pred", "pos", "neg")], lengths))
+    return found.select("accession", "TP", "FN", "FP", "TN", r6(F.col("precision"), "precision"), r6(F.col("recall"), "recall"))
+
+
+@query("q_pipeline_composition")
+def q_pipeline_composition(spark, d):
+    """The compositional baseline over the labels' sequences."""
+    return predict.by_composition(label_sequences(spark, d), 80, 10, 5, 20)
+
+
 @query("q_pipeline_embedding")
 def q_pipeline_embedding(spark, d):
-    x = detect.pca(tiles(spark, d), 4).select("accession", F.col("tile_idx").alias("idx"), F.col("scores").alias("x"))
-    scored = detect.two_stage_envelope(x, stride=1).select("accession", "idx", "score")
-    return tracks.islands(scored, 5, TILE, TILE, TILE, TILE)
+    """The whole predictor on tile vectors alone."""
+    return _predicted(spark, d, None)
+
+
+@query("q_pipeline_fused")
+def q_pipeline_fused(spark, d):
+    """The whole predictor on tile vectors and composition."""
+    f = S.window_features(label_sequences(spark, d), "seq", "accession", 80, 10)
+    return _predicted(spark, d, predict.composition_matrix(f))
+
+
+def _predicted(spark, d, composition) -> DataFrame:
+    t = tiles(spark, d)
+    lengths = t.groupBy("accession").agg(((F.max("tile_idx") + 1) * TILE).alias("length"))
+    return predict.by_vectors(t, lengths, TILE, 80, 10, 4, 5, 20, 30, composition, refine=(80, 120), stride=1)
 
 
 def queries() -> dict:

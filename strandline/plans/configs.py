@@ -27,6 +27,23 @@ GRID = {
 }
 
 
+#: Patterns of product names by what they tell of (fixed values).
+CATEGORIES = {
+    "mobility": [
+        r"\btransposase\b", r"\bintegrase\b", r"\brecombinase\b", r"\btransposon\b", r"\binsertion sequence\b", r"\bIS\d{2,4}\b", r"\bphage\b", r"\bprophage\b",
+        r"\bconjugal\b", r"\bconjugative\b", r"\bplasmid\b", r"\brelaxase\b", r"\bmobilization\b", r"\bexcisionase\b", r"\bresolvase\b",
+    ],
+    "virulence": [
+        r"\bvirulence\b", r"\bpathogenicity\b", r"\binvasin\b", r"\bhemolysin\b", r"\bhaemolysin\b", r"\btoxin\b", r"\badhesin\b", r"\bfimbria", r"\bpilus\b",
+        r"\bpili\b", r"\bsecretion system\b", r"\bflagell", r"\binvasion protein\b", r"\beffector\b", r"\bVi polysaccharide\b",
+    ],
+    "resistance": [
+        r"\bresistance\b", r"\bbeta-lactamase\b", r"\bantibiotic\b", r"\befflux\b", r"\bmultidrug\b", r"\bchloramphenicol\b", r"\btetracycline\b", r"\bstreptomycin\b",
+        r"\bsulfonamide\b", r"\baminoglycoside\b",
+    ],
+}
+
+
 def methods(spark: SparkSession, registry: dict[str, dict]) -> DataFrame:
     """(method, every field of BASE, config) of a registry of overrides; a field that BASE has not raises an error."""
     for name, over in registry.items():

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
 from strandline.operators import evaluate, intervals, synthetic, tracks
-from strandline.plans.catalogue import _CV, _cv, _K, _PARTS, _RUNS, _SEQ, _TILES, GAP, LEAST, SPAN, WIDTH, parts, r6, read, sequences, tiles, track
+from strandline.plans.catalogue import _CV, _cv, _K, _PARTS, _RUNS, _SEQ, _signed_ranks, _TILES, GAP, LEAST, SPAN, WIDTH, parts, r6, read, sequences, tiles, track
 from strandline.sources import genomes
 
 METHODS, TILE, NEED, EDGE, FLANK = 3, 10, 2, 40, 15
@@ -201,17 +201,24 @@ def _third(h: DataFrame) -> DataFrame:
     return h.select("accession", F.expr("length div 3").alias("start"), F.expr("2 * length div 3").alias("end"))
 
 
-@query("q_chimera_splice", f"WITH {_OFFSETS}, donor AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS k, substring(text, 1, {INSERT}) AS b FROM benchmark WHERE length(text) >= {INSERT} QUALIFY k < 3), w AS (SELECT accession, any_value(h.seq) AS q, list(donor.b ORDER BY offs.k) AS b, list(offs.o ORDER BY offs.k) AS o FROM offs JOIN donor USING (k) JOIN hosts h USING (accession) GROUP BY accession), s AS (SELECT accession, substring(q, 1, o[1]) || b[1] || substring(q, o[1] + 1, o[2] - o[1]) || b[2] || substring(q, o[2] + 1, o[3] - o[2]) || b[3] || substring(q, o[3] + 1) AS s FROM w) SELECT accession, CAST(length(s) AS BIGINT) AS length, md5(s) AS digest FROM s")
+@query("q_chimera_splice", f"WITH {_OFFSETS}, items AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS i, text AS b FROM benchmark WHERE text IS NOT NULL), m AS (SELECT count(*) AS m FROM items), donor AS (SELECT offs.accession, k, o, b FROM offs, m JOIN items ON i = (offs.accession * 3 + k) % m), w AS (SELECT accession, any_value(h.seq) AS q, list(b ORDER BY k) AS b, list(o ORDER BY k) AS o FROM donor JOIN hosts h USING (accession) GROUP BY accession), s AS (SELECT accession, substring(q, 1, o[1]) || b[1] || substring(q, o[1] + 1, o[2] - o[1]) || b[2] || substring(q, o[2] + 1, o[3] - o[2]) || b[3] || substring(q, o[3] + 1) AS s FROM w) SELECT accession, CAST(length(s) AS BIGINT) AS length, md5(s) AS digest FROM s")
 def q_chimera_splice(spark, d):
+    """Three whole items of the benchmark, others for each host, put into its sequence."""
     h = hosts(spark, d)
-    k = F.row_number().over(Window.orderBy("item_id")) - 1
-    donors = read(spark, d, "benchmark").where(F.length("text") >= INSERT).select(k.cast("long").alias("k"), F.substring("text", 1, INSERT).alias("block")).where("k < 3")
+    items = read(spark, d, "benchmark").where("text is not null").select("item_id", F.col("text").alias("block"))
+    line = numbered(items, "item_id")
     offsets = quarters(h)
-    made = synthetic.splice(h.select("accession", "seq"), offsets.join(F.broadcast(donors), "k").select("accession", "k", "block"), offsets)  # three rows
+    wanted = offsets.join(F.broadcast(items.agg(F.count("*").alias("m"))), F.lit(True)).select("accession", "k", ((F.col("accession") * 3 + F.col("k")) % F.col("m")).alias("nth"))  # one row
+    made = synthetic.splice(h.select("accession", "seq"), wanted.join(line, "nth").select("accession", "k", "block"), offsets)
     return made.select("accession", F.length("seq").cast("long").alias("length"), F.md5("seq").alias("digest"))
 
 
-@query("q_chimera_tiles", f"WITH {_TILES}, n AS (SELECT accession, count(*) AS n FROM tiles GROUP BY accession), k AS (SELECT unnest(CAST([0, 1, 2] AS BIGINT[])) AS k), offs AS (SELECT accession, n, k, n * (k + 1) // 4 AS o FROM n, k), old AS (SELECT t.accession, t.tile_idx + {NEED} * count(*) FILTER (WHERE o <= t.tile_idx) AS tile_idx, any_value(vec) AS vec FROM tiles t JOIN offs USING (accession) GROUP BY t.accession, t.tile_idx), put AS (SELECT offs.accession, o + k * {NEED} + t.tile_idx AS tile_idx, t.vec FROM offs JOIN tiles t ON t.accession = (offs.accession + 1) % 10 AND t.tile_idx < {NEED}) SELECT accession, tile_idx, round(vec[1], 6) AS first FROM (SELECT * FROM old UNION ALL SELECT * FROM put)")
+def numbered(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` with ``nth``, their number from 0 in the order of ``by``: the benchmark's items, a list that is short beside all else."""
+    return rows.withColumn("nth", (F.row_number().over(Window.orderBy(by)) - 1).cast("long"))
+
+
+@query("q_chimera_tiles", f"WITH {_TILES}, n AS (SELECT accession, count(*) AS n FROM tiles GROUP BY accession), k AS (SELECT unnest(CAST([0, 1, 2] AS BIGINT[])) AS k), offs AS (SELECT accession, n, k, n * (k + 1) // 4 AS o FROM n, k), old AS (SELECT t.accession, t.tile_idx + {NEED} * count(*) FILTER (WHERE o <= t.tile_idx) AS tile_idx, any_value(vec) AS vec FROM tiles t JOIN offs USING (accession) GROUP BY t.accession, t.tile_idx), put AS (SELECT offs.accession, o + k * {NEED} + t.tile_idx AS tile_idx, t.vec FROM offs JOIN tiles t ON t.accession = (offs.accession + 1) % 10 AND t.tile_idx < {NEED}) SELECT accession, tile_idx, unnest(range(0, len(vec))) AS dim, unnest(list_transform(vec, lambda v: round(v, 6))) AS value FROM (SELECT * FROM old UNION ALL SELECT * FROM put)")
 def q_chimera_tiles(spark, d):
     """Each label's vectors with blocks of the next label's first vectors put in at the quarters."""
     t = tiles(spark, d)
@@ -220,7 +227,7 @@ def q_chimera_tiles(spark, d):
     offsets = n.select("accession", "length", k).select("accession", "k", (F.expr("(length * (k + 1)) div 4") * TILE).alias("offset"))
     donor = t.where(F.col("tile_idx") < NEED).select(F.pmod(F.col("accession") - 1, F.lit(10)).cast("long").alias("accession"), k, F.col("tile_idx").alias("nth"), "vec")
     made = synthetic.assemble_tiles(t, donor, offsets, TILE, NEED, n.select("accession", (F.col("length") + 3 * NEED).alias("tiles")))
-    return made.select("accession", "tile_idx", r6(F.get("vec", F.lit(0)), "first"))
+    return made.select("accession", "tile_idx", F.posexplode("vec").alias("dim", "v")).select("accession", "tile_idx", F.col("dim").cast("long").alias("dim"), r6(F.col("v"), "value"))
 
 
 @query("q_negative_regions", f'WITH {_OFFSETS}, iv AS (SELECT accession, o + k * {INSERT} - {FLANK} AS s, o + k * {INSERT} + {INSERT - 1 + FLANK} AS e FROM offs UNION ALL SELECT accession, length // 3 + {INSERT} * count(*) FILTER (WHERE o <= length // 3), 2 * length // 3 + {INSERT} * count(*) FILTER (WHERE o <= 2 * length // 3) FROM offs GROUP BY accession, length), m AS (SELECT *, max(e) OVER (PARTITION BY accession ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv), gaps AS (SELECT accession, coalesce(reach + 1, 0) AS start, s - 1 AS "end" FROM m WHERE s > coalesce(reach + 1, 0) UNION ALL SELECT accession, max(e) + 1, max(length) + {3 * INSERT} - 1 FROM iv JOIN hosts USING (accession) GROUP BY accession) SELECT * FROM gaps WHERE "end" >= start')
@@ -275,14 +282,16 @@ def q_protein_table(spark, d):
 
 @query("q_comp_distance", f"""WITH {_K(4)}, n AS (SELECT lang, kmer, count(*) AS n FROM ok JOIN documents USING (doc_id) WHERE lang IN ('en', 'de') GROUP BY ALL), f AS (SELECT lang, kmer, n / sum(n) OVER (PARTITION BY lang) AS f FROM n),
 p AS (SELECT kmer, coalesce(max(f) FILTER (WHERE lang = 'en'), 0) AS x, coalesce(max(f) FILTER (WHERE lang = 'de'), 0) AS y FROM f GROUP BY kmer)
-SELECT 'en' AS a, 'de' AS b, round(sqrt(sum((x - y) ** 2)), 9) AS euclidean, round(sum(abs(x - y)), 9) AS manhattan, round(1 - sum(x * y) / (sqrt(sum(x ** 2)) * sqrt(sum(y ** 2)) + 1e-12), 9) AS cosine FROM p""")
+SELECT 'en' AS a, 'de' AS b, (SELECT round(abs(max(gc) FILTER (WHERE lang = 'en') - max(gc) FILTER (WHERE lang = 'de')), 9) FROM (SELECT lang, sum(CASE WHEN ch IN ('G', 'C') THEN 1.0 ELSE 0 END) / count(*) AS gc FROM one JOIN documents USING (doc_id) WHERE ch IN ('A', 'T', 'C', 'G') AND lang IN ('en', 'de') GROUP BY lang)) AS gc_difference, round(sqrt(sum((x - y) ** 2)), 9) AS euclidean, round(sum(abs(x - y)), 9) AS manhattan, round(1 - sum(x * y) / (sqrt(sum(x ** 2)) * sqrt(sum(y ** 2)) + 1e-12), 9) AS cosine FROM p""")
 def q_comp_distance(spark, d):
     """Distances of the tetranucleotide profiles of two languages' documents."""
     lang = read(spark, d, "documents").select("doc_id", "lang").where("lang is not null")
     rows = sequences(spark, d).join(lang, "doc_id").select(F.col("lang").alias("name"), "seq")
-    n = S.kmers(rows, "seq", 4).groupBy("name", "kmer").agg(F.count("*").alias("n"))
+    n = S.kmer_counts(rows, "seq", 4)
     f = n.select("name", "kmer", (F.col("n") / F.sum("n").over(Window.partitionBy("name"))).alias("f"))
-    return S.profile_distances(f, "en", "de").select("a", "b", *[F.round(c, 9).alias(c) for c in ("euclidean", "manhattan", "cosine")])
+    gc = S.gc_difference(rows.select("name", *[c.alias(b) for b, c in S.base_counts(F.col("seq")).items()]), "en", "de")
+    both = S.profile_distances(f, "en", "de").crossJoin(F.broadcast(gc))  # one row each
+    return both.select("a", "b", *[F.round(c, 9).alias(c) for c in ("gc_difference", "euclidean", "manhattan", "cosine")])
 
 
 @query("q_report_familiarity", f"WITH {_MC} SELECT method, count(*) FILTER (WHERE accession % 3 = 0) AS n_in, round(avg(f1) FILTER (WHERE accession % 3 = 0), 6) AS f1_in, round(avg(f1) FILTER (WHERE accession % 3 <> 0), 6) AS f1_out FROM f GROUP BY method")
@@ -319,6 +328,79 @@ def q_report_cv(spark, d):
     return chosen.select("config", r6(F.col("m"), "in_sample")).crossJoin(F.broadcast(held))  # one row
 
 
+#: Mean F1 of the methods as published, to hold others against (fixed values).
+PUBLISHED = {0: 55.17, 1: 52.33, 2: 49.10}
+
+
+@query("q_report_fidelity", f"WITH {_MC}, m AS (SELECT method, avg(p) AS p, avg(r) AS r, avg(f1) AS f1 FROM f GROUP BY method), c(method, published) AS (VALUES {', '.join(f'({m}, {v})' for m, v in PUBLISHED.items())}) SELECT method, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1, CAST(published AS DOUBLE) AS published, round(f1 - published, 6) AS difference, round(max(abs(f1 - published)) OVER (), 6) AS worst FROM m JOIN c USING (method)")
+def q_report_fidelity(spark, d):
+    """Means of the methods beside published ones, and the largest difference."""
+    means = _rates(spark, d).groupBy("method").agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
+    published = F.create_map(*[F.lit(x) for m, v in PUBLISHED.items() for x in (m, v)])[F.col("method").cast("int")]
+    rows = means.withColumn("published", published).where("published is not null").withColumn("difference", F.col("f1") - F.col("published"))
+    worst = rows.agg(F.max(F.abs("difference")).alias("worst"))
+    return rows.crossJoin(F.broadcast(worst)).select("method", *[r6(F.col(c), c) for c in ("precision", "recall", "f1")], "published", r6(F.col("difference"), "difference"), r6(F.col("worst"), "worst"))  # one row
+
+
+@query("q_report_projection", f"WITH {_MB}, pr AS (SELECT accession, x.ps - x.ts AS a, y.ps - y.ts AS b, (x.ps - x.ts) - (y.ps - y.ts) AS d FROM best x JOIN best y USING (accession, ts, te) WHERE x.method = 1 AND y.method = 0 AND x.ps IS NOT NULL AND y.ps IS NOT NULL), {_signed_ranks('wilcox', 'WHERE d <> 0').replace('SELECT (SELECT count(*) FROM pr) AS n', 'SELECT (SELECT round(avg(a), 6) FROM pr) AS mean_start, (SELECT round(avg(d), 6) FROM pr) AS shift, (SELECT count(*) FROM pr) AS n')}")
+def q_report_projection(spark, d):
+    """How far one method's signed start errors lie from another's on the islands that both find, with the paired test."""
+    found = _matches(spark, d).where("matched").select("accession", "ts", "te", "method", "signed_start")
+    diffs = evaluate.paired(found.select(F.struct("accession", "ts", "te").alias("key"), "method", F.col("signed_start").cast("double").alias("v")), "key", "method", "v", 1, 0)
+    mean = diffs.agg(r6(F.avg("x"), "mean_start"), r6(F.avg("d"), "shift"))
+    w = evaluate.wilcoxon(diffs).select("n", "wins", F.round("w_plus", 3).alias("w_plus"), F.round("w_minus", 3).alias("w_minus"), r6(F.col("z"), "z"))
+    return mean.crossJoin(F.broadcast(w))  # one row each
+
+
+_AUCS = "lab AS (SELECT d.source, d.lang, l.quality = 1 AS positive, unnest([0, 1]) AS representation, unnest([CAST(d.n_chars AS DOUBLE), CAST((d.doc_id * 7919) % 1009 AS DOUBLE)]) AS score FROM documents d JOIN labels l USING (doc_id) WHERE d.source IS NOT NULL AND d.lang IS NOT NULL), r AS (SELECT *, rank() OVER (PARTITION BY source, lang, representation ORDER BY score) + (count(*) OVER (PARTITION BY source, lang, representation, score) - 1) / 2.0 AS r FROM lab), s AS (SELECT source, lang, representation, count(*) FILTER (WHERE positive) AS n1, count(*) FILTER (WHERE NOT positive) AS n0, sum(r) FILTER (WHERE positive) AS sr FROM r GROUP BY ALL), a AS (SELECT source, lang, representation, round((sr - n1 * (n1 + 1) / 2) / (n1 * n0), 9) AS auc FROM s WHERE n1 >= 3 AND n0 >= 3)"
+
+
+@query("q_report_representations", f"WITH {_AUCS} SELECT representation, count(*) AS n, round(avg(auc), 6) AS mean_auc, round(median(auc), 6) AS median_auc, (SELECT count(*) FROM a x JOIN a y USING (source, lang) WHERE x.representation = 0 AND y.representation = 1 AND x.auc > y.auc) AS wins, (SELECT round(avg(x.auc - y.auc), 6) FROM a x JOIN a y USING (source, lang) WHERE x.representation = 0 AND y.representation = 1) AS mean_diff FROM a GROUP BY representation")
+def q_report_representations(spark, d):
+    """AUC of two scores in every source and language, their means, and the paired comparison."""
+    rows = read(spark, d, "documents").where("source is not null and lang is not null").join(read(spark, d, "labels"), "doc_id")
+    two = F.inline(F.array(F.struct(F.lit(0).alias("representation"), F.col("n_chars").cast("double").alias("score")), F.struct(F.lit(1).alias("representation"), ((F.col("doc_id") * 7919) % 1009).cast("double").alias("score"))))
+    a = evaluate.auc(rows.select("source", "lang", (F.col("quality") == 1).alias("positive"), two), ["source", "lang", "representation"]).where("auc is not null").withColumn("auc", F.round("auc", 9))
+    both = evaluate.paired(a.select(F.struct("source", "lang").alias("key"), "representation", "auc"), "key", "representation", "auc", 0, 1)
+    pair = both.agg(F.sum((F.col("d") > 0).cast("long")).alias("wins"), r6(F.avg("d"), "mean_diff"))
+    each = a.groupBy("representation").agg(F.count("*").alias("n"), r6(F.avg("auc"), "mean_auc"), r6(F.median("auc"), "median_auc"))
+    return each.crossJoin(F.broadcast(pair)).withColumn("wins", F.coalesce("wins", F.lit(0)))  # one row
+
+
+@query("q_report_dims", "WITH s AS (SELECT user_id // 5 AS accession, user_id % 5 AS dims, event_type AS representation, avg(value) AS v FROM events GROUP BY ALL), m AS (SELECT representation, dims, round(avg(v), 9) AS mean FROM s GROUP BY ALL), b AS (SELECT representation, dims FROM m QUALIFY row_number() OVER (PARTITION BY representation ORDER BY mean DESC, dims) = 1), p AS (SELECT accession, representation, v FROM s JOIN b USING (representation, dims)), l AS (SELECT min(representation) AS first FROM p) SELECT y.representation, count(*) AS n, count(*) FILTER (WHERE x.v > y.v) AS wins, round(avg(x.v - y.v), 6) AS mean_diff FROM p x JOIN p y USING (accession), l WHERE x.representation = first AND y.representation <> first GROUP BY y.representation")
+def q_report_dims(spark, d):
+    """Each representation at its own best number of dimensions, and the first one's paired differences from the others."""
+    s = read(spark, d, "events").groupBy((F.expr("user_id div 5")).alias("accession"), (F.col("user_id") % 5).alias("dims"), F.col("event_type").alias("representation")).agg(F.avg("value").alias("v"))
+    means = s.groupBy("representation", "dims").agg(F.round(F.avg("v"), 9).alias("mean"))
+    best = evaluate.best_config(means, F.col("mean"), ["dims"], ["representation"]).select("representation", "dims")
+    p = s.join(best, ["representation", "dims"])
+    first = p.agg(F.min("representation").alias("first"))
+    rows = p.join(F.broadcast(first), F.lit(True))  # one row
+    x = rows.where("representation = first").select("accession", F.col("v").alias("x"))
+    pairs = rows.where("representation <> first").join(x, "accession")
+    return pairs.groupBy("representation").agg(F.count("*").alias("n"), F.sum((F.col("x") > F.col("v")).cast("long")).alias("wins"), r6(F.avg(F.col("x") - F.col("v")), "mean_diff"))
+
+
+@query("q_report_competitor", f"WITH {_MC}, o AS (SELECT p_partkey AS accession, CAST(p_size AS DOUBLE) AS other FROM part WHERE p_size % 3 <> 0), j AS (SELECT f.method, f.f1, o.other FROM f LEFT JOIN o USING (accession)) SELECT method, count(*) AS n, count(other) AS n_common, round(avg(f1), 6) AS f1_all, round(avg(f1) FILTER (WHERE other IS NOT NULL), 6) AS f1_common, round(avg(other), 6) AS other_common FROM j GROUP BY method")
+def q_report_competitor(spark, d):
+    """The methods beside another source's figures, which it has for some sequences only: over all, and over those that both have."""
+    other = read(spark, d, "part").where("p_size % 3 <> 0").select(F.col("p_partkey").alias("accession"), F.col("p_size").cast("double").alias("other"))
+    rows = _rates(spark, d).join(other, "accession", "left")
+    both = F.col("other").isNotNull()
+    return rows.groupBy("method").agg(F.count("*").alias("n"), F.count("other").alias("n_common"), r6(F.avg("f1"), "f1_all"), r6(F.avg(F.when(both, F.col("f1"))), "f1_common"), r6(F.avg("other"), "other_common"))
+
+
+@query("q_audit", f"WITH {_MC}, p AS (SELECT a.method, round(a.f1 - b.f1, 9) AS d FROM f a JOIN f b USING (accession) WHERE b.method = 0) SELECT method, round(avg(d), 6) AS mean_diff, round(avg(d), 2) = 0 AND count(*) FILTER (WHERE d <> 0) = 0 AS suspect FROM p GROUP BY method")
+def q_audit(spark, d):
+    """All methods against method 0, itself among them: the comparison with itself is told by its difference and p-value."""
+    f1 = _rates(spark, d).select("accession", "method", "f1")
+    base = f1.where("method = 0").select("accession", F.col("f1").alias("base"))
+    diffs = f1.join(base, "accession").select("method", F.round(F.col("f1") - F.col("base"), 9).alias("d"))
+    tests = diffs.groupBy("method").agg(F.avg("d").alias("mean_diff"), F.sum((F.col("d") > 0).cast("long")).alias("up"), F.sum((F.col("d") < 0).cast("long")).alias("down"))
+    tests = tests.withColumn("p", F.coalesce(evaluate.binomial_two_sided(F.least("up", "down"), F.col("up") + F.col("down")), F.when(F.col("up") + F.col("down") == 0, 1.0)))
+    return evaluate.self_comparisons(tests).select("method", r6(F.col("mean_diff"), "mean_diff"), F.when(F.col("up") + F.col("down") == 0, F.col("suspect")).otherwise(False).alias("suspect"))
+
+
 def queries() -> dict:
     return dict(Q)
 

@@ -86,15 +86,41 @@ def region_sections(rows: DataFrame, kind: str) -> DataFrame:
 ACCURACY = {"Tool": "tool", "Accession": "accession", "Description": "organism", "True Positives": "TP", "False Positives": "FP", "True Negative": "TN", "False Negative": "FN"}
 
 
-def accuracy_sheet(rows: DataFrame) -> DataFrame:
-    """Counts of each tool and sequence of a sheet (file, row_no, cells array<string>); numbers that are none become null."""
+def accuracy_sheet(rows: DataFrame, without: tuple[str, ...] = ("literature",)) -> DataFrame:
+    """Counts of each tool (but ``without``) and sequence of a sheet (file, row_no, cells array<string>); numbers that are none become null."""
     line = Window.partitionBy("file").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     cell = lambda i: F.trim(F.coalesce(F.get("cells", F.lit(i)), F.lit("")))
     is_head = cell(0) == "Tool"
     head = F.last(F.when(is_head, F.transform("cells", lambda c: F.trim(c))), ignorenulls=True).over(line)
     body = rows.withColumn("head", head).where(~is_head & F.col("head").isNotNull() & (cell(0) != "") & ~cell(1).isin("", "Total"))
     value = lambda name: F.get("cells", (F.array_position("head", name) - 1).cast("int"))
-    return body.select(*[(value(k).try_cast("double") if v.isupper() else value(k)).alias(v) for k, v in ACCURACY.items()])
+    out = body.select(*[(value(k).try_cast("double") if v.isupper() else value(k)).alias(v) for k, v in ACCURACY.items()])
+    return out.where(F.lower(F.trim("tool")).isin(*without) == F.lit(False)) if without else out
+
+
+def available(spark: SparkSession, path: str, least: int = 1000) -> DataFrame:
+    """(accession) of the files of more than ``least`` bytes."""
+    found = spark.read.format("binaryFile").load(path).where(F.col("length") > least)
+    return found.select(F.regexp_extract("path", STEM, 1).alias("accession")).distinct()
+
+
+def write_results(results: dict[str, DataFrame], path: str, kind: str = "parquet") -> None:
+    """Each table under its name in ``path``, as Parquet or as CSV with a header; what is there is replaced."""
+    for name, table in results.items():
+        writer = table.write.mode("overwrite")
+        (writer.option("header", True).csv if kind == "csv" else writer.parquet)(f"{path}/{name}")
+
+
+def last_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row for each key, the largest by ``order`` and the other columns: what later sources say counts."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = F.max(F.struct(*order, *[c for c in rest if c not in order])).alias("best_")
+    return rows.groupBy(*keys).agg(best).select(*keys, *[F.col(f"best_.{c}").alias(c) for c in rest])
+
+
+def carried(rows: DataFrame, key: str, order: str, value: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``, the last value that is not null at or before each row of its key."""
+    return rows.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def read_intervals(spark: SparkSession, path: str) -> DataFrame:
