@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import re
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.sources.staging import cut, shared_dir  # noqa: F401
+
 #: What separates words: space and the control characters from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -20,28 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; where none is set a temporary one, if all run on this machine, else an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame, *partition_by: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends here."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
-def counted(df: DataFrame, *partition_by: str) -> tuple[DataFrame, int]:
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
     """:func:`cut`, and the number of rows."""
-    out = cut(df, *partition_by)
+    out = cut(df)
     return out, out.count()
 
 
@@ -51,6 +31,13 @@ def few(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
     return df.coalesce(n) if n < n_partitions(df.sparkSession) else df
 
 
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        give(0)
+
+
 def lean(run):
     """``run``, for mapInPandas, that gives freed memory back to the system at a task's end.
 
@@ -63,9 +50,7 @@ def lean(run):
         try:
             yield from run(frames)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
-                trim(0)
+            trim()
 
     return to_end
 
