@@ -5,7 +5,11 @@ with the units that are neither too short nor too long for the threshold:
 2 * common / (a + b) >= t needs min(a, b) / max(a, b) >= t / (2 - t).
 Runs of words from any word on, across line ends and of the same sizes, are
 units too: so a notice within a line, or over several, and a licence's own text
-are found. Only runs between two bigrams of a template need comparing.
+are found.
+
+All templates' bigrams stand in one inverted index, by hash. One pass over a
+batch's words looks each pair up in it; only lines, texts and runs with enough
+hits of a template for its size are made into sets and compared.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import lean, table
@@ -63,29 +67,47 @@ BODIES = [
         files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
         modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
         Software is furnished to do so, subject to the following conditions:"""),
+    ("AGPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+        that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR
+        DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT
+        SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+        LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+        CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("LGPL-3.0", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+        License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."""),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+        files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
+        modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+        Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
+        shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY
+        OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR
+        PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+        LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR
+        THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+        compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+        non-commercial, and by any means."""),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for
+        any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose,
+        including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The
+        origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this
+        software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered
+        source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice
+        may not be removed or altered from any source distribution."""),
 ]
+#: How the BSD licences end (fixed value).
+DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+    LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+    COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+    (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+    HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+    ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BODIES += [(n, t.partition("THIS SOFTWARE")[0] + DISCLAIMER) for n, t in BODIES if n.startswith("BSD")]
 THRESHOLD = 0.8
-#: Templates stand in the plan as constants; a longer list raises an error.
-MOST_TEMPLATES = 256
-
-
-def normal(text: Column) -> Column:
-    """Lower case, everything but a-z, 0-9 and line ends as single spaces."""
-    return F.regexp_replace(F.lower(text), r"[^a-z0-9\n]+", " ")
-
-
-def bigrams(line: Column) -> Column:
-    """Distinct word bigrams of a normalised line; a single word is its own.
-
-    The words are bound to a lambda variable, so that they are split once and not again for each bigram.
-    """
-    w = F.array_remove(F.split(line, r"[ \n]+"), "")
-
-    def of(w: Column) -> Column:
-        two = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
-        return F.when(F.size(w) >= 2, F.array_distinct(two)).otherwise(w)
-
-    return F.get(F.transform(F.array(w), of), F.lit(0))
 
 
 def _own_bigrams(text: str) -> list[str]:
@@ -93,7 +115,7 @@ def _own_bigrams(text: str) -> list[str]:
     return sorted({" ".join(p) for p in zip(w, w[1:])} or set(w))
 
 
-#: What normal() leaves, in bytes, after lower case.
+#: Everything but a-z, 0-9 and line ends is a space, in bytes, after lower case.
 _BYTES = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789\n" else 32 for c in range(256))
 
 
@@ -101,61 +123,95 @@ def _dice(a: set, b: set) -> float:
     return 2 * len(a & b) / (len(a) + len(b))
 
 
-class Runs:
-    """Templates as sets of word bigrams, to be found in runs of words: ``named`` has (license, bigrams), ``lines`` those that lines are compared with."""
+class Templates:
+    """Templates as sets of word bigrams: ``lines`` (license, bigrams) for lines and whole texts, and for runs with ``bodies``."""
 
-    def __init__(self, named: list, lines: list, threshold: float):
-        self.named, self.lines, self.threshold, self.ratio = named, lines, threshold, threshold / (2 - threshold)
-        known = sorted(set().union(*(b for _, b in named)))
-        h, at = word_hashes(known)
-        code = self.code(h)[at[:-1]]
-        order = np.argsort(code)
-        self.codes = code[order]
-        self.member = np.array([[known[k] in b for k in order] for _, b in named])
+    def __init__(self, lines: list, bodies: list, threshold: float):
+        self.lines, self.named, self.threshold, self.ratio = sorted(lines), lines + bodies, threshold, threshold / (2 - threshold)
+        pairs = sorted((b, k) for k, (_, own) in enumerate(self.named) for b in own if " " in b)
+        h, at = word_hashes([b for b, _ in pairs])
+        code = self.code(h)[at[:-1]] if pairs else np.zeros(0, np.uint64)
+        order = np.argsort(code, kind="stable")
+        self.codes, first = np.unique(code[order], return_index=True)
+        self.first, self.owner = np.append(first, len(pairs)), np.array([k for _, k in pairs], np.int64)[order]
+        self.least, self.most = (np.array([f(len(own)) for _, own in self.named], np.int64) for f in (self.fewest, self.largest))
 
     @staticmethod
     def code(h: np.ndarray) -> np.ndarray:
         """Of each word with the next one."""
         return mix(h * np.uint64(3) + mix(np.append(h[1:], h[:1])))
 
-    def bounds(self, k: int) -> tuple[int, int]:
-        """Least common bigrams, and most bigrams, of a run that template ``k`` may fit."""
-        m = len(self.named[k][1])
-        return max(1, math.ceil(m * self.ratio - 1e-9)), math.floor(m / self.ratio + 1e-9)
+    def fewest(self, m: int) -> int:
+        """Bigrams that a unit shares at least with a template of ``m``; also the fewest that it has."""
+        return max(1, math.ceil(m * self.ratio - 1e-9))
+
+    def largest(self, m: int) -> int:
+        return math.floor(m / self.ratio + 1e-9)
 
     def found(self, texts: list) -> list:
-        """(text, line, license, dice) of the runs in ``texts``, which are normalised."""
+        """(text, unit, license, dice) in ``texts``, which are normalised."""
         h, at = word_hashes(texts)
-        if len(h) < 2:
+        if not len(h) or not len(self.codes):
             return []
         g = self.code(h)
         place = np.minimum(np.searchsorted(self.codes, g), len(self.codes) - 1)
         real = self.codes[place] == g
         real[at[1:][at[1:] > 0] - 1] = False  # a text's last word has no next one
         hit = np.flatnonzero(real)
-        text = np.searchsorted(at, hit, "right") - 1
-        wanted: dict = {}
-        for k, member in enumerate(self.member):
-            least, most = self.bounds(k)
-            own = member[place[hit]]
-            p, t = hit[own], text[own]
-            n = max(0, len(p) - least + 1)
-            ok = np.flatnonzero((p[least - 1 :][:n] - p[:n] < most) & (t[least - 1 :][:n] == t[:n]))
-            for i in ok:
-                wanted.setdefault(int(t[i]), {}).setdefault(k, []).append(int(p[i] - at[t[i]]))
-        return [(t, *row) for t, starts in wanted.items() for row in self.of_text(texts[t], starts)]
-
-    def of_text(self, text: str, starts: dict) -> list:
-        lines = [x.split() for x in text.split("\n")]
+        if not len(hit):
+            return []
+        # each hit with all templates that own its bigram, by template and place
+        n = self.first[place[hit] + 1] - self.first[place[hit]]
+        k = self.owner[np.repeat(self.first[place[hit]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        p = np.repeat(hit, n)
+        order = np.lexsort((p, k))
+        k, p = k[order], p[order]
+        t = np.searchsorted(at, p, "right") - 1
+        # a run that fits begins at a hit, and holds enough others within the size bound
+        to = np.minimum(np.arange(len(p)) + self.least[k] - 1, len(p) - 1)
+        ok = (np.arange(len(p)) + self.least[k] - 1 < len(p)) & (k[to] == k) & (t[to] == t) & (p[to] - p < self.most[k])
+        starts: dict = {}
+        for ti, ki, pi in zip(t[ok].tolist(), k[ok].tolist(), (p - at[t])[ok].tolist(), strict=True):
+            starts.setdefault(ti, {}).setdefault(ki, []).append(pi)
+        out = []
+        for ti in np.unique(t).tolist():
+            lines = [x.split() for x in texts[ti].split("\n")]
+            units = self.of_units(lines, np.unique(p[t == ti] - at[ti]) if len(lines) > 1 else None)
+            out += [(ti, *row) for row in units]
+            if ti in starts:
+                out += [(ti, *row) for row in self.of_runs(lines, starts[ti])]
+        return out
+
+    def best(self, words: list):
+        """(license, dice) of the template that fits a line or text best, or None."""
+        pairs, best = {f"{a} {b}" for a, b in zip(words, words[1:])}, None
+        for name, own in self.lines:
+            if pairs and self.fewest(len(own)) <= len(pairs) <= self.largest(len(own)):
+                dice = _dice(pairs, own)
+                if dice >= self.threshold and (best is None or dice > best[1]):
+                    best = name, dice
+        return best
+
+    def of_units(self, lines: list, hits: np.ndarray | None) -> list:
+        """(unit, license, dice) of a text's lines with hits, and of the whole text if it has several lines."""
+        if hits is None:
+            tried = [(1, lines[0])]
+        else:
+            first = np.cumsum([0, *map(len, lines)])
+            tried = [(0, [x for line in lines for x in line])]
+            tried += [(int(i) + 1, lines[i]) for i in np.unique(np.searchsorted(first, hits, "right") - 1)]
+        return [(unit, *found) for unit, words in tried if (found := self.best(words))]
+
+    def of_runs(self, lines: list, starts: dict) -> list:
+        """(line, license, dice) of the runs from ``starts`` that fit and of which no line or whole text tells as much."""
         w = [x for line in lines for x in line]
         pairs = [f"{a} {b}" for a, b in zip(w, w[1:])]
         runs = []
         for k, places in starts.items():
             name, own = self.named[k]
-            _, most = self.bounds(k)
             for i in places:
                 all_, common, best = set(), set(), (0.0, 0, 0)
-                for j in range(i, min(len(pairs), i + most)):
+                for j in range(i, min(len(pairs), i + int(self.most[k]))):
                     all_.add(pairs[j])
                     if pairs[j] in own:
                         common.add(pairs[j])
@@ -165,30 +221,30 @@ class Runs:
         first = [0]  # word that each line begins with
         for line in lines:
             first.append(first[-1] + len(line))
-        taken, out = [], []
+        taken, out, whole = [], [], set(pairs)
         for n, dice, name, low, high in sorted(runs):  # words low to high
             if any(low <= b and a <= high for a, b in taken):
                 continue
             taken.append((low, high))
             line = bisect_left(first, low + 1) - 1
-            within = [(first[j], x) for j, x in enumerate(lines) if first[j] <= high and first[j + 1] > low]
-            if not any(self.covers(set(zip(x, x[1:])), -n) for _, x in [*within, (0, w)]):
+            upto = bisect_left(first, high + 1)
+            within = [{f"{a} {b}" for a, b in zip(x, x[1:])} for x in lines[line:upto]]
+            if not any(self.covers(x, -n) for x in [*within, whole]):
                 out.append((line + 1, name, -dice))
         return out
 
     def covers(self, pairs: set, n: int) -> bool:
-        """Whether a line or whole text is found as such, with ``n`` bigrams of its template or more."""
-        pairs = {" ".join(p) for p in pairs}
-        return any(len(pairs & b) >= n and _dice(pairs, b) >= self.threshold for b in self.lines)
+        """Whether a line or whole text of such bigrams is found as such, with ``n`` bigrams of its template or more."""
+        return any(len(pairs & own) >= n and _dice(pairs, own) >= self.threshold for _, own in self.lines)
 
 
-def _find_runs(runs: Runs):
+def _find(templates: Templates):
     def run(frames):
         for f in frames:
             ids, out = f.doc_id.to_numpy(), []
             for low, high in pieces(f.text.tolist()):
                 texts = [t.encode("utf-8", "surrogatepass").translate(_BYTES).decode("ascii") for t in f.text.iloc[low:high]]
-                out += [(ids[low + t], *row) for t, *row in runs.found(texts)]
+                out += [(ids[low + t], *row) for t, *row in templates.found(texts)]
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "unit", "license", "dice"])
 
@@ -196,56 +252,22 @@ def _find_runs(runs: Runs):
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, bodies: list = BODIES) -> DataFrame:
-    """doc_id, unit, license, dice for every unit (0: whole text, 1 on: lines) that a template fits.
+    """doc_id, unit, license, dice for every unit (0: whole text, 1 on: lines) that a template (of two words or more) fits.
 
     A unit has the template of the largest coefficient, of several the first by
     name. Null, empty and blank texts, and blank lines, fit none; repeated rows
     give repeated rows; a text of one line is one unit, 1. A run of words that a
     template or one of ``bodies`` fits, and of which no unit tells as much, has
     the line in which it begins as its unit; of overlapping runs that with the
-    most bigrams in common counts.
+    most bigrams in common counts. The templates, a list in the code, go to tasks.
     """
-    return _scan_units(docs, templates, threshold).unionByName(_scan_runs(docs, templates, threshold, bodies))
-
-
-def _scan_runs(docs: DataFrame, templates: dict[str, str], threshold: float, bodies: list) -> DataFrame:
-    own = {n: set(_own_bigrams(t)) for n, t in templates.items()}
-    named = [(n, b) for n, b in own.items()] + [(n, set(_own_bigrams(t))) for n, t in bodies]
+    held = Templates([(n, set(_own_bigrams(t))) for n, t in templates.items()], [(n, set(_own_bigrams(t))) for n, t in bodies], threshold)
     # ids as strings, as pandas would make floats of longs with nulls
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).where("text is not null")
-    found = rows.mapInPandas(_find_runs(Runs(named, list(own.values()), threshold)), "doc_id string, unit int, license string, dice double")
+    found = rows.mapInPandas(_find(held), "doc_id string, unit int, license string, dice double")
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "unit", "license", F.round("dice", 6).alias("dice"))
 
 
-def _scan_units(docs: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    if not 0 < len(templates) <= MOST_TEMPLATES:
-        raise ValueError(f"1 to {MOST_TEMPLATES} templates")
-    sets = {name: _own_bigrams(t) for name, t in templates.items()}
-    ratio = threshold / (2 - threshold)
-    low, high = (f(len(s) * r) for f, r, s in ((math.ceil, ratio, min(sets.values(), key=len)), (math.floor, 1 / ratio, max(sets.values(), key=len))))
-    known = F.array(*[F.lit(b) for b in sorted(set().union(*sets.values()))])
-
-    def best(b: Column) -> Column:
-        n, fits = F.size(b), []
-        for name in sorted(sets, reverse=True):
-            m = len(sets[name])
-            dice = 2 * F.size(F.array_intersect(b, F.array(*[F.lit(x) for x in sets[name]]))) / (n + m)
-            fits.append(F.when((n >= math.ceil(m * ratio)) & (n <= math.floor(m / ratio)) & (dice >= threshold), F.struct(dice.alias("dice"), F.lit(name).alias("license"))))
-        # array_max takes the last by name among equals, so names are numbered downwards
-        ranked = [F.when(f.isNotNull(), F.struct(f["dice"].alias("dice"), F.lit(i).alias("rank"), f["license"].alias("license"))) for i, f in enumerate(fits)]
-        return F.array_max(F.array(*ranked))
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal(F.col("text").cast("string")).alias("text")).where("text is not null")
-    lines = F.split("text", "\n")
-    units = F.when(F.size(lines) > 1, F.concat(F.array(F.col("text")), lines)).otherwise(F.concat(F.array(F.lit("")), lines))
-    rows = rows.select("doc_id", F.posexplode(units).alias("unit", "line"))
-    # filtered in the array, as a filter on rows would be pushed down and make the bigrams a second time
-    maybe = F.filter(F.array(bigrams(F.col("line"))), lambda b: F.size(b).between(low, high) & F.arrays_overlap(b, known))
-    rows = rows.select("doc_id", "unit", F.explode(maybe).alias("b"))
-    rows = rows.select("doc_id", "unit", best(F.col("b")).alias("best")).where("best is not null")
-    return rows.select("doc_id", "unit", "best.license", F.round("best.dice", 6).alias("dice"))
-
-
 def op5_licenses(spark, sf_dir):
     return scan(table(spark, sf_dir, "documents"))
 

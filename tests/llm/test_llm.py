@@ -425,7 +425,7 @@ def test_constant_tokens_do_not_multiply_combinations(spark):
 
 def test_licenses(spark, hard, empty):
     docs = spark.createDataFrame([(0, "Some text.\nReleased under the MIT license"), (1, "licensed under the apache license version 2.0!"), (2, "no licence here at all"), (3, None)], "doc_id long, text string")
-    assert {(r.doc_id, r.unit, r.license) for r in licenses.scan(docs).collect()} == {(0, 2, "MIT"), (1, 1, "Apache-2.0")}
+    assert {(r.doc_id, r.unit, r.license) for r in licenses.scan(docs).collect()} == {(0, 0, "MIT"), (0, 2, "MIT"), (1, 1, "Apache-2.0")}
     assert licenses.scan(hard).count() == 0 and licenses.scan(empty).count() == 0
 
 
@@ -440,6 +440,39 @@ def test_licenses_in_runs_of_words(spark):
     assert len(got) == 6 and {r.unit for r in got if r.doc_id in (0, 1, 6)} == {1, 2}
 
 
+def test_licenses_equal_brute_force(spark):
+    """Every line, text and run of words against every template."""
+    rng = random.Random(33)
+    notices = {"one": "a b c d e", "two": "c d e f", "six": "b c d e f g h a"}
+    bodies = [("long", "h g f e d c b a h f d b g e c a"), ("one", "d d e a b h")]
+    texts = ["".join(rng.choice("abcdefgh") + rng.choice("    \n") for _ in range(rng.randrange(1, 40))) for _ in range(120)]
+    texts += [notices["one"] * 2, "x a b c d e y", "a b c\nd e", "", " \n \n", "h", bodies[0][1].replace(" ", "\n"), None]
+    two = lambda w: set(zip(w, w[1:]))
+    dice = lambda a, b: 2 * len(a & b) / (len(a) + len(b))
+    named = [(n, two(t.split())) for n, t in [*notices.items(), *bodies]]
+    want = []
+    for i, t in enumerate(texts):
+        lines = [x.split() for x in (t or "").split("\n")]
+        units = [(k, x) for k, x in enumerate(lines, 1)] + ([(0, [y for x in lines for y in x])] if len(lines) > 1 else [])
+        fits = lambda x, n=0: [(-dice(two(x), own), name) for name, own in named[:3] if two(x) and dice(two(x), own) >= 0.8 and len(two(x) & own) >= n]
+        want += [(i, k, min(fits(x))[1], round(-min(fits(x))[0], 6)) for k, x in units if fits(x)]
+        w, runs = [y for x in lines for y in x], []
+        for name, own in named:
+            for a in range(len(w) - 1):
+                best = max(((dice(two(w[a : b + 1]), own), len(two(w[a : b + 1]) & own), -b) for b in range(a + 1, len(w)) if tuple(w[b - 1 : b + 1]) in own and len(w[a : b + 1]) - 1 <= len(own) / (2 / 3) + 1e-9), default=(0, 0, 0))
+                if best[0] >= 0.8 and tuple(w[a : a + 2]) in own:
+                    runs.append((-best[1], -best[0], name, a, -best[2]))
+        taken = []
+        for n, d, name, a, b in sorted(runs):
+            if not any(a <= y and x <= b for x, y in taken):
+                taken.append((a, b))
+                at = [k for k, x in enumerate(lines) for _ in x]
+                if not any(fits(lines[k], -n) for k in set(at[a : b + 1])) and not fits(w, -n):
+                    want.append((i, at[a] + 1, name, round(-d, 6)))
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), notices, bodies=bodies).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want) and len(want) > 8
+
+
 def test_secrets(spark, hard, empty):
     rng = random.Random(8)
     key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
