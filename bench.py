@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from strandline.plans import catalogue
 
-HEADLINE = ["q_kmer_counts", "q_window_base_counts", "q_window_kmer_counts", "q_pool_windows", "q_robust_stat", "q_alien_runs", "q_confusion", "q_boundary_errors", "q_both_agree", "q_auc", "q_kfold", "q_mcd_scores", "q_pipeline_embedding"]
+HEADLINE = ["q_kmer_counts", "q_window_base_counts", "q_window_kmer_counts", "q_pool_windows", "q_robust_stat", "q_alien_runs", "q_confusion", "q_boundary_errors", "q_both_agree", "q_auc", "q_kfold", "q_mcd_scores", "q_pipeline_embedding", "q_window_features", "q_fused_windows", "q_pipeline_composition"]
 
 
 def main() -> None:

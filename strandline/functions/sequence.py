@@ -244,9 +244,14 @@ def karlin(n: Column, x: Column, y: Column, mode: str = "normalized") -> Column:
 def offset_entropy(counts: Column) -> Column:
     """Sum of p log2 p with p = f / sum + 1 over an array of counts; 0 if they sum to about nothing."""
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-    share = lambda x: F.try_divide(x, total) + 1
-    h = F.aggregate(counts, F.lit(0.0), lambda a, x: a + share(x) * F.log2(share(x)))
-    return F.when(F.abs(total) > 1e-6, h).otherwise(0.0)
+
+    # the sum is bound to a lambda variable, so that it is not made again for each entry
+    def of(s: Column) -> Column:
+        share = lambda x: F.try_divide(x, s["t"]) + 1
+        h = F.aggregate(s["c"], F.lit(0.0), lambda a, x: a + share(x) * F.log2(share(x)))
+        return F.when(F.abs(s["t"]) > 1e-6, h).otherwise(0.0)
+
+    return F.get(F.transform(F.array(F.struct(counts.alias("c"), total.alias("t"))), of), F.lit(0))
 
 
 def amino_acid(codon: Column) -> Column:

@@ -106,6 +106,26 @@ def assemble_tiles(host: DataFrame, donor: DataFrame, offsets: DataFrame, tile:
     return old.unionByName(new).join(tiles, "accession").where("tile_idx < tiles").drop("tiles")
 
 
+def chimeras(tiles: DataFrame, grid: DataFrame, tile: int, need: int, n: int, edge: int, separation: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tiles, inserts, lengths) of new series: into each host of ``grid`` (accession, host, donor) ``n`` blocks of ``need`` tiles of its donor.
+
+    ``tiles`` (accession, tile_idx, vec) holds hosts and donors in one basis.
+    Places and blocks follow the hash of the new series' name, so a name with a
+    seed in it draws anew.
+    """
+    sizes = tiles.groupBy("accession").agg(F.count("*").alias("tiles"))
+    of = lambda side: grid.select("accession", F.col(side).alias("from_")).join(sizes.withColumnRenamed("accession", "from_"), "from_")
+    hosts, donors = of("host"), of("donor")
+    offsets = place(candidates(hosts.select("accession", (F.col("tiles") * tile).alias("length")), tile, edge), n, separation)
+    slots = donor_slots(donors.select("accession", "tiles"), n, need)
+    own = lambda side: grid.select("accession", F.col(side).alias("from_")).join(tiles.withColumnRenamed("accession", "from_"), "from_").select("accession", "tile_idx", "vec")
+    wanted = slots.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(need - 1).cast("long")))).select("accession", "k", "nth", (F.col("first_tile") + F.col("nth")).alias("tile_idx"))
+    donor = wanted.join(own("donor"), ["accession", "tile_idx"]).select("accession", "k", "nth", "vec")
+    lengths = hosts.join(offsets.groupBy("accession").agg(F.count("*").alias("put")), "accession").select("accession", (F.col("tiles") + F.col("put") * need).alias("tiles"))
+    made = assemble_tiles(own("host"), donor, offsets, tile, need, lengths)
+    return made, inserts(offsets, need * tile), lengths.select("accession", (F.col("tiles") * tile).alias("length"))
+
+
 def negative_regions(put: DataFrame, islands: DataFrame, lengths: DataFrame, flank: int) -> DataFrame:
     """What of each new sequence (accession, length) is neither near an insert nor in a shifted island of the host."""
     wide = put.select("accession", (F.col("start") - flank).alias("start"), (F.col("end") + flank).alias("end"))

@@ -78,6 +78,11 @@ def detrend(track: DataFrame, width: int) -> DataFrame:
     return track.withColumn("detrended", F.col("score") - F.when((n <= width) | F.lit(width < 3), whole).otherwise(local))
 
 
+def prefix_sums(track: DataFrame) -> DataFrame:
+    """``upto``: the sum of a track's scores up to each row."""
+    return track.withColumn("upto", F.sum("score").over(_line().rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def cusum(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """(keys, k, n): the change point that parts each group's means the most; ties the first; n // 2 below four rows."""
     line, whole = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys)

@@ -199,6 +199,11 @@ def q_robust_stat(spark, d):
     return vectors.robust_distance(tiles(spark, d)).select("accession", F.col("tile_idx").alias("idx"), F.round("distance", 5).alias("score"))
 
 
+@query("q_prefix_sums", f"WITH {_TRACK} SELECT accession, idx, round(sum(score) OVER (PARTITION BY accession ORDER BY idx), 4) AS upto FROM track")
+def q_prefix_sums(spark, d):
+    return tracks.prefix_sums(track(spark, d)).select("accession", "idx", F.round("upto", 4).alias("upto"))
+
+
 @query("q_smooth5", f"WITH {_TRACK}, f AS (SELECT a.accession, a.idx, b.score FROM track a, (SELECT unnest([-2, -1, 0, 1, 2]) AS o) JOIN track b ON b.accession = a.accession AND b.idx = greatest(0, least(a.n - 1, a.idx + o))) SELECT accession, idx, round(list_sort(list(score))[3], 6) AS smoothed FROM f GROUP BY ALL")
 def q_smooth5(spark, d):
     return tracks.smooth5(track(spark, d)).select("accession", "idx", r6(F.col("smoothed"), "smoothed"))

@@ -70,12 +70,14 @@ def tuning_grid(spark: SparkSession) -> DataFrame:
 
 def runnable(configs: DataFrame, embeddings: DataFrame) -> DataFrame:
     """The configurations that use no embedding, or one of those at hand (embedding)."""
-    at_hand = F.broadcast(embeddings.select(F.col("embedding").alias("have")).distinct())  # a handful of models
+    at_hand = embeddings.select(F.col("embedding").alias("have")).distinct()
     free = configs.where("not use_embedding or embedding is null")
     return free.unionByName(configs.where("use_embedding and embedding is not null").join(at_hand, F.col("embedding") == F.col("have"), "left_semi"))
 
 
 def to_run(configs: DataFrame, genomes: DataFrame, attempted: DataFrame) -> DataFrame:
     """(accession, method, config): every configuration for every sequence, but for those attempted (accession, config)."""
-    wanted = genomes.select("accession").distinct().crossJoin(F.broadcast(configs.select("method", "config")))  # the registry is short
+    # the registry comes from the driver (see methods), so its rows go into the plan as one array beside each sequence
+    every = F.array(*[F.struct(F.lit(r.method).alias("method"), F.lit(r.config).alias("config")) for r in configs.select("method", "config").collect()])
+    wanted = genomes.select("accession").distinct().select("accession", F.inline(every))
     return missing(wanted, attempted, ["accession", "config"])

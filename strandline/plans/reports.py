@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
-from strandline.operators import evaluate, intervals, synthetic, tracks
+from strandline.operators import evaluate, intervals, predict, synthetic, tracks
 from strandline.plans.catalogue import _CV, _cv, _K, _PARTS, _RUNS, _SEQ, _signed_ranks, _TILES, GAP, LEAST, SPAN, WIDTH, parts, r6, read, sequences, tiles, track
 from strandline.sources import genomes
+from strandline.sources.staging import cut
 
 METHODS, TILE, NEED, EDGE, FLANK = 3, 10, 2, 40, 15
 INSERT = TILE * NEED
@@ -101,6 +102,17 @@ def q_report_protocol(spark, d):
     return each.groupBy("method").agg(r6(F.avg(100 * F.try_divide(tp, tp + fp)), "official"), r6(F.avg(100 * F.try_divide(tp, called)), "strict"), r6(F.avg(called / F.lit(float(SPAN))), "called"))
 
 
+@query("q_report_fractions", f"WITH {_MC}, s AS (SELECT accession, method, count(*) FILTER (WHERE pr) AS called, count(*) FILTER (WHERE po OR ne) AS scored, count(*) FILTER (WHERE pr AND (po OR ne)) AS hit FROM cell GROUP BY ALL) SELECT method, round(avg(100.0 * called / {SPAN}), 6) AS called, round(avg(100.0 * scored / {SPAN}), 6) AS scored, round(avg(100.0 * hit / nullif(called, 0)), 6) AS called_scored FROM s GROUP BY method")
+def q_report_fractions(spark, d):
+    """What of a sequence is called, what is scored, and what of the called is."""
+    seg = intervals.sweep(method_intervals(spark, d), ["pred", "pos", "neg"], BY)
+    n, p, s = F.col("end") - F.col("start") + 1, F.col("pred") > 0, (F.col("pos") > 0) | (F.col("neg") > 0)
+    total = lambda c: F.sum(F.when(c, n).otherwise(0))
+    each = seg.groupBy(*BY).agg(total(p).alias("called"), total(s).alias("scored"), total(p & s).alias("both"))
+    share = lambda c: r6(F.avg(100 * F.col(c) / F.lit(float(SPAN))), c)
+    return each.groupBy("method").agg(share("called"), share("scored"), r6(F.avg(100 * F.try_divide("both", "called")), "called_scored"))
+
+
 @query("q_report_boundaries", f"WITH {_MB}, e AS (SELECT method, unnest([abs(ps - ts), abs(pe - te)]) AS err FROM best WHERE ps IS NOT NULL), m AS (SELECT method, CAST(median(err) AS DOUBLE) AS mabe FROM e GROUP BY method) SELECT method, count(ps) AS n_matched, CAST(median(ps - ts) AS DOUBLE) AS median_signed_start, CAST(median(pe - te) AS DOUBLE) AS median_signed_end, any_value(mabe) AS mabe, round(avg(CASE WHEN ps IS NULL THEN 0.0 ELSE 100.0 END), 6) AS detection_rate FROM best JOIN m USING (method) GROUP BY method")
 def q_report_boundaries(spark, d):
     found = _matches(spark, d)
@@ -401,6 +413,21 @@ def q_audit(spark, d):
     return evaluate.self_comparisons(tests).select("method", r6(F.col("mean_diff"), "mean_diff"), F.when(F.col("up") + F.col("down") == 0, F.col("suspect")).otherwise(False).alias("suspect"))
 
 
+@query("q_sweep")
+def q_sweep(spark, d):
+    """Inserts of two lengths from the other labels in two labels' series, through the whole predictor: what of them is found, and how well."""
+    t = tiles(spark, d)
+    label = t.select("accession").distinct()
+    grid = synthetic.conditions(label.where("accession < 2"), label.where("accession in (2, 3)"), [4, 8], [0])
+    name = F.concat_ws("|", "host", "donor", "insert_len", "seed").alias("accession")
+    parts = [synthetic.chimeras(t, grid.where(F.col("insert_len") == need).select(name, "host", "donor"), TILE, need, 2, 4 * TILE, 12 * TILE) for need in (4, 8)]
+    made, put, lengths = (cut(a.unionByName(b)) for a, b in zip(*parts, strict=True))
+    calls = predict.by_vectors(made, lengths, TILE, 4 * TILE, TILE, 4, 5, TILE, 2 * TILE, refine=(40, 60), stride=1)
+    found = cut(intervals.best_overlap(put, calls).join(grid.select(name, "insert_len"), "accession"))
+    rate = found.groupBy("insert_len").agg(F.count("*").alias("n"), r6(100 * F.avg(F.col("matched").cast("int")), "detection_rate"))
+    return rate.join(evaluate.boundary_summary(found, ["insert_len"], (TILE,)), "insert_len").select("insert_len", "n", "detection_rate", "n_matched", "mabe", r6(F.col("median_jaccard"), "median_jaccard"))
+
+
 def queries() -> dict:
     return dict(Q)
 

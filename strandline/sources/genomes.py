@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.vectors import l2
+
 #: File name without folders and without what follows its last dot.
 STEM = r"([^/]+?)(?:\.[^./]*)?$"
 
@@ -149,6 +151,12 @@ def best_kind(tiles: DataFrame, prefer_full: bool = False) -> DataFrame:
     return tiles.withColumn("has_", has).where((F.col("kind") == wanted) | ~F.col("has_")).drop("has_")
 
 
+def read_tiles(spark: SparkSession, path: str, prefer_full: bool = False, unit: bool = False) -> DataFrame:
+    """The archives of ``path`` in one kind each, the full vectors among them with length 1 if ``unit``."""
+    rows = best_kind(spark.read.parquet(path), prefer_full)
+    return rows.withColumn("vec", F.when(F.col("kind") == "emb", l2(F.col("vec"))).otherwise(F.col("vec"))) if unit else rows
+
+
 def config_digest(config: Column) -> Column:
     """Ten hex digits that name a configuration (a struct or map column)."""
     return F.substring(F.sha1(F.to_json(config)), 1, 10)

@@ -54,6 +54,55 @@ def test_tables_and_archives(spark, tmp_path):
     assert kinds(False) == [("a", "pcs"), ("b", "emb")] and kinds(True) == [("a", "emb"), ("b", "emb")]
 
 
+def test_archives_with_unit_vectors(spark, tmp_path):
+    schema = "model string, tile int, kind string, accession string, tile_idx long, vec array<double>"
+    tiles = spark.createDataFrame([("m", 10, "emb", "a", 0, [3.0, 4.0]), ("m", 10, "pcs", "b", 0, [3.0, 4.0])], schema)
+    genomes.write_tiles(tiles, str(tmp_path / "t"))
+    got = {r.accession: r.vec for r in genomes.read_tiles(spark, str(tmp_path / "t"), unit=True).collect()}
+    assert got == {"a": [pytest.approx(0.6), pytest.approx(0.8)], "b": [3.0, 4.0]}
+
+
+def test_available_files_and_results(spark, tmp_path):
+    for name, n in (("NC_7.1.fna", 1001), ("NC_8.2.fna", 1000), ("x.fna", 5000)):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("A" * n)
+    assert rows(genomes.available(spark, str(tmp_path / "in")), "accession") == [("NC_7.1",), ("x",)]
+    table = spark.createDataFrame([(1, "u"), (2, None)], "k int, v string")
+    for kind in ("csv", "parquet"):
+        for _ in range(2):
+            genomes.write_results({"one": table, "two": table.limit(1)}, str(tmp_path / kind), kind)
+    assert spark.read.parquet(str(tmp_path / "parquet" / "one")).count() == 2
+    assert rows(spark.read.option("header", True).csv(str(tmp_path / "csv" / "one")), "k") == [("1", "u"), ("2", None)]
+
+
+def test_last_of_and_carried(spark):
+    df = spark.createDataFrame([("a", 1, 9), ("a", 3, None), ("a", 3, 4), ("b", 2, None)], "k string, o int, v int")
+    assert rows(genomes.last_of(df, ["k"], ["o"]), "k") == [("a", 3, 4), ("b", 2, None)]
+    line = spark.createDataFrame([("a", i, v) for i, v in enumerate((None, 5, None, 7, None))], "k string, o int, v int")
+    assert [r.held for r in genomes.carried(line, "k", "o", F.col("v"), "held").orderBy("o").collect()] == [None, 5, 5, 7, 7]
+
+
+def test_sheet_without_a_tool(spark):
+    head = ["Tool", "Accession", "True Positives"]
+    cells = [head, ["Literature", "NC_1.1", "1"], ["t", "NC_1.1", "2"]]
+    sheet = spark.createDataFrame([("f", i, c) for i, c in enumerate(cells)], "file string, row_no int, cells array<string>")
+    assert [r.tool for r in genomes.accuracy_sheet(sheet).collect()] == ["t"] and genomes.accuracy_sheet(sheet, ()).count() == 2
+
+
+def test_chimeras_hold_their_blocks(spark):
+    tiles = spark.createDataFrame([(a, i, [float(100 * n + i)]) for n, a in enumerate("hd") for i in range(40)], "accession string, tile_idx long, vec array<double>")
+    grid = spark.createDataFrame([("h|d|0", "h", "d"), ("h|d|1", "h", "d")], "accession string, host string, donor string")
+    made, put, lengths = synthetic.chimeras(tiles, grid, 10, 3, 2, 50, 80)
+    assert rows(lengths, "accession") == [("h|d|0", 460), ("h|d|1", 460)]
+    lines = {a: [r.vec[0] for r in made.where(F.col("accession") == a).orderBy("tile_idx").collect()] for a in ("h|d|0", "h|d|1")}
+    assert lines["h|d|0"] != lines["h|d|1"]
+    spots = rows(put, "accession", "k")
+    for a, line in lines.items():
+        inside = {i for n, _, s, e in spots if n == a for i in range(s // 10, e // 10 + 1)}
+        assert len(line) == 46 and len(inside) == 6 and [v for i, v in enumerate(line) if i not in inside] == [float(i) for i in range(40)]
+        assert all(line[i] >= 100 for i in inside) and all(line[s // 10 + j] == line[s // 10] + j for n, _, s, _ in spots if n == a for j in range(3))
+
+
 def test_configurations(spark):
     assert configs.tuning_grid(spark).select("config").distinct().count() == 108
     found = configs.methods(spark, {"one": {}, "same": {}, "comp": {"embedding": None, "use_embedding": False}, "other": {"embedding": "E"}})
