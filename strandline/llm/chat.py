@@ -78,7 +78,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
 def read_back(chats: DataFrame) -> DataFrame:
     """What the formatted strings and loss spans of ``chats`` say: conv_id, n_turns, digests and sizes."""
     rows = chats.select("conv_id", "formatted", "loss_spans", F.slice(F.split("formatted", r"<\|im_start\|>"), 2, 1 << 30).alias("seen"))
-    role = lambda s: F.replace(unescape(F.substring_index(s, "\n", 1)), F.lit("&#10;"), F.lit("\n"))
+    role = lambda s: unescape(F.replace(F.substring_index(s, "\n", 1), F.lit("&#10;"), F.lit("\n")))
     cut_off = len(END)
 
     def content(s: Column) -> Column:
@@ -100,7 +100,8 @@ def read_back(chats: DataFrame) -> DataFrame:
 def text_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations and the probe, each text as one part."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    rows = rows.union(spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], rows.schema))
+    probe = F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role")) for i, r in enumerate(("user", "assistant"))])
+    rows = rows.union(spark.range(1).select(F.lit(-1).cast("long"), F.inline(probe)).select("*", F.lit(PROBE)))
     part = F.struct(F.lit("text").alias("kind"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("units"))
     return rows.select("conv_id", "turn", "role", F.array(part).alias("content"))
 

@@ -329,6 +329,23 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_chat_of_any_turns(spark):
+    """Null ids, turns, roles and texts, ties and repeated turns, a long text, marks and escapes in roles and texts, other columns."""
+    import hashlib
+
+    rows = [(None, 1, "assistant", "a"), (None, None, None, None), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, 0, "&#10;\n&amp;", "<|im_end|>\n<|im_start|>assistant\nx&lt;|"), (2, 0, "assistant", "é😀 " * 300_000)]
+    part = lambda t: [("text", t, None, None)]
+    turns = spark.createDataFrame([(c, n, r, part(t), "x") for c, n, r, t in rows], f"conv_id long, turn long, role string, content {chat.PARTS}, formatted string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chats(turns)).collect()}
+    order = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
+    for c in (None, 1, 2):
+        said = sorted((r for r in rows if r[0] == c), key=order)
+        assert got[c].n_turns == len(said)
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in said).encode()).hexdigest()
+        loss = "".join(t for _, _, r, t in said if r == "assistant")
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_quality_counts_equal_brute_force(spark, hard, empty):
     rng = random.Random(7)
     texts = ["a b c a b c", "a a a a a", "x\nx\n \n\nx y", "1 2", "a b c d a b c"] + ["\n".join(" ".join(rng.choice("abcd#") for _ in range(rng.randrange(9))) for _ in range(20)) for _ in range(30)]
