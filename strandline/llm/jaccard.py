@@ -21,9 +21,9 @@ one. The join runs on distinct shingle sets (copies are one class):
 3. *Regions.* What lies within the threshold of a pivot is linked to it. Members
    outside the pivot's component become the pivots of the next level. They stand
    in cells by their distance, and a member goes to the cells that its
-   triangle-inequality window reaches, if any is of another component; only then
-   are shingles sent. This recurs until every region is out of pivots, so no link
-   between components is lost, and copies are never paired with each other.
+   triangle-inequality window reaches and that hold pivots of other components;
+   only then are shingles sent. This recurs until every region is out of pivots,
+   so no link between components is lost, and copies are never paired.
 
 Links are contracted after each level: the next one knows components only.
 """
@@ -236,10 +236,12 @@ def _open_cells(known: DataFrame, most: int, rows: int) -> tuple[DataFrame, Data
     turn = F.when(F.col("left") <= most, TURNS).otherwise(F.col("done") + F.ceil((TURNS - F.col("done")) * (most / F.col("left"))))
     turns = few(waits.groupBy("region", "done").agg(F.count("*").alias("left")), rows).select("region", turn.cast("long").alias("turn"))
     now = cut(few(known.join(turns, "region").withColumn("pivot", F.expr("comp <> head and h >= done and h < turn")), rows))
-    totals = few(now.groupBy("region", "cell").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("pivot"), F.col("n")).otherwise(0)).alias("pivots")), rows)
-    near = totals.select("region", F.explode(F.expr("sequence(cell - 1, cell + 1)")).alias("at"), "cell", "n", "pivots")
-    cells = near.groupBy("region", "at").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("at") == F.col("cell"), F.col("pivots")).otherwise(0)).alias("pivots"))
-    cells = cells.where("pivots > 0").select("region", F.col("at").alias("cell"), F.ceil(F.col("pivots") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / SLICE).cast("int").alias("parts"))
+    of = F.when(F.col("pivot"), F.col("comp"))
+    totals = now.groupBy("region", "cell").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("pivot"), F.col("n")).otherwise(0)).alias("pivots"), F.min(of).alias("low"), F.max(of).alias("high"))
+    near = few(totals, rows).select("region", F.explode(F.expr("sequence(cell - 1, cell + 1)")).alias("at"), "cell", "n", "pivots", "low", "high")
+    own = lambda c: F.max(F.when(F.col("at") == F.col("cell"), F.col(c))).alias(c)
+    cells = near.groupBy("region", "at").agg(F.sum("n").alias("n"), own("pivots"), own("low"), own("high"))
+    cells = cells.where("pivots > 0").select("region", F.col("at").alias("cell"), "low", "high", F.ceil(F.col("pivots") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / SLICE).cast("int").alias("parts"))
     return now, cut(few(cells, rows))
 
 
@@ -250,7 +252,8 @@ def _links(now: DataFrame, cells: DataFrame, sets: DataFrame, percent: int, rows
     slim = [c for c in _ROW if c != "tokens"]
     pivots = now.where("pivot").join(cells, ["region", "cell"]).withColumns({"block": number("block", "blocks"), "part": every("parts"), "kind": F.lit(0)})
     reached = cells.withColumn("at", F.explode(F.expr("sequence(cell - 1, cell + 1)"))).withColumnRenamed("cell", "of")
-    members = now.join(reached, (now.region == reached.region) & (now.cell == reached["at"])).select(now.region, F.col("of").alias("cell"), "sig", "n", "d", "comp", number("part", "parts").alias("part"), "blocks")
+    # what is of the component of all of a cell's pivots has no link to find there
+    members = now.join(reached, (now.region == reached.region) & (now.cell == reached["at"])).where("comp <> low or comp <> high").select(now.region, F.col("of").alias("cell"), "sig", "n", "d", "comp", number("part", "parts").alias("part"), "blocks")
     members = members.withColumns({"block": every("blocks"), "kind": F.lit(1)})
     rows_ = _with_tokens(few(members.select("sig", *slim).union(pivots.select("sig", *slim)), rows), sets)
     rows_ = few(rows_.select(*_ROW), rows).repartition(*_CELL).sortWithinPartitions(*_CELL, "kind")
