@@ -16,17 +16,22 @@ def encode():
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-def test_ids_of_words_are_the_tokenizers_own(encode, monkeypatch):
+def test_ids_of_spans_are_the_tokenizers_own(encode, monkeypatch):
     monkeypatch.setattr(packing, "SPAN", 40)
-    monkeypatch.setattr(packing, "REMEMBERED", 60)
-    ids = packing.Ids(PATH)
+    ids = packing.Ids(*packing.vocabulary_50k())
     texts = ["", " ", "a", "Hello  world\n\n  new line \t tab\t\tx", "it's we'll  \n", " wide　space   x", "!\x1c y ?\x1c\x1c z", "x" * 500, "naïve Straße 12345 日本語 \U0001f600 ", "<|endoftext|> a<|endoftext|>", "a\r\n b \x0b c", " lead and trail  " * 20]
-    for text in texts:
-        assert ids.of(text).tolist() == [*encode(text), packing.END], text
+    for text in (*texts, None):
+        assert ids.of(text).tolist() == [*encode(text or ""), packing.END], text
+
+
+def test_ids_of_documents_are_the_tokenizers_own(spark, encode):
+    ids = packing.Ids(*packing.vocabulary_50k())
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        assert ids.of(r.text).tolist() == [*encode(r.text or ""), packing.END]
 
 
 def packed(docs, length):
-    rows = packing.pack_documents(docs, PATH, length).collect()
+    rows = packing.pack_documents(docs, packing.vocabulary_50k(), length).collect()
     by = collections.defaultdict(list)
     for r in rows:
         assert len(r.ids) == 4 * r.length > 0
@@ -63,7 +68,7 @@ def test_packing_of_hard_rows(spark):
     got, sizes = packed(spark.createDataFrame(rows, "doc_id long, text string, length string"), 1024)
     assert sorted((r.doc_id is None, r.doc_id or 0, r.length) for r in got) == [(False, 1, 1), (False, 2, 2), (False, 2, 2), (True, 0, 1), (True, 0, 2)]
     assert sum(sizes) == 8 and all(n & (n - 1) == 0 for n in sizes)
-    assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+    assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), packing.vocabulary_50k()).count() == 0
 
 
 def test_column_generation_reaches_the_programs_value():
