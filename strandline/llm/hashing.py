@@ -43,9 +43,9 @@ def _power(base: int, n: int) -> np.ndarray:
     return have
 
 
-def _words_of_block(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words_of_block(raw: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[raw]
+    inside[1:-1] = ~gaps[raw]
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     total = np.zeros(len(raw) + 1, np.uint64)
@@ -53,8 +53,8 @@ def _words_of_block(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, mix((total[end] - total[start]) * _power(_R_INVERSE, len(raw) + 1)[start] + (end - start).astype(np.uint64))
 
 
-def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, and where each text's words begin (one more entry than texts)."""
+def word_hashes(texts: list, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and where each text's words begin (one more entry than texts); ``gaps``: for each byte whether it parts words, as the space must."""
     encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     at = np.cumsum([0, *(len(b) + 1 for b in encoded)])
     raw = np.frombuffer(b" ".join(encoded) + b" ", np.uint8)
@@ -62,12 +62,12 @@ def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
     while low < len(raw):
         high = min(low + _BLOCK, len(raw))
         while high < len(raw):  # on to the next white space
-            gap = np.flatnonzero(_SPACE[raw[high : high + _BLOCK]])
+            gap = np.flatnonzero(gaps[raw[high : high + _BLOCK]])
             if len(gap):
                 high += int(gap[0])
                 break
             high = min(high + _BLOCK, len(raw))
-        s, h = _words_of_block(raw[low:high])
+        s, h = _words_of_block(raw[low:high], gaps)
         starts.append(s + low)
         hashes.append(h)
         low = high

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandline.llm import chat, decontaminate, jaccard, language, licenses, mixing, packing, quality, secrets, sharding, urls
+from strandline.llm import chat, decontaminate, jaccard, language, licenses, mixing, packing, quality, ranking, secrets, sharding, spelling, urls
 
-MODULES = (sharding, decontaminate, chat, secrets, licenses, mixing, jaccard, language, urls, quality, packing)
+MODULES = (sharding, decontaminate, chat, secrets, licenses, mixing, jaccard, language, urls, quality, spelling, packing, ranking)
 
 
 def queries() -> dict:
