@@ -3,8 +3,9 @@
 A turn's content is an array of parts (kind, text, ref, units). A visitor
 flattens it: text is escaped, an image, audio or document part becomes a
 placeholder, and its reference and the tokens it expands to are recorded in
-order. Marks of turns cannot occur in texts: ``&`` is written as ``&amp;`` and
-the beginning ``<|`` of a control string as ``&lt;|``.
+order. Marks of turns cannot occur in texts: ``&`` is written as ``&amp;``, the
+beginning ``<|`` of a control string as ``&lt;|``, and a ``<`` that ends a part
+before another one as ``&lt;``, so that parts do not make a mark together.
 """
 
 from __future__ import annotations
@@ -31,16 +32,17 @@ def escape(c: Column) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    return _literal("&amp;", "&")(_literal("&lt;|", "<|")(c))
+    return _literal("&amp;", "&")(_literal("&lt;", "<")(c))
 
 
 def _role(c: Column) -> Column:
     return _literal("\n", "&#10;")(escape(F.coalesce(c, F.lit(""))))
 
 
-def visit(part: Column) -> Column:
-    """The string that stands for a part; a part of another kind stands for its text."""
-    out = escape(F.coalesce(part["text"], F.lit("")))
+def visit(part: Column, last: Column) -> Column:
+    """The string that stands for a part; a part of another kind stands for its text. ``last``: whether none follows."""
+    text = escape(F.coalesce(part["text"], F.lit("")))
+    out = F.when(last, text).otherwise(F.regexp_replace(text, r"<\z", "&lt;"))
     for kind in TOKENS:
         out = F.when(part["kind"] == kind, F.lit(f"<|{kind}|>")).otherwise(out)
     return out
@@ -59,7 +61,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     kind = F.col("content").cast(PARTS)
     rows = turns.select("conv_id", "turn", _role(F.col("role")).alias("role"), F.coalesce(kind, F.array().cast(PARTS)).alias("parts"))
     tokens = F.lit(0).cast("long")
-    flat = rows.select("conv_id", "turn", "role", F.array_join(F.transform("parts", visit), "").alias("content"), F.filter("parts", lambda p: p["kind"].isin(*TOKENS)).alias("media"))
+    flat = rows.select("conv_id", "turn", "role", F.array_join(F.transform("parts", lambda p, i: visit(p, i == F.size("parts") - 1)), "").alias("content"), F.filter("parts", lambda p: p["kind"].isin(*TOKENS)).alias("media"))
     held = flat.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "content", "media"))).alias("turns"))
     text = F.transform("turns", lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["content"], F.lit(END)))
     spans = F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", F.struct(i.alias("turn"), (F.length(t["role"]) + 1).alias("start"), F.length(t["content"]).alias("length"))))
