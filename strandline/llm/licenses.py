@@ -221,21 +221,26 @@ class Templates:
         first = [0]  # word that each line begins with
         for line in lines:
             first.append(first[-1] + len(line))
-        taken, out, whole = [], [], set(pairs)
+        lows, highs, out = [], [], []  # of what is taken, in order
+        whole, of_line = self.told(set(pairs)), {}  # bigrams in common with the template that a line fits most of
         for n, dice, name, low, high in sorted(runs):  # words low to high
-            if any(low <= b and a <= high for a, b in taken):
+            i = bisect_left(lows, low)
+            if i < len(lows) and lows[i] <= high or i and highs[i - 1] >= low:
                 continue
-            taken.append((low, high))
+            lows.insert(i, low)
+            highs.insert(i, high)
             line = bisect_left(first, low + 1) - 1
             upto = bisect_left(first, high + 1)
-            within = [{f"{a} {b}" for a, b in zip(x, x[1:])} for x in lines[line:upto]]
-            if not any(self.covers(x, -n) for x in [*within, whole]):
+            for j in range(line, upto):
+                if j not in of_line:
+                    of_line[j] = self.told({f"{a} {b}" for a, b in zip(lines[j], lines[j][1:])})
+            if max([whole, *(of_line[j] for j in range(line, upto))]) < -n:
                 out.append((line + 1, name, -dice))
         return out
 
-    def covers(self, pairs: set, n: int) -> bool:
-        """Whether a line or whole text of such bigrams is found as such, with ``n`` bigrams of its template or more."""
-        return any(len(pairs & own) >= n and _dice(pairs, own) >= self.threshold for _, own in self.lines)
+    def told(self, pairs: set) -> int:
+        """Most bigrams that a line or whole text of such bigrams has in common with a template that it fits; 0 if none."""
+        return max((len(pairs & own) for _, own in self.lines if _dice(pairs, own) >= self.threshold), default=0)
 
 
 def _find(templates: Templates):
