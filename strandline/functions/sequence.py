@@ -65,26 +65,26 @@ def _kmer_ids(codes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np
     return places, ids[places]
 
 
-def _slices(texts: list) -> Iterator[tuple[int, int]]:
-    """Texts of about ``AT_ONCE`` characters at a time, as (first, last + 1)."""
+def _slices(texts: list, most: int) -> Iterator[tuple[int, int]]:
+    """Texts of about ``most`` characters at a time, as (first, last + 1)."""
     low = size = 0
     for i, t in enumerate(texts):
         size += len(t)
-        if size >= AT_ONCE:
+        if size >= most:
             yield low, i + 1
             low, size = i + 1, 0
     if low < len(texts):
         yield low, len(texts)
 
 
-def _in_batches(rows: DataFrame, seq: str, keys: list[str], made: str, run) -> DataFrame:
+def _in_batches(rows: DataFrame, seq: str, keys: list[str], made: str, run, most: int | None = None) -> DataFrame:
     """``keys`` and what ``run`` (batch columns, texts) yields: indices of the texts and Arrow arrays of the columns ``made``."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(seq)).to_pylist()
             held = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names if c != seq}
-            for low, high in _slices(texts):
+            for low, high in _slices(texts, min(most or AT_ONCE, AT_ONCE)):
                 which, columns = run({c: v[low:high] for c, v in held.items()}, texts[low:high])
                 if len(which):
                     own = [held[c].take(pa.array(which + low)) for c in keys]
@@ -155,46 +155,53 @@ def starts(rows: DataFrame, n: Column, step: int, name: str = "win_idx") -> Data
     return r.select(*rows.columns, F.explode(F.expr("sequence(0L, n_ - 1)")).alias(name)).withColumn("start", F.col(name) * step)
 
 
-def window_counts(rows: DataFrame, seq: str, key: str, ks: list[int], w: int, dw: int) -> DataFrame:
-    """(key, win_idx, c1, ck for each of ``ks``): counts, by id, of the bases and of the k-mers that start and end in each window.
+#: Counts that a chunk's windows hold at once, about.
+HELD = 1 << 21
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def _over_windows(rows: DataFrame, seq: str, key: str, ks: list[int], w: int, dw: int, made: str, columns_of) -> DataFrame:
+    """(key, win_idx, ``made``): what ``columns_of`` makes of each window's counts, {k: an array of a row for each window} for 1 and ``ks``.
 
-    Counts of each ``dw`` places are made once and summed over a window's ``w / dw``
-    of them, less the k-mers that begin in its last k - 1 places. A chunk holds
-    all places of the windows that start in it, so nothing is shuffled.
+    Places are parted where windows start and where a k-mer that ends in them
+    must have begun. Counts of the parts are summed along the chunk once, and a
+    window's are the difference of two of these sums. A chunk holds all places of
+    the windows that start in it, so nothing is shuffled.
     """
-    assert w % dw == 0 and max(ks, default=1) <= dw
-    m, size = w // dw, max(w, CHUNK // dw * dw)
+    if w < 1 or dw < 1 or min(ks, default=1) < 1:
+        raise ValueError("windows, steps and k-mers have at least one place")
+    many = max(1, min(CHUNK // dw, HELD >> 2 * max(ks, default=1)))
+    size = max(-(-w // dw), many) * dw
 
     def run(columns, texts):
         codes, at = _codes(texts)
         offset, length = (columns[c].to_numpy(zero_copy_only=False) for c in ("offset", "n_"))
         windows = np.clip(np.minimum(size // dw, -(-(length - w) // dw) - offset // dw), 0, None)
-        hops = np.where(windows > 0, windows + m - 1, 0)
-        base = np.cumsum([0, *hops])
         text = np.repeat(np.arange(len(texts)), windows)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
-        first = base[text] + nth
-        out = {"win_idx": pa.array(offset[text] // dw + nth)}
+        start = at[text] + nth * dw
+        counts = {}
         for k in (1, *ks):
             places, ids = _kmer_ids(codes, at, k)
-            t = np.searchsorted(at, places, "right") - 1
-            pos = places - at[t]
-            used = pos < hops[t] * dw
-            pos, ids, t = pos[used], ids[used], t[used]
-            cell = (base[t] + pos // dw << 2 * k) + ids
-            shape = (int(base[-1]), 1 << 2 * k)
-            n = np.bincount(cell, minlength=shape[0] * shape[1]).reshape(shape)
-            upto = np.concatenate([np.zeros((1, shape[1]), np.int64), np.cumsum(n, axis=0)])
-            got = upto[first + m] - upto[first]
-            if k > 1:
-                late = np.bincount(cell[pos % dw > dw - k], minlength=shape[0] * shape[1]).reshape(shape)
-                got -= late[first + m - 1]
-            out[f"c{k}"] = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * shape[1]), pa.array(got.ravel()))
-        return text, out
+            end = start + max(0, w - k + 1)
+            part = np.zeros(len(codes) + 1, np.int32)
+            part[start] = part[end] = 1
+            part = np.cumsum(part)  # of each place; what begins before a part's first place lies in the parts before
+            upto = np.bincount((part[places] << 2 * k) + ids, minlength=int(part[-1]) + 1 << 2 * k).reshape(-1, 1 << 2 * k).cumsum(axis=0)
+            counts[k] = upto[part[end] - 1] - upto[part[start] - 1]
+        return text, {"win_idx": pa.array(offset[text] // dw + nth), **columns_of(counts)}
 
     sized = rows.select(key, F.length(seq).cast("long").alias("n_"), seq).where(F.col("n_") > w)
-    made = ", ".join(["win_idx long", *(f"c{k} array<bigint>" for k in (1, *ks))])
-    return _in_batches(chunked(sized, seq, size, w), seq, [key], made, run)
+    return _in_batches(chunked(sized, seq, size, w), seq, [key], f"win_idx long, {made}", run, size)
+
+
+def window_counts(rows: DataFrame, seq: str, key: str, ks: list[int], w: int, dw: int) -> DataFrame:
+    """(key, win_idx, c1, ck for each of ``ks``): counts, by id, of the bases and of the k-mers that start and end in each window; any w, dw and k."""
+    made = ", ".join(f"c{k} array<bigint>" for k in (1, *ks))
+    return _over_windows(rows, seq, key, ks, w, dw, made, lambda counts: {f"c{k}": _lists(n) for k, n in counts.items()})
 
 
 def window_base_counts(rows: DataFrame, seq: str, key: str, w: int, dw: int) -> DataFrame:
@@ -208,26 +215,41 @@ def window_kmer_counts(rows: DataFrame, seq: str, key: str, k: int, w: int, dw:
     return found.select(key, "win_idx", kmer_text(F.col("kid").cast("long"), k).alias("kmer"), "n")
 
 
-def karlin_array(c1: Column, c2: Column, mode: str = "normalized") -> Column:
-    """The 16 dinucleotide biases, by id, of arrays of base and pair counts."""
-    return F.transform(c2, lambda n, i: karlin(n, F.get(c1, F.floor(i / 4).cast("int")).cast("double"), F.get(c1, i % 4).cast("double"), mode))
+def _acids() -> np.ndarray:
+    """The place of each 3-mer's class, by id, among the 21 in alphabetical order, * first."""
+    order = sorted(set(AMINO_ACIDS))
+    return np.array([order.index(CODONS["".join(codon)]) for codon in product(BASES, repeat=3)])
 
 
-def amino_acid_counts(c3: Column) -> Column:
-    """Counts of the 21 classes in alphabetical order, * first, from an array of the counts of 3-mers by id: all frames."""
-    ids = {a: [] for a in sorted(set(AMINO_ACIDS))}
-    for i, codon in enumerate(product(BASES, repeat=3)):
-        ids[CODONS["".join(codon)]].append(i)
-    return F.array(*[sum((F.get(c3, F.lit(i)) for i in of[1:]), F.get(c3, F.lit(of[0]))).cast("double") for of in ids.values()])
+def _entropies(counts: np.ndarray) -> np.ndarray:
+    """:func:`offset_entropy` of each row."""
+    total = counts.sum(axis=1, keepdims=True)
+    some = np.abs(total) > 1e-6
+    share = counts / np.where(some, total, 1) + 1
+    return np.where(some[:, 0], (share * np.log2(share)).sum(axis=1), 0.0)
 
 
 def window_features(rows: DataFrame, seq: str, key: str, w: int, dw: int, mode: str = "normalized") -> DataFrame:
-    """(key, win_idx, gc, skew, h_dinuc, h_aa, h_tetra, dinuc, aa, tetra): each window's composition, the last three as arrays."""
-    n = window_counts(rows, seq, key, [2, 3, 4], w, dw)
-    n = n.select(key, "win_idx", "c1", karlin_array(F.col("c1"), F.col("c2"), mode).alias("dinuc"), amino_acid_counts(F.col("c3")).alias("aa"), F.col("c4").cast("array<double>").alias("tetra"))
-    c, g = F.get("c1", F.lit(2)), F.get("c1", F.lit(3))
-    named = {"gc": (g + c) / w, "skew": gc_skew(g, c), **{f"h_{a}": offset_entropy(F.col(a)) for a in ("dinuc", "aa", "tetra")}}
-    return n.select(key, "win_idx", *[c.alias(x) for x, c in named.items()], "dinuc", "aa", "tetra")
+    """(key, win_idx, gc, skew, h_dinuc, h_aa, h_tetra, dinuc, aa, tetra): each window's composition, the last three as arrays.
+
+    Made in the pass that counts: pair biases (see :func:`karlin`), counts of the
+    21 classes of 3-mers in alphabetical order (* first, all frames), of 4-mers, and entropies of all three.
+    """
+    acids = _acids()
+
+    def of(counts):
+        n1, n2, n3, tetra = (counts[k].astype(float) for k in (1, 2, 3, 4))
+        x, y = np.repeat(n1, 4, axis=1), np.tile(n1, 4)
+        dinuc = n2 if mode == "raw" else n2 / ((x * y if mode == "original" else np.sqrt(x) * np.sqrt(y)) + 1e-6)
+        aa = np.zeros((len(n3), int(acids.max()) + 1))
+        for i, a in enumerate(acids):
+            aa[:, a] += n3[:, i]
+        c, g = n1[:, 2], n1[:, 3]
+        scalars = {"gc": (g + c) / w, "skew": np.where(g + c > 0, (g - c) / np.maximum(g + c, 1), 0.0), "h_dinuc": _entropies(dinuc), "h_aa": _entropies(aa), "h_tetra": _entropies(tetra)}
+        return {n: pa.array(v) for n, v in scalars.items()} | {"dinuc": _lists(dinuc), "aa": _lists(aa), "tetra": _lists(tetra)}
+
+    made = "gc double, skew double, h_dinuc double, h_aa double, h_tetra double, dinuc array<double>, aa array<double>, tetra array<double>"
+    return _over_windows(rows, seq, key, [2, 3, 4], w, dw, made, of)
 
 
 def gc_skew(g: Column, c: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators import scans
+
 KEYS = ["accession"]
 
 
@@ -18,18 +20,17 @@ def sweep(intervals: DataFrame, roles: list[str], keys: list[str] = KEYS) -> Dat
     borders = F.array(F.struct(F.col("start").alias("pos"), count.alias("d")), F.struct((F.col("end") + 1).alias("pos"), (-count).alias("d")))
     rows = intervals.where("end >= start").select(*keys, "role", F.inline(borders))
     at = rows.groupBy(*keys, "pos").agg(*[F.sum(F.when(F.col("role") == r, F.col("d")).otherwise(0)).alias(f"d_{r}") for r in roles])
-    line = Window.partitionBy(*keys).orderBy("pos")
-    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
-    out = at.select(*keys, F.col("pos").alias("start"), (F.lead("pos").over(line) - 1).alias("end"), *[F.sum(f"d_{r}").over(so_far).alias(r) for r in roles])
-    return out.where("end is not null")
+    made = {f"n_{r}": ("sum", f"d_{r}", 0) for r in roles}
+    out = scans.scanned(scans.pieces(at, "pos"), keys, "pos", ["pos"], made, "next_pos_").where("next_pos_ is not null")
+    return out.select(*keys, F.col("pos").alias("start"), (F.col("next_pos_") - 1).alias("end"), *[F.col(f"n_{r}").alias(r) for r in roles])
 
 
 def joined(segments: DataFrame, keys: list[str] = KEYS, gap: int = 0) -> DataFrame:
-    """Intervals that lie at most ``gap`` apart (or overlap) as one."""
-    line = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    rows = segments.withColumn("new_", F.when(F.col("start") - reach - 1 <= gap, 0).otherwise(1))
-    rows = rows.withColumn("group_", F.sum("new_").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    """Intervals that lie at most ``gap`` apart (or overlap) as one. Of those with one start the longest counts."""
+    rows = scans.pieces(segments.groupBy(*keys, "start").agg(F.max("end").alias("end")), "start")
+    rows = scans.scanned(rows, keys, "start", ["start"], {"reach_": ("max", "end", 1)})
+    rows = rows.withColumn("new_", F.when(F.col("start") - F.col("reach_") - 1 <= gap, 0).otherwise(1))
+    rows = scans.scanned(rows, keys, "start", ["start"], {"group_": ("sum", "new_", 0)})
     return rows.groupBy(*keys, "group_").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("group_")
 
 
@@ -70,12 +71,12 @@ def overlapping(main: DataFrame, other: DataFrame, keys: list[str] = KEYS) -> Da
     """The intervals of ``main`` that any of ``other`` overlaps, whole.
 
     Against coalesced intervals, the last one that starts at or before an
-    interval's end overlaps it or none does: an as-of lookup in one window.
+    interval's end overlaps it or none does. Ends grow with starts, so that one's
+    end is the largest so far.
     """
     rows = main.select(*keys, "start", "end", F.col("end").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("upto"))
     marks = union(other, keys).select(*keys, "start", "end", F.col("start").alias("at"), F.lit(0).alias("kind"), F.col("end").cast("long").alias("upto"))
-    line = Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.union(marks).withColumn("last", F.last("upto", ignorenulls=True).over(line))
+    found = scans.scanned(scans.pieces(rows.union(marks), "at"), keys, "at", ["at", "kind"], {"last": ("max", "upto", 0)})
     return found.where("kind = 1 and last >= start").select(*keys, "start", "end")
 
 
@@ -84,8 +85,7 @@ def points_inside(points: DataFrame, other: DataFrame, keys: list[str] = KEYS) -
     extra = [c for c in points.columns if c not in keys and c != "pos"]
     rows = points.select(*keys, "pos", *extra, F.lit(1).alias("kind_"), F.lit(None).cast("long").alias("upto_"))
     marks = union(other, keys).select(*keys, F.col("start").alias("pos"), *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in extra], F.lit(0).alias("kind_"), F.col("end").cast("long").alias("upto_"))
-    line = Window.partitionBy(*keys).orderBy("pos", "kind_").rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.union(marks).withColumn("last_", F.last("upto_", ignorenulls=True).over(line))
+    found = scans.scanned(scans.pieces(rows.union(marks), "pos"), keys, "pos", ["pos", "kind_"], {"last_": ("max", "upto_", 0)})
     return found.where("kind_ = 1").select(*keys, "pos", *extra, F.coalesce(F.col("last_") >= F.col("pos"), F.lit(False)).alias("inside"))
 
 

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators import scans
+
+#: Tiles in a piece of a series, for pooling.
+TILES = 4096
+
 
 def l2(vec: Column) -> Column:
     norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x))
@@ -27,18 +34,50 @@ def gathered(long: DataFrame, keys: list[str], dim: str, value: str) -> DataFram
     return long.groupBy(*keys).agg(F.transform(entries, lambda e: e[value]).alias("vec"))
 
 
+def _pooled(tile: int, w: int):
+    """Windows pooled by two lookups each in cumulative tile vectors, less what their first and last tiles have outside."""
+
+    def run(tiles: pa.Table, windows: pa.Table) -> pa.Table:
+        start = windows.column("start").to_numpy()
+        out = windows.select(["accession", "win_idx"])
+        if not len(start) or not len(tiles):
+            return out.slice(0, 0).append_column("vec", pa.array([], pa.list_(pa.float64())))
+        at, vec = tiles.column("tile_idx").to_numpy(), tiles.column("vec").combine_chunks()
+        vec = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+        first, last = start // tile, (start + w - 1) // tile
+        low, size = first.min(), int(last.max() - first.min()) + 1
+        used = (at >= low) & (at < low + size)
+        own = np.zeros((size, vec.shape[1] + 1))  # the last column counts a place's tiles
+        np.add.at(own, at[used] - low, np.hstack([vec[used], np.ones((used.sum(), 1))]))
+        upto = np.vstack([np.zeros((1, own.shape[1])), np.cumsum(own, axis=0)]) * tile
+        first, last = first - low, last - low
+        total = upto[last + 1] - upto[first]
+        total -= own[first] * (start - (first + low) * tile)[:, None] + own[last] * ((last + low + 1) * tile - start - w)[:, None]
+        weight = total[:, -1]
+        some = weight > 0.5  # whole numbers but for rounding
+        mean = (total[some, :-1] / weight[some, None]).ravel()
+        ends = np.arange(some.sum() + 1, dtype=np.int32) * vec.shape[1]
+        return out.filter(pa.array(some)).append_column("vec", pa.ListArray.from_arrays(pa.array(ends), pa.array(mean)))
+
+    return run
+
+
 def pool_vectors(tiles: DataFrame, windows: DataFrame, tile: int, w: int, step: int | None = None) -> DataFrame:
-    """(accession, win_idx, vec): overlap-weighted mean of the tile vectors that each window (accession, win_idx, start) touches."""
+    """(accession, win_idx, vec): overlap-weighted mean of the tile vectors that each window (accession, win_idx, start) touches.
+
+    Tiles and windows meet in pieces of a series; a window that touches no tile
+    is left out, a missing tile or one without a vector counts for nothing.
+    """
     if step not in (None, tile):
         raise ValueError("tiles must follow each other without gap or overlap")
-    touched = windows.select("accession", "win_idx", "start", F.explode(F.expr(f"sequence(floor(start / {tile}), floor((start + {w - 1}) / {tile}))")).alias("tile_idx"))
-    weight = F.least(F.col("start") + w, (F.col("tile_idx") + 1) * tile) - F.greatest(F.col("start"), F.col("tile_idx") * tile)
-    rows = touched.withColumn("wt", weight.cast("double")).join(tiles.select("accession", "tile_idx", "vec"), ["accession", "tile_idx"])
-    some = F.array_sort(F.collect_list(F.struct("tile_idx", "wt", "vec")))  # the few tiles of one window
-    found = rows.groupBy("accession", "win_idx").agg(some.alias("t_"), F.sum("wt").alias("all_"))
-    none = F.transform(F.get("t_", F.lit(0))["vec"], lambda _: F.lit(0.0))
-    total = F.aggregate("t_", none, lambda s, t: F.zip_with(s, t["vec"], lambda a, v: a + t["wt"] * v))
-    return found.select("accession", "win_idx", F.transform(total, lambda v: v / F.greatest(F.col("all_"), F.lit(1e-6))).alias("vec"))
+    reach = w // tile + 1
+    size = max(TILES, reach + 1)
+    held = tiles.where("vec is not null").select("accession", F.col("tile_idx").cast("long").alias("tile_idx"), F.col("vec").cast("array<double>").alias("vec"))
+    held = scans.with_halo(held, "tile_idx", 0, reach, size)
+    begins = windows.select("accession", "win_idx", F.col("start").cast("long").alias("start"), F.floor(F.col("start") / (tile * size)).cast("long").alias("piece_"))
+    kinds = dict(windows.dtypes)
+    together = held.groupBy("accession", "piece_").cogroup(begins.groupBy("accession", "piece_"))
+    return together.applyInArrow(_pooled(tile, w), f"accession {kinds['accession']}, win_idx {kinds['win_idx']}, vec array<double>")
 
 
 def pool_windows(tiles: DataFrame, windows: DataFrame, tile: int, w: int) -> DataFrame:

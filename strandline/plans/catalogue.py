@@ -147,6 +147,13 @@ def q_window_base_counts(spark, d):
     return S.window_base_counts(sequences(spark, d), "seq", "doc_id", 200, 50).select("doc_id", "win_idx", *[F.col(b).alias(f"n_{b.lower()}") for b in S.BASES])
 
 
+@query("q_window_any_step", f"WITH b AS (SELECT item_id, translate(text, '{LETTERS}', '{ON_BASES}') AS seq FROM benchmark WHERE text IS NOT NULL), s AS (SELECT item_id, seq, unnest(range(0, CAST(greatest(0, ceil((length(seq) - 50) / 3.0)) AS BIGINT))) AS win_idx FROM b), m AS (SELECT item_id, win_idx, substring(seq, win_idx * 3 + 1 + p, 4) AS kmer FROM s, (SELECT unnest(range(0, 47)) AS p)) SELECT item_id, win_idx, kmer, count(*) AS n FROM m WHERE regexp_full_match(kmer, '[ATCG]{{4}}') GROUP BY ALL")
+def q_window_any_step(spark, d):
+    """Windows that are no multiple of the step, k-mers longer than it."""
+    items = read(spark, d, "benchmark").where("text is not null").select("item_id", F.translate("text", LETTERS, ON_BASES).alias("seq"))
+    return S.window_kmer_counts(items, "seq", "item_id", 4, 50, 3)
+
+
 @query("q_window_kmer_counts", f"WITH {_K(2)}, n AS (SELECT doc_id, CAST(greatest(0, ceil((len - 400) / 200)) AS BIGINT) AS n FROM chars), x AS (SELECT doc_id, kmer, n.n, pos, pos // 200 - o AS win_idx FROM ok JOIN n USING (doc_id), (VALUES (0), (1), (2)) v(o)) SELECT doc_id, win_idx, kmer, count(*) AS n FROM x WHERE win_idx >= 0 AND win_idx < n AND pos + 2 <= win_idx * 200 + 400 GROUP BY ALL")
 def q_window_kmer_counts(spark, d):
     return S.window_kmer_counts(sequences(spark, d), "seq", "doc_id", 2, 400, 200)
@@ -219,6 +226,16 @@ def q_smooth_median(spark, d):
     return tracks.smooth_median(track(spark, d), WIDTH).select("accession", "idx", r6(F.col("smoothed"), "smoothed"))
 
 
+@query("q_smooth_wide", f"WITH {_TRACK}, f AS (SELECT accession, idx, score, n, list(score) OVER (PARTITION BY accession ORDER BY idx ROWS BETWEEN 200 PRECEDING AND 199 FOLLOWING) AS l FROM track) SELECT accession, idx, round(CASE WHEN idx < 200 OR idx >= n - 200 OR n <= 400 THEN score ELSE list_sort(l)[201] END, 6) AS smoothed FROM f")
+def q_smooth_wide(spark, d):
+    return tracks.smooth_median(track(spark, d), 400).select("accession", "idx", r6(F.col("smoothed"), "smoothed"))
+
+
+@query("q_detrend_wide", f"WITH {_TRACK}, f AS (SELECT a.accession, a.idx, a.score AS own, b.score FROM track a, (SELECT unnest(range(-200, 200)) AS o) JOIN track b ON b.accession = a.accession AND b.idx = greatest(0, least(a.n - 1, a.idx + o))) SELECT accession, idx, round(own - list_sort(list(score))[201], 6) AS detrended FROM f GROUP BY accession, idx, own")
+def q_detrend_wide(spark, d):
+    return tracks.detrend(track(spark, d), 400).select("accession", "idx", r6(F.col("detrended"), "detrended"))
+
+
 @query("q_alien_runs", f"WITH {_RUNS}, {_MERGED} SELECT accession, start, \"end\" FROM merged WHERE \"end\" - start + 1 >= {LEAST}")
 def q_alien_runs(spark, d):
     found = tracks.runs(tracks.alien(track(spark, d), WIDTH)).select("accession", F.col("first").alias("start"), F.col("last").alias("end"))

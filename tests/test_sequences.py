@@ -54,7 +54,7 @@ def test_grids(spark, length):
     assert starts(S.n_tiles(F.col("n"), 9), 9) == [s for s in range(0, length, 9) if s + 9 <= length]
 
 
-@pytest.mark.parametrize("w,dw", [(24, 8), (40, 4), (30, 30)])
+@pytest.mark.parametrize("w,dw", [(24, 8), (40, 4), (30, 30), (25, 7), (3, 2), (9, 20), (31, 1)])
 def test_window_counts_over_chunk_ends(spark, small_chunks, w, dw):
     texts = {i: random_bases(10 + i, n) for i, n in enumerate((500, 90, w, w + 1, 5, 61))}
     df = spark.createDataFrame([*texts.items()], "id int, seq string")
