@@ -193,12 +193,13 @@ def q_l2(spark, d):
     return tiles(spark, d).select("accession", "tile_idx", F.posexplode(vectors.l2(F.col("vec"))).alias("dim", "v")).select("accession", "tile_idx", F.col("dim").cast("long").alias("dim"), r6(F.col("v"), "value"))
 
 
-@query("q_pool_windows", f"WITH {_LONG}, n AS (SELECT accession, max(tile_idx) + 1 AS n FROM tiles GROUP BY 1), w AS (SELECT accession, unnest(range(0, CAST(greatest(0, ceil((n * {TILE} - 35) / 5)) AS BIGINT))) AS win_idx FROM n), j AS (SELECT w.accession, win_idx, dim, v, least(win_idx * 5 + 35, (tile_idx + 1) * {TILE}) - greatest(win_idx * 5, tile_idx * {TILE}) AS wt FROM w JOIN long USING (accession)) SELECT accession, win_idx, dim, round(sum(wt * v) / sum(wt), 6) AS value FROM j WHERE wt > 0 GROUP BY ALL")
+@query("q_pool_windows", f"WITH {_LONG}, n AS (SELECT accession, max(tile_idx) + 1 AS n FROM tiles GROUP BY 1), w AS (SELECT accession, unnest(range(0, CAST(greatest(0, ceil((n * {TILE} - 35) / 5)) AS BIGINT))) AS win_idx FROM n), j AS (SELECT w.accession, win_idx, dim, v, least(win_idx * 5 + 35, (tile_idx + 1) * {TILE}) - greatest(win_idx * 5, tile_idx * {TILE}) AS wt FROM w JOIN long USING (accession)) SELECT accession, win_idx, dim, round(sum(wt * v) / sum(wt), 6) + 0.0 AS value FROM j WHERE wt > 0 GROUP BY ALL")
 def q_pool_windows(spark, d):
     t = tiles(spark, d)
     n = t.groupBy("accession").agg(((F.max("tile_idx") + 1) * TILE).alias("len"))
     windows = S.starts(n, S.n_windows(F.col("len"), 35, 5), 5).select("accession", "win_idx", "start")
-    return vectors.pool_windows(t, windows, TILE, 35).select("accession", "win_idx", F.col("dim").cast("long").alias("dim"), r6(F.col("value"), "value"))
+    # + 0.0: no negative zero
+    return vectors.pool_windows(t, windows, TILE, 35).select("accession", "win_idx", F.col("dim").cast("long").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query("q_robust_stat", f"WITH {_ROBUST} SELECT accession, idx, round(score, 5) AS score FROM rd")
