@@ -6,9 +6,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators import robust, scans
 from strandline.sources.staging import cut
 
 
@@ -80,8 +81,8 @@ def _chi2_cut(d: int, p: float) -> float:
     return high
 
 
-def robust_covariance(x: np.ndarray, support: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Location and precision: minimum covariance determinant by concentration steps, then reweighted."""
+def robust_covariance(x: np.ndarray, support: float, seed: int, starts: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Location and precision: minimum covariance determinant by concentration steps, then reweighted; with ``starts``, the best of so many short runs as it is."""
     n, d = x.shape
     h = min(n, max(int(math.ceil(support * n)), d + 1))
     rng = np.random.default_rng(seed)
@@ -100,7 +101,10 @@ def robust_covariance(x: np.ndarray, support: float, seed: int) -> tuple[np.ndar
             last = now
         return last, chosen, mean, cov, far
 
-    first = [steps(rng.choice(n, min(n, d + 1), replace=False), 3) for _ in range(30)]
+    first = [steps(rng.choice(n, min(n, d + 1), replace=False), 3) for _ in range(starts or 30)]
+    if starts:
+        mean, cov = min(first, key=lambda f: f[0])[2:4]
+        return mean, np.linalg.pinv(cov)
     best = min((steps(f[1], 50) for f in sorted(first, key=lambda f: f[0])[:5]), key=lambda f: f[0])
     _, _, mean, cov, far = best
     cov = cov * np.median(far) / _chi2_cut(d, 0.5)
@@ -111,12 +115,12 @@ def robust_covariance(x: np.ndarray, support: float, seed: int) -> tuple[np.ndar
     return mean, np.linalg.pinv(cov)
 
 
-#: Rows of a series that a fit takes at most, evenly spaced: a fit runs in one task.
+#: Rows of a series that are fitted in one task; longer ones are fitted over all tasks.
 FIT_ROWS = 50_000
 
 
 def _fit(rows: DataFrame, contamination: float, support: float, seed: int, stride: int) -> DataFrame:
-    """(accession, location, precision, offset) fitted on every ``stride``-th row of a series, or fewer if those are more than ``FIT_ROWS``."""
+    """(accession, location, precision, offset) fitted on every ``stride``-th row of a series."""
 
     def fit(f: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(f.sort_values("idx").x.to_numpy()).astype(float)
@@ -126,10 +130,17 @@ def _fit(rows: DataFrame, contamination: float, support: float, seed: int, strid
         return pd.DataFrame({"accession": f.accession.iloc[:1], "location": [where.tolist()], "precision": [precision.tolist()], "offset": [float(np.percentile(-d2, 100 * contamination))]})
 
     kind = rows.schema["accession"].dataType.simpleString()
-    nth = F.row_number().over(Window.partitionBy("accession").orderBy("idx")) - 1
-    sizes = rows.groupBy("accession").agg(F.greatest(F.lit(stride), F.ceil(F.count("*") / FIT_ROWS)).alias("stride_"))
-    some = rows.withColumn("nth_", nth).join(sizes, "accession").where(F.col("nth_") % F.col("stride_") == 0).select("accession", "idx", "x")
-    return some.groupBy("accession").applyInPandas(fit, f"accession {kind}, location array<double>, precision array<array<double>>, offset double")
+    some = rows.select("accession", "idx", "x")
+    if stride > 1:
+        nth = scans.scanned(scans.pieces(some.withColumn("one_", F.lit(1)), "idx"), ["accession"], "idx", ["idx"], {"nth_": ("sum", "one_", 0)})
+        some = nth.where((F.col("nth_") - 1) % stride == 0).select("accession", "idx", "x")
+    sizes = cut(some.groupBy("accession").agg(F.count("*").alias("rows_")))
+    long = sizes.where(F.col("rows_") > FIT_ROWS)
+    short = some.join(sizes.where(F.col("rows_") <= FIT_ROWS), "accession").select("accession", "idx", "x")
+    found = short.groupBy("accession").applyInPandas(fit, f"accession {kind}, location array<double>, precision array<array<double>>, offset double")
+    if not long.limit(1).count():
+        return found
+    return found.unionByName(robust.long_fit(some.join(long.select("accession"), "accession"), long, contamination, support, seed, robust_covariance, _chi2_cut))
 
 
 def _scored(rows: DataFrame, model: DataFrame, name: str) -> DataFrame:
