@@ -10,14 +10,14 @@ one. The join runs on distinct shingle sets (copies are one class):
    a third of all documents is one row for each task. Documents out of reach of
    all others are done.
 2. *Pivots.* Two neighbours share a shingle among each one's rarest (prefix
-   principle). Each such shingle names as pivot the least document that has it.
-   The distance of a document to each pivot that its rarest shingles name is
-   counted exactly. The nearest one's region is its home, and it is repeated in
-   those of its other pivots as a boundary document: so any two neighbours meet
-   in a region. (Of pivots that a document shares no rare shingle with it lies
-   too far to meet anyone there; in this space nearly all pivots are at distance
-   1, so that homes alone, with windows of twice the threshold, would hold all
-   documents everywhere.)
+   principle). Each such shingle names as pivot the least document that has it,
+   and a document stands in the regions of all pivots that its rarest shingles
+   name, so any two neighbours meet in a region. The distance to each of these
+   pivots is counted exactly. No region is a document's one home: nearly all
+   pivots are at distance 1 in this space, so that nearest pivots alone, with
+   windows of twice the threshold, would hold all documents everywhere; and as
+   pivots are named by rare shingles only, a neighbour need not stand in the
+   nearest one's region, so that further ones cannot be left out.
 3. *Regions.* What lies within the threshold of a pivot is linked to it. Members
    outside the pivot's component become the pivots of the next level. They stand
    in cells by their distance, and a member goes to the cells that its
