@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from strandline.sources.staging import cut
+
 #: Positions in a piece.
 PIECE = 1 << 16
 
@@ -39,6 +41,12 @@ def pieces(rows: DataFrame, at: str, span: int | None = None) -> DataFrame:
     return rows.withColumn("piece_", piece_of(at, span))
 
 
+def ranges(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` written in ranges of ``order``, as many as the session's shuffle partitions, numbered as ``piece_``: for scans without keys."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return cut(rows.repartitionByRange(n, order).withColumn("piece_", F.spark_partition_id()))
+
+
 def scanned(rows: DataFrame, keys: list[str], at: str, order: list, made: dict[str, tuple], follows: str | None = None) -> DataFrame:
     """``rows``, with :func:`pieces`, and running values along ``order`` within ``keys``; ``order`` must begin with ``at``, and part all rows.
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
+from strandline.functions import sql
 from strandline.operators import detect, evaluate, intervals, predict, tracks, vectors
 from strandline.plans import configs
 from strandline.sources import genomes
@@ -397,6 +398,24 @@ def q_fisher(spark, d):
     return c.select("source", r6(evaluate.fisher_greater("a", "b", "c", "d"), "p"))
 
 
+@query("q_sql_fisher", f"WITH {_TAB}, i AS (SELECT *, unnest(range(a, least(a + b, a + c) + 1)) AS i FROM c), l AS (SELECT source, a, b, c, d, sum(exp(lgamma(a+b+1) + lgamma(c+d+1) + lgamma(a+c+1) + lgamma(b+d+1) - lgamma(a+b+c+d+1) - lgamma(i+1) - lgamma(a+b-i+1) - lgamma(a+c-i+1) - lgamma(d-a+i+1))) AS p FROM i GROUP BY ALL) SELECT source, round(least(1, p), 6) AS p FROM l")
+def q_sql_fisher(spark, d):
+    """As q_fisher, by the functions that ``spark.sql`` knows after :func:`strandline.functions.sql.register`."""
+    sql.register(spark)
+    for name in ("documents", "labels"):
+        read(spark, d, name).createOrReplaceTempView(f"strandline_{name}")
+    cell = lambda t, q: f"count_if(toxic = {t} AND quality = {q})"
+    return spark.sql(f"SELECT source, round(fisher_greater(a, b, c, d), 6) AS p FROM (SELECT source, {cell(1, 1)} AS a, {cell(0, 1)} AS b, {cell(1, 0)} AS c, {cell(0, 0)} AS d FROM strandline_documents JOIN strandline_labels USING (doc_id) GROUP BY source)")
+
+
+@query("q_sql_windows", f"WITH {_SEQ}, n AS (SELECT doc_id, unnest(range(0, CAST(greatest(0, ceil((length(seq) - 400) / 200)) AS BIGINT))) AS win_idx FROM seqs) SELECT doc_id, win_idx, win_idx * 200 AS start FROM n")
+def q_sql_windows(spark, d):
+    """The window grid by a table function in SQL."""
+    sql.register(spark)
+    read(spark, d, "documents").createOrReplaceTempView("strandline_documents")
+    return spark.sql("SELECT doc_id, win_idx, start FROM (SELECT doc_id, length(text) AS n FROM strandline_documents) AS l, LATERAL series_windows(n, 400, 200)")
+
+
 _CV = "s AS (SELECT user_id AS unit, user_id % 5 AS fold, event_type AS config, avg(value) AS v FROM events GROUP BY ALL)"
 
 
