@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import scans
 from strandline.operators.vectors import l2
 
 #: File name without folders and without what follows its last dot.
@@ -38,6 +39,31 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path).select("accession", fasta_sequence(F.col("content")).alias("seq"))
 
 
+def read_fasta_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(accession, offset, seq): the lines of FASTA files with their places in the files' sequences (see :func:`read_fasta`).
+
+    Files are read in byte ranges. The bases of a range are counted where it is
+    read; what the ranges before it hold is added from a table of a row for each range.
+    """
+    found = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_path"), STEM, 1).alias("accession"), F.col("_metadata.file_block_start").alias("piece_"), F.monotonically_increasing_id().alias("nth_"), "value")
+    seq = F.upper(F.regexp_replace("value", r"^[ \t\r\f]+|[ \t\r\f]+$", ""))
+    found = found.where(~F.col("value").startswith(">")).select("accession", "piece_", "nth_", seq.alias("seq")).where("seq <> ''")
+    placed = scans.scanned(found.withColumn("n_", F.length("seq").cast("long")), ["accession"], "piece_", ["nth_"], {"before_": ("sum", "n_", 1)})
+    return placed.select("accession", F.coalesce("before_", F.lit(0).cast("long")).alias("offset"), "seq")
+
+
+def read_fasta_chunks(spark: SparkSession, path: str, size: int, overlap: int = 0) -> DataFrame:
+    """(accession, offset, seq) in chunks of ``size`` bases and the next ``overlap`` ones, as :func:`strandline.functions.sequence.chunked` makes them of whole sequences."""
+    lines_ = read_fasta_lines(spark, path)
+    first, last = F.greatest(F.lit(0), F.floor((F.col("offset") - overlap) / size)), F.floor((F.col("offset") + F.length("seq") - 1) / size)
+    rows = lines_.select("*", F.explode(F.sequence(first, last)).alias("chunk"))
+    low = F.greatest(F.lit(0), F.col("chunk") * size - F.col("offset"))
+    high = F.least(F.length("seq"), (F.col("chunk") + 1) * size + overlap - F.col("offset"))
+    rows = rows.select("accession", "chunk", "offset", F.substr("seq", (low + 1).cast("int"), (high - low).cast("int")).alias("part"))
+    parts = F.array_sort(F.collect_list(F.struct("offset", "part")))  # a chunk's bases
+    return rows.groupBy("accession", "chunk").agg(F.array_join(F.transform(parts, lambda p: p["part"]), "").alias("seq")).select("accession", (F.col("chunk") * size).cast("long").alias("offset"), "seq")
+
+
 def feature_table(rows: DataFrame) -> DataFrame:
     """(accession, start, end, product) of the coding sequences of feature tables (accession, line_no, line).
 

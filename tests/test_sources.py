@@ -155,3 +155,35 @@ def test_chimera_matches_plain_python(spark):
         synthetic.assemble_tiles(tiles.withColumn("kind", F.lit("pcs")), donor, offsets, 10, 2, lengths)
     grid = synthetic.conditions(spark.createDataFrame([("a",), ("b",)], "accession string"), spark.createDataFrame([("b",), ("c",)], "accession string"), [5, 10], [0, 1])
     assert grid.count() == 3 * 4
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_fasta_in_byte_ranges(spark, tmp_path, end):
+    """Ranges of a few hundred bytes: their borders fall into headers, lines and line ends."""
+    import random
+
+    rng = random.Random(len(end))
+    for name, n in (("NC_1.2", 9000), ("NC_7", 40), ("NC_8", 0)):
+        text, left = [">one record " + "x" * 300], n
+        while left > 0:
+            k = min(left, rng.choice((1, 60, 61, 200)))
+            text.append("".join(rng.choice("acgtN") for _ in range(k)) + rng.choice(("", " ", "\t")))
+            left -= k
+            if rng.random() < 0.05:
+                text += [">another", ""]
+        (tmp_path / f"{name}.fna").write_bytes(end.join(text).encode())
+    whole = {r.accession: r.seq for r in genomes.read_fasta(spark, str(tmp_path)).collect()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "257")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        rows = sorted(genomes.read_fasta_lines(spark, str(tmp_path)).collect())
+        chunks = sorted(genomes.read_fasta_chunks(spark, str(tmp_path), 100, 7).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    for a, seq in whole.items():
+        own = [r for r in rows if r.accession == a]
+        assert "".join(r.seq for r in own) == seq and all(seq.startswith(r.seq, r.offset) for r in own)
+        assert [(r.offset, r.seq) for r in chunks if r.accession == a] == [(i, seq[i : i + 107]) for i in range(0, len(seq), 100)]
