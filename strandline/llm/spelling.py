@@ -126,9 +126,10 @@ def _whole_batches(run, most: int = 1 << 16):
 
 
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges (node, label, child, end, end_n) of the tries of ``words`` (word_id, word, n), and each word's first states.
+    """Edges (node, label, first, child, end, end_n, nexts) of the tries of ``words`` (word_id, word, n), and each word's first states.
 
-    ``end``: the word that ends in ``child``, and its ``n``.
+    ``first``: the label's first code point; ``end``: the word that ends in
+    ``child``, and its ``n``; ``nexts``: the first code points of the edges out of ``child``.
     """
     paths = cut(words.select("word_id", "word").mapInArrow(_whole_batches(_paths), "word_id long, way int, at int, node long, after int, stop boolean"))
     after = F.when(F.col("after") >= 0, F.col("after"))
@@ -141,6 +142,9 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = marks.where(F.size("marks") > 1).select("word", "way", "n", F.inline(follows))
     end = F.when(F.col("ends"), F.when(F.col("way") == 0, F.col("word")).otherwise(F.reverse("word")))
     edges = edges.groupBy("node", "label", "child").agg(F.max(end).alias("end"), F.max(F.when(F.col("ends"), F.col("n"))).alias("end_n"))
+    edges = cut(edges.withColumn("first", F.substring("label", 1, 1)))
+    nexts = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set("first"), "").alias("nexts"))  # as many as letters
+    edges = edges.join(nexts, "child", "left").withColumn("nexts", F.coalesce("nexts", F.lit("")))
     begin = F.when(F.col("way") == 0, F.floor(n / 2)).otherwise(n - F.floor(n / 2)).cast("int")
     states = marks.select("word_id", F.substr("word", begin + 1, n).alias("rest"), F.filter("marks", lambda m: m["at"] == begin)[0]["node"].alias("node"), F.lit(0).alias("edits"))
     return cut(edges), states
@@ -166,30 +170,42 @@ def moves(rest: str, label: str):
 _LEVEL = "word_id long, rest string, node long, edits int, near string, near_n long"
 
 
-def _pass(batches):
+def _may_go_on(rest, nexts):
+    """Whether an edge out of a node with ``nexts`` begins as ``rest`` does."""
+    return F.instr(nexts, F.substring(rest, 1, 1)) > 0
+
+
+def _part(batches):
+    """States without an edit at all edges out of their nodes: the word's own goes on, at others it may take its edit."""
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64())
     for batch in batches:
         out = []
-        for word_id, rest, edits, label, child, end, end_n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if edits:
-                after = [(rest[len(label) :], 1)] if rest.startswith(label) else []
-            else:
-                after = moves(rest, label)
-            for left, made in after:
+        for word_id, rest, label, child, end, end_n, nexts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for left, made in moves(rest, label):
                 if end is not None and (made and not left or not made and len(left) == 1):  # the last one left is deleted
                     out.append((word_id, None, None, None, end, end_n))
-                if left or not made:
+                if not made or left and left[0] in nexts:
                     out.append((word_id, left, child, made, None, None))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * len(kinds), kinds)], [c.split()[0] for c in _LEVEL.split(", ")])
 
 
+def _match(states: DataFrame, edges: DataFrame) -> DataFrame:
+    """States with an edit at the one edge that begins as they do: on, or at their word's end to a neighbour."""
+    level = states.withColumn("first", F.substring("rest", 1, 1)).join(edges, ["node", "first"]).where(F.startswith("rest", "label"))
+    left = F.substr("rest", F.length("label") + 1)
+    level = level.select("word_id", left.alias("rest"), F.col("child").alias("node"), "edits", "end", "end_n", "nexts")
+    over = F.col("rest") == ""
+    level = level.where(F.when(over, F.col("end").isNotNull()).otherwise(_may_go_on("rest", "nexts")))
+    return level.select("word_id", "rest", "node", "edits", F.when(over, F.col("end")).alias("near"), F.when(over, F.col("end_n")).alias("near_n"))
+
+
 def neighbours(words: DataFrame) -> DataFrame:
     """word_id, near, near_n: every word of ``words`` (word_id, word, n) that is one edit from another, for both."""
     edges, states = trie(words)
     found, (states, size) = [], counted(states)
     while size:
-        level = states.join(edges, "node").select("word_id", "rest", "edits", "label", "child", "end", "end_n")
-        level = cut(level.mapInArrow(_pass, _LEVEL))
+        own = states.where("edits = 0").join(edges, "node").select("word_id", "rest", "label", "child", "end", "end_n", "nexts")
+        level = cut(own.mapInArrow(_part, _LEVEL).union(_match(states.where("edits = 1"), edges)))
         found.append(level.where("near is not null").select("word_id", "near", "near_n"))
         states = level.where("near is null").select("word_id", "rest", "node", "edits")
         size = states.count()
