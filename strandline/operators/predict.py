@@ -15,14 +15,15 @@ from strandline.operators import detect, intervals, tracks, vectors
 from strandline.sources.staging import cut
 
 
-def composition_matrix(features: DataFrame, key: str = "accession", d: int = 2, entropy: bool = True, dinuc: bool = True) -> DataFrame:
+def composition_matrix(features: DataFrame, key: str = "accession", d: int | dict[str, int] = 2, entropy: bool = True, dinuc: bool = True) -> DataFrame:
     """(key, win_idx, vec): share of G and C, skew, entropies if wanted, and ``d`` principal components of the pair biases (if wanted), amino acids and 4-mers.
 
-    ``features`` are those of :func:`strandline.functions.sequence.window_features`.
+    ``d`` may give each block (dinuc, aa, tetra) a number of its own. ``features`` are those of :func:`strandline.functions.sequence.window_features`.
     """
     scalars = ["gc", "skew", *(["h_dinuc", "h_aa", "h_tetra"] if entropy else [])]
     blocks = [*(["dinuc"] if dinuc else []), "aa", "tetra"]
-    rows = detect.pca_all(cut(features.select(key, "win_idx", *scalars, *blocks)), dict.fromkeys(blocks, d), key)
+    dims = {b: d[b] if isinstance(d, dict) else d for b in blocks}
+    rows = detect.pca_all(cut(features.select(key, "win_idx", *scalars, *blocks)), dims, key)
     return rows.select(key, "win_idx", F.concat(F.array(*scalars), *blocks).alias("vec"))
 
 
