@@ -175,6 +175,15 @@ def _may_go_on(rest, nexts):
     return F.instr(nexts, F.substring(rest, 1, 1)) > 0
 
 
+def _fits(edge_first, rest, label, nexts):
+    """Whether a state without an edit may pass an edge: one that begins as it does, or by an edit at once (see :func:`moves`)."""
+    n, tail, after = F.length(label), F.substr(label, F.lit(2)), F.substr(rest, F.lit(2))
+    left = lambda k: F.substr(rest, n + k)
+    goes_on = lambda x: (x == "") | _may_go_on(x, nexts)
+    inserted, replaced = F.startswith(rest, tail) & goes_on(left(0)), F.startswith(after, tail) & goes_on(left(1))
+    return (edge_first == F.substring(rest, 1, 1)) | inserted | replaced | (F.startswith(after, label) & goes_on(left(2)))
+
+
 def _part(batches):
     """States without an edit at all edges out of their nodes: the word's own goes on, at others it may take its edit."""
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64())
@@ -204,7 +213,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     edges, states = trie(words)
     found, (states, size) = [], counted(states)
     while size:
-        own = states.where("edits = 0").join(edges, "node").select("word_id", "rest", "label", "child", "end", "end_n", "nexts")
+        own = states.where("edits = 0").join(edges, "node").where(_fits(F.col("first"), F.col("rest"), F.col("label"), F.col("nexts"))).select("word_id", "rest", "label", "child", "end", "end_n", "nexts")
         level = cut(own.mapInArrow(_part, _LEVEL).union(_match(states.where("edits = 1"), edges)))
         found.append(level.where("near is not null").select("word_id", "near", "near_n"))
         states = level.where("near is null").select("word_id", "rest", "node", "edits")
