@@ -67,6 +67,26 @@ def confusion(intervals: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return seg.groupBy(*keys).agg(total(p & t).alias("TP"), total(~p & t).alias("FN"), total(p & f).alias("FP"), total(~p & f).alias("TN"))
 
 
+def by_method(intervals: DataFrame, methods: list[int], totals: dict, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, method, ``totals``): bases of each method, of roles pred_<method>, and pos and neg that all methods share; one sweep for all.
+
+    ``totals``: for each column what of a segment counts, of whether it is called, positive and negative. A method has a
+    row where any of these intervals lies.
+    """
+    seg = sweep(intervals, [*(f"pred_{m}" for m in methods), "pos", "neg"], keys)
+    n, t, f = F.col("end") - F.col("start") + 1, F.col("pos") > 0, F.col("neg") > 0
+    made = []
+    for m in methods:  # the methods, not rows
+        p = F.col(f"pred_{m}") > 0
+        made += [F.sum(F.when(c(p, t, f), n).otherwise(0)).cast("long").alias(f"{name}_{m}") for name, c in totals.items()] + [F.max(p | t | f).alias(f"any_{m}")]
+    rows = F.array(*[F.struct(F.lit(m).cast("long").alias("method"), *[F.col(f"{name}_{m}").alias(name) for name in totals], F.col(f"any_{m}").alias("any_")) for m in methods])
+    return seg.groupBy(*keys).agg(*made).select(*keys, F.inline(rows)).where("any_").drop("any_")
+
+
+#: TP, FN, FP, TN for :func:`by_method`.
+CONFUSION = {"TP": lambda p, t, f: p & t, "FN": lambda p, t, f: ~p & t, "FP": lambda p, t, f: p & f, "TN": lambda p, t, f: ~p & f}
+
+
 def overlapping(main: DataFrame, other: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """The intervals of ``main`` that any of ``other`` overlaps, whole.
 
@@ -98,11 +118,12 @@ def evaluated(pred: DataFrame, pos: DataFrame, neg: DataFrame, lengths: DataFram
     return lengths.select(*keys).join(found, keys, "left").select(*keys, *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names])
 
 
-def best_overlap(truth: DataFrame, preds: DataFrame, keys: list[str] = KEYS, bin_: int = 64) -> DataFrame:
+def best_overlap(truth: DataFrame, preds: DataFrame, keys: list[str] = KEYS, bin_: int = 64, methods: list[int] | None = None) -> DataFrame:
     """Each interval of ``truth`` with the prediction of the largest overlap (ties: the first), and its edge errors.
 
     Both sides are dealt into bins and joined on those: an equi-join instead of a range join. Bins are ``bin_`` positions
-    wide, doubled until a series' intervals are two bins long at most on average.
+    wide, doubled until a series' intervals are two bins long at most on average. With ``methods``, predictions have a
+    column ``method``, and each interval comes once for each method, after ``keys``.
     """
     spans = truth.select(*keys, "start", "end").unionByName(preds.select(*keys, "start", "end"))
     wide = spans.groupBy(*keys).agg((F.lit(bin_) * F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.avg(F.col("end") - F.col("start") + 1), F.lit(1.0)) / bin_))))).cast("long").alias("bin_"))
@@ -110,11 +131,15 @@ def best_overlap(truth: DataFrame, preds: DataFrame, keys: list[str] = KEYS, bin
     bins = lambda: F.explode(F.expr("sequence(start div bin_, end div bin_)")).alias("bin")
     t = truth.select(*keys, "start", "end").distinct()
     left = t.join(wide, keys).select(*keys, F.col("start").alias("ts"), F.col("end").alias("te"), bins())
-    right = preds.select(*keys, F.col("start").alias("ps"), F.col("end").alias("pe"), bins())
+    right = preds.select(*keys, *(["method"] if methods else []), F.col("start").alias("ps"), F.col("end").alias("pe"), bins())
     ov = F.least("te", "pe") - F.greatest("ts", "ps") + 1
     pairs = left.join(right, [*keys, "bin"]).withColumn("ov", ov).where("ov > 0")
-    best = pairs.groupBy(*keys, "ts", "te").agg(F.min(F.struct((-F.col("ov")).alias("o"), "ps", "pe")).alias("m"))
+    found = F.struct((-F.col("ov")).alias("o"), "ps", "pe")
+    best = pairs.groupBy(*keys, "ts", "te").agg(*[F.min(F.when(F.col("method") == m, found)).alias(f"m_{m}") for m in methods] if methods else [F.min(found).alias("m")])
     out = t.select(*keys, F.col("start").alias("ts"), F.col("end").alias("te")).join(best, [*keys, "ts", "te"], "left")
+    if methods:
+        each = F.array(*[F.struct(F.lit(m).cast("long").alias("method"), F.col(f"m_{m}").alias("m")) for m in methods])
+        out, keys = out.select(*keys, "ts", "te", F.inline(each)), [*keys, "method"]
     ps, pe = F.col("m.ps"), F.col("m.pe")
     union_ = F.greatest("te", pe) - F.least("ts", ps) + 1
     return out.select(

@@ -2,8 +2,8 @@
 
 A piece is a range of ``PIECE`` positions of a series. A scan (running sums,
 counts, reach) is made in each piece alone; summaries of the pieces, one row
-each, are scanned along the series, and what lies before a piece is added to its
-rows. A moving frame gets its piece together with the halo of rows that its
+each, are scanned along the series, and what lies before a piece goes into it as
+a row ahead of its others. A moving frame gets its piece together with the halo of rows that its
 frames reach into.
 """
 
@@ -21,7 +21,6 @@ from strandline.sources.staging import cut
 PIECE = 1 << 16
 
 _SUMMARY = {"sum": F.sum, "max": F.max, "min": F.min}
-_BOTH = {"sum": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b), "max": lambda a, b: F.greatest(a, b), "min": lambda a, b: F.least(a, b)}
 
 
 def piece_of(at: str | Column, span: int | None = None) -> Column:
@@ -55,15 +54,22 @@ def scanned(rows: DataFrame, keys: list[str], at: str, order: list, made: dict[s
     ``follows``: name for the next position of the same ``keys``, null at the
     end. Nulls count for nothing; keys may be null.
     """
-    inside = Window.partitionBy(*keys, "piece_").orderBy(*order)
+    inside = Window.partitionBy(*keys, "piece_").orderBy("head_", *order)
     line = Window.partitionBy(*keys).orderBy("piece_")  # over a row for each piece
-    totals = rows.groupBy(*keys, "piece_").agg(*[_SUMMARY[f](c).alias(f"t_{n}") for n, (f, c, _) in made.items()], F.min(at).alias("first_"))
-    ahead = [_SUMMARY[f](f"t_{n}").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias(f"b_{n}") for n, (f, _, _) in made.items()]
-    ahead = totals.select(*[F.col(k).alias(f"same_{k}") for k in [*keys, "piece_"]], *ahead, F.lead("first_").over(line).alias("next_first_"))
-    r = rows.withColumns({f"i_{n}": _SUMMARY[f](c).over(inside.rowsBetween(Window.unboundedPreceding, -1 if left_out else 0)) for n, (f, c, left_out) in made.items()})
-    out = r.withColumn("next_", F.lead(at).over(inside)).join(ahead, _same([*keys, "piece_"]), "left")
-    new = [_BOTH[f](F.col(f"i_{n}"), F.col(f"b_{n}")).alias(n) for n, (f, _, _) in made.items()]
-    return out.select(*rows.columns, *new, *([F.coalesce("next_", "next_first_").alias(follows)] if follows else []))
+    rows = rows.repartition(*keys, "piece_")  # the one shuffle of all rows: what follows needs them so
+    totals = rows.groupBy(*keys, "piece_").agg(*[_SUMMARY[f](c).alias(f"v_{n}") for n, (f, c, _) in made.items()], F.min(at).alias("first_"))
+    kind = {n: totals.schema[f"v_{n}"].dataType for n in made}
+    # a head's value stands in the column that is summed, if that one is of the sum's kind and of no other use
+    used = [c for _, c, _ in made.values()]
+    held = {n: c if used.count(c) == 1 and rows.schema[c].dataType == kind[n] and c not in [*keys, at, *order] else f"v_{n}" for n, (_, c, _) in made.items()}
+    ahead = [_SUMMARY[f](f"v_{n}").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias(f"v_{n}") for n, (f, _, _) in made.items()]
+    heads = totals.select(*keys, "piece_", *ahead, F.lead("first_").over(line).alias("after_"), F.lag("first_").over(line).alias("before_"), F.lit(0).alias("head_"))
+    heads = heads.where("after_ is not null or before_ is not null").drop("before_").repartition(*keys, "piece_")  # none of a series in one piece
+    own = rows.withColumns({**{v: F.col(made[n][1]).cast(kind[n]) for n, v in held.items() if v not in rows.columns}, "after_": F.lit(None).cast(rows.schema[at].dataType), "head_": F.lit(1)})
+    r = own.unionByName(heads.withColumnsRenamed({f"v_{n}": v for n, v in held.items()}), allowMissingColumns=True)
+    new = [_SUMMARY[f](held[n]).over(inside.rowsBetween(Window.unboundedPreceding, -1 if left_out else 0)).cast(kind[n]).alias(n) for n, (f, _, left_out) in made.items()]
+    after = [F.coalesce(F.lead(at).over(inside), F.max("after_").over(inside.rowsBetween(Window.unboundedPreceding, 0))).alias(follows)] if follows else []
+    return r.select(*rows.columns, *new, *after, "head_").where("head_ = 1").drop("head_")
 
 
 def with_halo(rows: DataFrame, at: str, before: int, after: int, span: int | None = None) -> DataFrame:

@@ -33,16 +33,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def method_intervals(spark, d) -> DataFrame:
-    """(accession, method, role, start, end): each method's predictions, and all others for every method."""
-    rows = read(spark, d, "lineitem").select("l_partkey", "l_returnflag", (F.col("l_linenumber") % METHODS).cast("long").alias("of"), "l_shipdate", "l_quantity")
+def shared_intervals(spark, d) -> DataFrame:
+    """(accession, role, start, end): each method's predictions as pred_<method>, and all others, which every method shares."""
     start = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
-    every = F.explode(F.when(F.col("l_returnflag") == "R", F.array("of")).otherwise(F.array(*[F.lit(i).cast("long") for i in range(METHODS)]))).alias("method")
-    name = F.when(F.col("l_returnflag") == "R", "pred").when(F.col("l_returnflag") == "N", "pos").otherwise("neg")
-    return rows.select(F.col("l_partkey").alias("accession"), every, name.alias("role"), start.alias("start"), (start + F.col("l_quantity").cast("long") - 1).alias("end"))
+    role = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("pred_"), (F.col("l_linenumber") % METHODS).cast("string"))).when(F.col("l_returnflag") == "N", "pos").otherwise("neg")
+    return read(spark, d, "lineitem").select(F.col("l_partkey").alias("accession"), role.alias("role"), start.alias("start"), (start + F.col("l_quantity").cast("long") - 1).alias("end"))
 
 
-BY = ["accession", "method"]
+BY, ALL_METHODS = ["accession", "method"], list(range(METHODS))
 
 _MI = f"""mi AS (SELECT l_partkey AS accession, unnest(CASE WHEN l_returnflag = 'R' THEN [CAST(l_linenumber % {METHODS} AS BIGINT)] ELSE CAST([0, 1, 2] AS BIGINT[]) END) AS method,
   CASE l_returnflag WHEN 'R' THEN 'pred' WHEN 'N' THEN 'pos' ELSE 'neg' END AS role, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS s,
@@ -57,13 +55,19 @@ best AS (SELECT t.accession, t.method, t.s AS ts, t.e AS te, p.s AS ps, p.e AS p
   QUALIFY row_number() OVER (PARTITION BY t.accession, t.method, t.s, t.e ORDER BY CASE WHEN p.s IS NULL THEN 0 ELSE least(t.e, p.e) - greatest(t.s, p.s) + 1 END DESC, p.s, p.e) = 1)"""
 
 
+def by_method(spark, d, totals) -> DataFrame:
+    """(accession, method, ``totals``): the positive and negative intervals are swept once for all methods."""
+    return intervals.by_method(shared_intervals(spark, d), ALL_METHODS, totals)
+
+
 def _rates(spark, d):
-    return evaluate.rates(intervals.confusion(method_intervals(spark, d), BY))
+    return evaluate.rates(by_method(spark, d, intervals.CONFUSION))
 
 
 def _matches(spark, d):
-    rows = method_intervals(spark, d)
-    return intervals.best_overlap(rows.where("role = 'pos'"), rows.where("role = 'pred'"), BY)
+    rows = shared_intervals(spark, d)
+    preds = rows.where("role not in ('pos', 'neg')").withColumn("method", F.substring("role", 6, 1).cast("long"))
+    return intervals.best_overlap(rows.where("role = 'pos'"), preds, methods=ALL_METHODS)
 
 
 @query("q_report_main", f"WITH {_MC}, m AS (SELECT method, count(*) AS n, avg(p) AS p, avg(r) AS r, avg(f1) AS f1 FROM f GROUP BY method) SELECT method, n, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1_of_means FROM m")
@@ -94,10 +98,7 @@ def q_report_ablation(spark, d):
 
 @query("q_report_protocol", f"WITH {_MC} SELECT method, round(avg(100.0 * tp / nullif(tp + fp, 0)), 6) AS official, round(avg(100.0 * tp / nullif(called, 0)), 6) AS strict, round(avg(called / {SPAN}.0), 6) AS called FROM conf GROUP BY method")
 def q_report_protocol(spark, d):
-    seg = intervals.sweep(method_intervals(spark, d), ["pred", "pos", "neg"], BY)
-    n, p = F.col("end") - F.col("start") + 1, F.col("pred") > 0
-    total = lambda c: F.sum(F.when(c, n).otherwise(0))
-    each = seg.groupBy(*BY).agg(total(p & (F.col("pos") > 0)).alias("tp"), total(p & (F.col("neg") > 0)).alias("fp"), total(p).alias("called"))
+    each = by_method(spark, d, {"tp": lambda p, t, f: p & t, "fp": lambda p, t, f: p & f, "called": lambda p, t, f: p})
     tp, fp, called = F.col("tp"), F.col("fp"), F.col("called")
     return each.groupBy("method").agg(r6(F.avg(100 * F.try_divide(tp, tp + fp)), "official"), r6(F.avg(100 * F.try_divide(tp, called)), "strict"), r6(F.avg(called / F.lit(float(SPAN))), "called"))
 
@@ -105,10 +106,7 @@ def q_report_protocol(spark, d):
 @query("q_report_fractions", f"WITH {_MC}, s AS (SELECT accession, method, count(*) FILTER (WHERE pr) AS called, count(*) FILTER (WHERE po OR ne) AS scored, count(*) FILTER (WHERE pr AND (po OR ne)) AS hit FROM cell GROUP BY ALL) SELECT method, round(avg(100.0 * called / {SPAN}), 6) AS called, round(avg(100.0 * scored / {SPAN}), 6) AS scored, round(avg(100.0 * hit / nullif(called, 0)), 6) AS called_scored FROM s GROUP BY method")
 def q_report_fractions(spark, d):
     """What of a sequence is called, what is scored, and what of the called is."""
-    seg = intervals.sweep(method_intervals(spark, d), ["pred", "pos", "neg"], BY)
-    n, p, s = F.col("end") - F.col("start") + 1, F.col("pred") > 0, (F.col("pos") > 0) | (F.col("neg") > 0)
-    total = lambda c: F.sum(F.when(c, n).otherwise(0))
-    each = seg.groupBy(*BY).agg(total(p).alias("called"), total(s).alias("scored"), total(p & s).alias("both"))
+    each = by_method(spark, d, {"called": lambda p, t, f: p, "scored": lambda p, t, f: t | f, "both": lambda p, t, f: p & (t | f)})
     share = lambda c: r6(F.avg(100 * F.col(c) / F.lit(float(SPAN))), c)
     return each.groupBy("method").agg(share("called"), share("scored"), r6(F.avg(100 * F.try_divide("both", "called")), "called_scored"))
 
@@ -325,7 +323,8 @@ e AS (SELECT accession, method, unnest([abs(ps - ts), abs(pe - te)]) AS err FROM
 SELECT accession, method, n_pred, tp, fp, round(f.p, 6) AS precision, round(f.r, 6) AS recall, round(f1, 6) AS f1, n_matched, mabe FROM f JOIN np USING (accession, method) LEFT JOIN nm USING (accession, method) LEFT JOIN eb USING (accession, method)""")
 def q_report_cases(spark, d):
     """Each sequence and method: how many intervals are predicted, with what rates and boundary errors."""
-    n = method_intervals(spark, d).groupBy(*BY).agg(F.sum((F.col("role") == "pred").cast("long")).alias("n_pred"))
+    n = shared_intervals(spark, d).groupBy("accession").agg(*[F.sum((F.col("role") == f"pred_{m}").cast("long")).alias(str(m)) for m in ALL_METHODS])
+    n = n.select("accession", F.inline(F.array(*[F.struct(F.lit(m).cast("long").alias("method"), F.col(str(m)).alias("n_pred")) for m in ALL_METHODS])))
     edges = evaluate.boundary_summary(_matches(spark, d), BY).select(*BY, "n_matched", "mabe")
     rows = _rates(spark, d).join(n, BY).join(edges, BY, "left")
     return rows.select(*BY, "n_pred", F.col("TP").alias("tp"), F.col("FP").alias("fp"), *[r6(F.col(c), c) for c in ("precision", "recall", "f1")], "n_matched", "mabe")
@@ -351,7 +350,7 @@ def q_report_fidelity(spark, d):
     published = F.create_map(*[F.lit(x) for m, v in PUBLISHED.items() for x in (m, v)])[F.col("method").cast("int")]
     rows = means.withColumn("published", published).where("published is not null").withColumn("difference", F.col("f1") - F.col("published"))
     worst = rows.agg(F.max(F.abs("difference")).alias("worst"))
-    return rows.crossJoin(F.broadcast(worst)).select("method", *[r6(F.col(c), c) for c in ("precision", "recall", "f1")], "published", r6(F.col("difference"), "difference"), r6(F.col("worst"), "worst"))  # one row
+    return rows.crossJoin(F.broadcast(worst)).select("method", *[r6(F.col(c), c) for c in ("precision", "recall", "f1")], "published", r6(F.col("difference"), "difference"), r6(F.col("worst"), "worst"))
 
 
 @query("q_report_projection", f"WITH {_MB}, pr AS (SELECT accession, x.ps - x.ts AS a, y.ps - y.ts AS b, (x.ps - x.ts) - (y.ps - y.ts) AS d FROM best x JOIN best y USING (accession, ts, te) WHERE x.method = 1 AND y.method = 0 AND x.ps IS NOT NULL AND y.ps IS NOT NULL), {_signed_ranks('wilcox', 'WHERE d <> 0').replace('SELECT (SELECT count(*) FROM pr) AS n', 'SELECT (SELECT round(avg(a), 6) FROM pr) AS mean_start, (SELECT round(avg(d), 6) FROM pr) AS shift, (SELECT count(*) FROM pr) AS n')}")

@@ -79,3 +79,29 @@ def test_boundary_summary(spark):
     assert r.median_jaccard == pytest.approx((8 / 16 + 15 / 20) / 2)
     n = got["n"]
     assert n.n_matched == 0 and n.mabe is None and n.median_jaccard is None and n.within_2 is None
+
+
+def test_methods_in_one_sweep_equal_each_alone(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["p", "q", None]), rng.choice(["pred_0", "pred_1", "pos", "neg"]), s, s + rng.randrange(9)) for s in (rng.randrange(90) for _ in range(60))]
+    rows += [("alone", "pred_1", 3, 5), ("copies", "pos", 0, 9), ("copies", "pos", 0, 9), ("empty", "pos", 4, 3)]
+    df = spark.createDataFrame(rows, "accession string, role string, start long, end long")
+    got = intervals.by_method(df, [0, 1], intervals.CONFUSION)
+    want = set()
+    for m in (0, 1):
+        own = df.where(F.col("role").isin(f"pred_{m}", "pos", "neg")).withColumn("role", F.when(F.col("role").startswith("pred"), "pred").otherwise(F.col("role")))
+        want |= {(r.accession, m, r.TP, r.FN, r.FP, r.TN) for r in intervals.confusion(own).collect()}
+    assert {tuple(r) for r in got.select("accession", "method", "TP", "FN", "FP", "TN").collect()} == want and got.count() == len(want)
+    preds, truth = df.where("role like 'pred%'").withColumn("method", F.substring("role", 6, 1).cast("long")), df.where("role = 'pos'")
+    got = intervals.best_overlap(truth, preds, methods=[0, 1])
+    for m in (0, 1):
+        alone = intervals.best_overlap(truth, preds.where(F.col("method") == m))
+        assert sorted(map(str, got.where(F.col("method") == m).drop("method").collect())) == sorted(map(str, alone.collect()))
+
+
+def test_all_rows_of_a_scan_are_shuffled_once(spark):
+    """Borders are summed by position, then lie by piece; what else is shuffled has a row for each piece. No join."""
+    df = made(spark, (3, 9), (5, 12), (200_000, 200_004)).withColumn("role", F.lit("pos"))
+    plan = intervals.sweep(df, ["pos"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "piece_" in plan
+    assert spans(intervals.sweep(df, ["pos"])) == [(3, 4), (5, 9), (10, 12), (13, 199_999), (200_000, 200_004)]
