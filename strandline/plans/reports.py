@@ -87,7 +87,7 @@ _DIFFS = ", ".join(f"d{m} AS (SELECT round(a.f1 - b.f1, 9) AS d FROM f a JOIN f
 
 @query("q_report_ablation", f"WITH {_MC}, {_DIFFS} {_ABLATION}")
 def q_report_ablation(spark, d):
-    f1 = _rates(spark, d)
+    f1 = cut(_rates(spark, d).select(*BY, "f1"))  # each comparison reads it several times
     found = None
     for m in range(1, METHODS):  # the methods, not rows
         diffs = evaluate.paired(f1, "accession", "method", "f1", m, 0).withColumn("d", F.round("d", 9))
@@ -349,8 +349,8 @@ def q_report_fidelity(spark, d):
     means = _rates(spark, d).groupBy("method").agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
     published = F.create_map(*[F.lit(x) for m, v in PUBLISHED.items() for x in (m, v)])[F.col("method").cast("int")]
     rows = means.withColumn("published", published).where("published is not null").withColumn("difference", F.col("f1") - F.col("published"))
-    worst = rows.agg(F.max(F.abs("difference")).alias("worst"))
-    return rows.crossJoin(F.broadcast(worst)).select("method", *[r6(F.col(c), c) for c in ("precision", "recall", "f1")], "published", r6(F.col("difference"), "difference"), r6(F.col("worst"), "worst"))
+    worst = F.max(F.abs("difference")).over(Window.partitionBy())  # over a row for each method
+    return rows.withColumn("worst", worst).select("method", *[r6(F.col(c), c) for c in ("precision", "recall", "f1")], "published", r6(F.col("difference"), "difference"), r6(F.col("worst"), "worst"))
 
 
 @query("q_report_projection", f"WITH {_MB}, pr AS (SELECT accession, x.ps - x.ts AS a, y.ps - y.ts AS b, (x.ps - x.ts) - (y.ps - y.ts) AS d FROM best x JOIN best y USING (accession, ts, te) WHERE x.method = 1 AND y.method = 0 AND x.ps IS NOT NULL AND y.ps IS NOT NULL), {_signed_ranks('wilcox', 'WHERE d <> 0').replace('SELECT (SELECT count(*) FROM pr) AS n', 'SELECT (SELECT round(avg(a), 6) FROM pr) AS mean_start, (SELECT round(avg(d), 6) FROM pr) AS shift, (SELECT count(*) FROM pr) AS n')}")
@@ -404,7 +404,7 @@ def q_report_competitor(spark, d):
 @query("q_audit", f"WITH {_MC}, p AS (SELECT a.method, round(a.f1 - b.f1, 9) AS d FROM f a JOIN f b USING (accession) WHERE b.method = 0) SELECT method, round(avg(d), 6) AS mean_diff, round(avg(d), 2) = 0 AND count(*) FILTER (WHERE d <> 0) = 0 AS suspect FROM p GROUP BY method")
 def q_audit(spark, d):
     """All methods against method 0, itself among them: the comparison with itself is told by its difference and p-value."""
-    f1 = _rates(spark, d).select("accession", "method", "f1")
+    f1 = cut(_rates(spark, d).select("accession", "method", "f1"))
     base = f1.where("method = 0").select("accession", F.col("f1").alias("base"))
     diffs = f1.join(base, "accession").select("method", F.round(F.col("f1") - F.col("base"), 9).alias("d"))
     tests = diffs.groupBy("method").agg(F.avg("d").alias("mean_diff"), F.sum((F.col("d") > 0).cast("long")).alias("up"), F.sum((F.col("d") < 0).cast("long")).alias("down"))
