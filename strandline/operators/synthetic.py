@@ -6,7 +6,6 @@ the insert ``k`` (from 0, in order of offsets) of ``length`` positions goes in.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,32 +18,29 @@ def candidates(hosts: DataFrame, tile: int, edge: int, avoid: DataFrame | None =
     """(accession, offset): tile-aligned places of (accession, length) away from the edges and from the intervals ``avoid``."""
     last = F.floor((F.col("length") - edge) / tile) - 1
     first = edge // tile
-    rows = hosts.where(last >= first).select("accession", F.explode(F.transform(F.sequence(F.lit(first).cast("long"), last), lambda i: i * tile)).alias("pos"))
-    if avoid is not None:
-        wide = avoid.select("accession", (F.col("start") - margin).alias("start"), (F.col("end") + margin).alias("end"))
-        rows = intervals.points_inside(rows, wide).where("not inside")
-    return rows.select("accession", F.col("pos").alias("offset"))
+    rows = hosts.where(last >= first).select("accession", F.lit(first * tile).cast("long").alias("start"), (last * tile).cast("long").alias("end"))
+    if avoid is not None:  # intervals are cut, and places made of what is left
+        rows = intervals.subtract(rows, avoid.select("accession", (F.col("start") - margin).alias("start"), (F.col("end") + margin).alias("end")))
+    low, high = F.ceil(F.col("start") / tile), F.floor(F.col("end") / tile)
+    return rows.where(low <= high).select("accession", F.explode(F.transform(F.sequence(low, high), lambda i: i * tile)).alias("offset"))
 
 
-def place(places: DataFrame, n: int, separation: int, seed: int = 0) -> DataFrame:
+def place(places: DataFrame, n: int, separation: int, seed: int = 0, tile: int = 1) -> DataFrame:
     """``offsets`` of up to ``n`` candidates a host, in hash order, each at least ``separation`` from those before it.
 
-    The choice is sequential within a host; a task takes one host's candidates
-    (its length over the tile).
+    Candidates are multiples of ``tile``. A chosen one rules out a bounded number
+    of places, itself among them, so the first few of the hash order hold all
+    that can be chosen; only those come together, in one row of a host.
     """
-
-    def choose(f: pd.DataFrame) -> pd.DataFrame:
-        chosen: list[int] = []
-        for c in f.sort_values(["h", "offset"]).offset:
-            if len(chosen) == n:
-                break
-            if all(abs(c - p) >= separation for p in chosen):
-                chosen.append(int(c))
-        return pd.DataFrame({"accession": f.accession.iloc[0], "k": range(len(chosen)), "offset": sorted(chosen)})
-
-    kind = places.schema["accession"].dataType.simpleString()
+    most = (n - 1) * (2 * (-(-separation // tile)) - 1) + 1
     hashed = places.select("accession", "offset", F.xxhash64(F.lit(seed), "accession", "offset").alias("h"))
-    return hashed.groupBy("accession").applyInPandas(choose, f"accession {kind}, k long, offset long")
+    nth = F.dense_rank().over(Window.partitionBy("accession").orderBy("h", "offset"))
+    first = hashed.withColumn("nth_", nth).where(F.col("nth_") <= most)
+    own = first.groupBy("accession").agg(F.array_sort(F.collect_set(F.struct("h", "offset"))).alias("all_"))
+    free = lambda got, c: (F.size(got) < n) & ~F.exists(got, lambda p: F.abs(c["offset"] - p) < separation)
+    none = F.array().cast(f"array<{places.schema['offset'].dataType.simpleString()}>")
+    chosen = F.aggregate("all_", none, lambda got, c: F.when(free(got, c), F.concat(got, F.array(c["offset"]))).otherwise(got))
+    return own.select("accession", F.posexplode(F.array_sort(chosen)).alias("k", "offset")).select("accession", F.col("k").cast("long").alias("k"), F.col("offset").cast("long").alias("offset"))
 
 
 def donor_slots(donors: DataFrame, n: int, need: int, seed: int = 0) -> DataFrame:
@@ -116,7 +112,7 @@ def chimeras(tiles: DataFrame, grid: DataFrame, tile: int, need: int, n: int, ed
     sizes = tiles.groupBy("accession").agg(F.count("*").alias("tiles"))
     of = lambda side: grid.select("accession", F.col(side).alias("from_")).join(sizes.withColumnRenamed("accession", "from_"), "from_")
     hosts, donors = of("host"), of("donor")
-    offsets = place(candidates(hosts.select("accession", (F.col("tiles") * tile).alias("length")), tile, edge), n, separation)
+    offsets = place(candidates(hosts.select("accession", (F.col("tiles") * tile).alias("length")), tile, edge), n, separation, tile=tile)
     slots = donor_slots(donors.select("accession", "tiles"), n, need)
     own = lambda side: grid.select("accession", F.col(side).alias("from_")).join(tiles.withColumnRenamed("accession", "from_"), "from_").select("accession", "tile_idx", "vec")
     wanted = slots.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(need - 1).cast("long")))).select("accession", "k", "nth", (F.col("first_tile") + F.col("nth")).alias("tile_idx"))

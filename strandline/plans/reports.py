@@ -186,6 +186,12 @@ def hosts(spark, d) -> DataFrame:
     return rows.where(F.col("length") >= 4 * EDGE)
 
 
+def host_lengths(spark, d) -> DataFrame:
+    """(accession, length) of :func:`hosts`, written once: a sequence has as many letters as its text, so none is translated."""
+    rows = read(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("accession"), F.length("text").cast("long").alias("length"))
+    return cut(rows.where(F.col("length") >= 4 * EDGE))
+
+
 def quarters(found: DataFrame) -> DataFrame:
     """Offsets at the last tile's start before each quarter: a placement without hashes, so that SQL can follow it."""
     k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("k")
@@ -242,7 +248,7 @@ def q_chimera_tiles(spark, d):
 
 @query("q_negative_regions", f'WITH {_OFFSETS}, iv AS (SELECT accession, o + k * {INSERT} - {FLANK} AS s, o + k * {INSERT} + {INSERT - 1 + FLANK} AS e FROM offs UNION ALL SELECT accession, length // 3 + {INSERT} * count(*) FILTER (WHERE o <= length // 3), 2 * length // 3 + {INSERT} * count(*) FILTER (WHERE o <= 2 * length // 3) FROM offs GROUP BY accession, length), m AS (SELECT *, max(e) OVER (PARTITION BY accession ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv), gaps AS (SELECT accession, coalesce(reach + 1, 0) AS start, s - 1 AS "end" FROM m WHERE s > coalesce(reach + 1, 0) UNION ALL SELECT accession, max(e) + 1, max(length) + {3 * INSERT} - 1 FROM iv JOIN hosts USING (accession) GROUP BY accession) SELECT * FROM gaps WHERE "end" >= start')
 def q_negative_regions(spark, d):
-    h = hosts(spark, d).select("accession", "length")
+    h = host_lengths(spark, d)
     offsets = quarters(h)
     lengths = h.select("accession", (F.col("length") + 3 * INSERT).alias("length"))
     return synthetic.negative_regions(synthetic.inserts(offsets, INSERT), synthetic.shifted(_third(h), offsets, INSERT), lengths, FLANK)
@@ -251,9 +257,9 @@ def q_negative_regions(spark, d):
 @query("q_chimera_placed")
 def q_chimera_placed(spark, d):
     """Inserts placed in hash order, away from the edges and the middle third, and from each other."""
-    h = hosts(spark, d).select("accession", "length")
+    h = host_lengths(spark, d)
     places = synthetic.candidates(h, TILE, EDGE, _third(h), FLANK)
-    return synthetic.inserts(synthetic.place(places, 3, 5 * TILE), INSERT)
+    return synthetic.inserts(synthetic.place(places, 3, 5 * TILE, tile=TILE), INSERT)
 
 
 @query("q_fasta", f"""WITH {_SEQ}, c AS (SELECT doc_id, '>' || doc_id || chr(10) || regexp_replace(seq, '[^\\x00-\\x7F]', 'N', 'g') AS content FROM seqs),
