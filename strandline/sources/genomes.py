@@ -75,15 +75,14 @@ def feature_table(rows: DataFrame) -> DataFrame:
     opens = F.col("line").rlike(head)
     product = F.when(F.col("line").startswith("\t\t\t"), F.regexp_extract("line", r"^\t\t\tproduct\t(.*)$", 1))
     named = F.when(F.col("line").rlike(r"^\t\t\tproduct\t"), product)
-    so_far = Window.partitionBy("accession").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    cut = rows.select("accession", "line_no", opens.alias("opens"), *[F.when(opens, at(i)).alias(n) for i, n in ((1, "a"), (2, "b"), (3, "kind"))], named.alias("product"))
-    grouped = cut.withColumn("record", F.sum(F.col("opens").cast("long")).over(so_far)).where("record > 0")
-    found = grouped.groupBy("accession", "record").agg(
-        *[F.max(c).alias(c) for c in ("a", "b", "kind")],
-        F.max_by("product", F.when(F.col("product").isNotNull(), F.col("line_no"))).alias("product"),
-    )
-    a, b = F.col("a").cast("long"), F.col("b").cast("long")
-    return found.where("kind = 'CDS'").select("accession", F.least(a, b).alias("start"), F.greatest(a, b).alias("end"), F.coalesce("product", F.lit("")).alias("product"))
+    line = Window.partitionBy("accession").orderBy("line_no")
+    head_of = F.when(opens, F.struct(at(1).cast("long").alias("a"), at(2).cast("long").alias("b"), (at(3) == "CDS").alias("is_cds")))
+    # only lines that open a record or name a product decide; a record's product is in the last of them
+    cut = rows.where(opens | named.isNotNull()).select("accession", "line_no", head_of.alias("head"), named.alias("product"))
+    ends = cut.withColumns({"of": F.last("head", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)), "more": F.lead(F.col("head").isNull()).over(line)})
+    a, b = F.col("of.a"), F.col("of.b")
+    found = ends.where("not coalesce(more, false) and of.is_cds")
+    return found.select("accession", F.least(a, b).alias("start"), F.greatest(a, b).alias("end"), F.coalesce("product", F.lit("")).alias("product"))
 
 
 def protein_table(rows: DataFrame) -> DataFrame:

@@ -187,3 +187,25 @@ def test_fasta_in_byte_ranges(spark, tmp_path, end):
         own = [r for r in rows if r.accession == a]
         assert "".join(r.seq for r in own) == seq and all(seq.startswith(r.seq, r.offset) for r in own)
         assert [(r.offset, r.seq) for r in chunks if r.accession == a] == [(i, seq[i : i + 107]) for i in range(0, len(seq), 100)]
+
+
+def test_placement_takes_a_bounded_number_of_candidates(spark):
+    """The choice equals a plain one over all candidates of a host, in hash order, and no Python sees a host's candidates."""
+    hosts = spark.createDataFrame([("a", 3000), ("b", 900), ("b", 900), (None, 500), ("c", 40)], "accession string, length long")
+    avoid = spark.createDataFrame([("a", 1000, 1400), ("b", 0, 5000)], "accession string, start long, end long")
+    for places in (synthetic.candidates(hosts, 10, 100), synthetic.candidates(hosts, 10, 100, avoid, 50)):
+        got = synthetic.place(places, 4, 70, 7, tile=10)
+        assert "Pandas" not in got._jdf.queryExecution().executedPlan().toString()
+        want = {}
+        for a, o, _ in sorted(places.select("accession", "offset", F.xxhash64(F.lit(7), "accession", "offset").alias("h")).collect(), key=lambda r: (r.h, r.offset)):
+            own = want.setdefault(a, [])
+            if len(own) < 4 and all(abs(o - p) >= 70 for p in own):
+                own.append(o)
+        assert {tuple(r) for r in got.collect()} == {(a, k, o) for a, own in want.items() for k, o in enumerate(sorted(own))}
+
+
+def test_feature_table_sorts_once(spark):
+    text = "\t\t\tproduct\tbefore\n1\t2\tCDS\n3\t4\tCDS\nnote\n\t\t\tproduct\tx\nnote\n9\t8\tgene\n\t\t\tproduct\tno\n5\t6\tCDS\n\t\t\tproduct\t\n"
+    got = genomes.feature_table(genomes.lines(spark.createDataFrame([("a", text)], "accession string, content string")))
+    assert rows(got, "start") == [("a", 1, 2, ""), ("a", 3, 4, "x"), ("a", 5, 6, "")]
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
