@@ -330,6 +330,40 @@ def test_latent_is_not_lexical():
     assert cosines[0, 1] > 0.9 and abs(cosines[0, 2]) < 0.3
 
 
+def test_leak_search_counts_before_python(monkeypatch):
+    """What a candidate's surroundings hold of its item is counted in arrays, as sets would; only what may be a hit is looked at alone."""
+    rng = random.Random(25)
+    df, n = np.full(decontaminate.WORDS, 3), 100
+    idf = decontaminate.weights(df, n)
+    q = np.linalg.qr(np.random.default_rng(3).standard_normal((decontaminate.WORDS, 8)))[0].astype(np.float32)
+    for name in ("COSINE", "SHARE"):  # every passage is a candidate
+        monkeypatch.setattr(decontaminate, name, -1.0)
+    rows = [(i, prose(rng, m, 12), answer) for i, (m, answer) in enumerate([(16, None), (48, "ranva3 mo1"), (150, None), (1, None)])]
+    items = decontaminate.Items(rows, idf, decontaminate.usual_square(df, idf), q * idf[:, None])
+    texts = ["", *(prose(rng, m, 12) for m in (1, 15, 16, 17, 48, 900)), "same " * 40, f"{prose(rng, 30, 12)} {rows[0][1]} {rows[2][1]} {rows[0][1]}"]
+    h, at = word_hashes(texts)
+    p = decontaminate.Passages(h, at, idf, q * idf[:, None])
+    blocks = [np.unique(decontaminate.buckets(h[low : min(low + 16, high)])) for low0, high in itertools.pairwise(at) for low in range(low0, high, 16)]
+    assert len(p.sums) == len(blocks)
+    for i, text in enumerate(p.text):
+        want = sum((q * idf[:, None])[b].sum(axis=0) for b, t in zip(blocks[i : i + 3], p.text[i : i + 3]) if t == text)
+        assert np.allclose(p.sums[i], want, atol=1e-4)
+    low = np.array([rng.randrange(len(h) + 1) for _ in range(200)])
+    high, item = np.minimum(low + 90, len(h)), np.array([rng.randrange(4) for _ in range(200)])
+    for most in (1, decontaminate.SEEN):
+        monkeypatch.setattr(decontaminate, "SEEN", most)
+        words, answers = items.having(items.places(h), low, high, item)
+        around = [set(h[a:b].tolist()) for a, b in zip(low, high, strict=True)]
+        assert words.tolist() == [sum(w in x for w in items.words[i]) for x, i in zip(around, item, strict=True)]
+        assert answers.tolist() == [len(items.keys[i] & x) for x, i in zip(around, item, strict=True)]
+    made = []
+    monkeypatch.setattr(decontaminate, "set", lambda *x: made.append(x) or set(*x), raising=False)
+    got = items.found(h, at, idf, q * idf[:, None])
+    assert {(8, 0): 16, (8, 2): 150}.items() <= {k: v[0] for k, v in got.items()}.items()
+    near = sum(len(c[0]) for c in items.candidates(p.sums, p.length))
+    assert near > 40 and len(made) < near / 4
+
+
 def test_leaks_in_batches(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BATCH", 4)
     monkeypatch.setattr(decontaminate, "STRIPE", 3)
