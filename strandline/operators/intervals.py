@@ -13,15 +13,22 @@ KEYS = ["accession"]
 def sweep(intervals: DataFrame, roles: list[str], keys: list[str] = KEYS) -> DataFrame:
     """Segments (keys, start, end) between neighbouring borders, with how many intervals of each role cover them.
 
-    ``intervals`` has a column ``role``. Borders are summed by position before
-    the window, so copies of an interval cost one row for each task.
+    ``intervals`` has a column ``role``. Copies of an interval are counted first, and cost one row for each task. An
+    interval is dealt to its piece as it is, or as its two borders where they lie in two pieces; the borders of a piece
+    are made and summed by position where they are scanned.
     """
-    count = F.lit(1).cast("long")
-    borders = F.array(F.struct(F.col("start").alias("pos"), count.alias("d")), F.struct((F.col("end") + 1).alias("pos"), (-count).alias("d")))
-    rows = intervals.where("end >= start").select(*keys, "role", F.inline(borders))
-    at = rows.groupBy(*keys, "pos").agg(*[F.sum(F.when(F.col("role") == r, F.col("d")).otherwise(0)).alias(f"d_{r}") for r in roles])
+    which = F.coalesce(*[F.when(F.col("role") == r, F.lit(i)) for i, r in enumerate(roles)], F.lit(-1)).cast("byte")
+    rows = intervals.where("end >= start").select(*keys, which.alias("role_"), "start", (F.col("end") + 1).alias("stop_")).groupBy(*keys, "role_", "start", "stop_").agg(F.count("*").alias("m_"))
+    first, last = scans.piece_of("start"), scans.piece_of("stop_")
+    whole = F.struct(first.alias("piece_"), F.col("start").alias("open_"), F.when(first == last, F.col("stop_")).alias("close_"))
+    rest = F.struct(last.alias("piece_"), F.when(F.lit(False), F.col("start")).alias("open_"), F.when(first != last, F.col("stop_")).alias("close_"))
+    rows = scans.dealt(rows.select(*keys, "role_", "m_", F.inline(F.array(whole, rest))).where("open_ is not null or close_ is not null"), keys, fixed=True)
+    change = F.when(F.col("open_").isNotNull(), F.col("m_")).otherwise(0) - F.when(F.col("close_").isNotNull(), F.col("m_")).otherwise(0)
+    totals = rows.groupBy(*keys, "piece_").agg(*[F.sum(F.when(F.col("role_") == i, change).otherwise(0)).alias(f"v_n_{r}") for i, r in enumerate(roles)], F.min(F.coalesce("open_", "close_")).alias("first_"))
+    borders = F.array(F.struct(F.col("open_").alias("pos"), F.col("m_").alias("d")), F.struct(F.col("close_").alias("pos"), (-F.col("m_")).alias("d")))
+    at = rows.select(*keys, "piece_", "role_", F.inline(borders)).where("pos is not null").groupBy(*keys, "piece_", "pos").agg(*[F.sum(F.when(F.col("role_") == i, F.col("d")).otherwise(0)).alias(f"d_{r}") for i, r in enumerate(roles)])
     made = {f"n_{r}": ("sum", f"d_{r}", 0) for r in roles}
-    out = scans.scanned(scans.pieces(at, "pos"), keys, "pos", ["pos"], made, "next_pos_").where("next_pos_ is not null")
+    out = scans.scanned(at, keys, "pos", ["pos"], made, "next_pos_", totals).where("next_pos_ is not null")
     return out.select(*keys, F.col("pos").alias("start"), (F.col("next_pos_") - 1).alias("end"), *[F.col(f"n_{r}").alias(r) for r in roles])
 
 

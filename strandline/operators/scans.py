@@ -40,31 +40,41 @@ def pieces(rows: DataFrame, at: str, span: int | None = None) -> DataFrame:
     return rows.withColumn("piece_", piece_of(at, span))
 
 
+def dealt(rows: DataFrame, keys: list[str], fixed: bool = False) -> DataFrame:
+    """``rows``, with :func:`pieces`, shuffled so that each piece lies in one task; ``fixed``: as many tasks as the session's
+    shuffle partitions, not fewer by the rows' size, for rows that more are made of."""
+    n = [int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))] if fixed else []
+    return rows.repartition(*n, *keys, "piece_")
+
+
 def ranges(rows: DataFrame, order: str) -> DataFrame:
     """``rows`` written in ranges of ``order``, as many as the session's shuffle partitions, numbered as ``piece_``: for scans without keys."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return cut(rows.repartitionByRange(n, order).withColumn("piece_", F.spark_partition_id()))
 
 
-def scanned(rows: DataFrame, keys: list[str], at: str, order: list, made: dict[str, tuple], follows: str | None = None) -> DataFrame:
+def scanned(rows: DataFrame, keys: list[str], at: str, order: list, made: dict[str, tuple], follows: str | None = None, totals: DataFrame | None = None) -> DataFrame:
     """``rows``, with :func:`pieces`, and running values along ``order`` within ``keys``; ``order`` must begin with ``at``, and part all rows.
 
     ``made``: for each new column (summary, column, rows before), the summary one
     of sum, max and min, and whether the row itself is left out (1) or not (0).
     ``follows``: name for the next position of the same ``keys``, null at the
-    end. Nulls count for nothing; keys may be null.
+    end. Nulls count for nothing; keys may be null. ``totals``: where the rows were made piece by piece of
+    :func:`dealt` ones (``fixed``) and need no shuffle, each piece's summaries (keys, piece_, v_<new column>) and first position (first_).
     """
     inside = Window.partitionBy(*keys, "piece_").orderBy("head_", *order)
     line = Window.partitionBy(*keys).orderBy("piece_")  # over a row for each piece
-    rows = rows.repartition(*keys, "piece_")  # the one shuffle of all rows: what follows needs them so
-    totals = rows.groupBy(*keys, "piece_").agg(*[_SUMMARY[f](c).alias(f"v_{n}") for n, (f, c, _) in made.items()], F.min(at).alias("first_"))
+    fixed = totals is not None
+    rows = rows if fixed else dealt(rows, keys)  # the one shuffle of all rows: what follows needs them so
+    totals = totals if fixed else rows.groupBy(*keys, "piece_").agg(*[_SUMMARY[f](c).alias(f"v_{n}") for n, (f, c, _) in made.items()], F.min(at).alias("first_"))
     kind = {n: totals.schema[f"v_{n}"].dataType for n in made}
     # a head's value stands in the column that is summed, if that one is of the sum's kind and of no other use
     used = [c for _, c, _ in made.values()]
     held = {n: c if used.count(c) == 1 and rows.schema[c].dataType == kind[n] and c not in [*keys, at, *order] else f"v_{n}" for n, (_, c, _) in made.items()}
     ahead = [_SUMMARY[f](f"v_{n}").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias(f"v_{n}") for n, (f, _, _) in made.items()]
     heads = totals.select(*keys, "piece_", *ahead, F.lead("first_").over(line).alias("after_"), F.lag("first_").over(line).alias("before_"), F.lit(0).alias("head_"))
-    heads = heads.where("after_ is not null or before_ is not null").drop("before_").repartition(*keys, "piece_")  # none of a series in one piece
+    heads = heads.where("after_ is not null or before_ is not null").drop("before_")
+    heads = dealt(heads, keys, fixed)  # none of a series in one piece
     own = rows.withColumns({**{v: F.col(made[n][1]).cast(kind[n]) for n, v in held.items() if v not in rows.columns}, "after_": F.lit(None).cast(rows.schema[at].dataType), "head_": F.lit(1)})
     r = own.unionByName(heads.withColumnsRenamed({f"v_{n}": v for n, v in held.items()}), allowMissingColumns=True)
     new = [_SUMMARY[f](held[n]).over(inside.rowsBetween(Window.unboundedPreceding, -1 if left_out else 0)).cast(kind[n]).alias(n) for n, (f, _, left_out) in made.items()]

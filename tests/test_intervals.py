@@ -105,3 +105,21 @@ def test_all_rows_of_a_scan_are_shuffled_once(spark):
     plan = intervals.sweep(df, ["pos"])._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "piece_" in plan
     assert spans(intervals.sweep(df, ["pos"])) == [(3, 4), (5, 9), (10, 12), (13, 199_999), (200_000, 200_004)]
+
+
+def test_sweep_deals_intervals_not_borders(spark, monkeypatch):
+    """Copies are counted before, and borders made after the shuffles; intervals that reach over several pieces, and roles of no count, part segments as before."""
+    monkeypatch.setattr(intervals.scans, "PIECE", 16)
+    rng = random.Random(31)
+    rows = [(a, r, s, s + rng.choice((0, 3, 15, 16, 70))) for a in ("s", None) for r in ("a", "b", "other", None) for s in (rng.randrange(-20, 120) for _ in range(12))]
+    rows += [("s", "a", 15, 15)] * 40 + [("one", "b", 31, 31), ("s", "a", 9, 8)]
+    got = intervals.sweep(spark.createDataFrame(rows, "accession string, role string, start long, end long"), ["a", "b"])
+    want = []
+    for series in ("s", None, "one"):
+        own = [x for x in rows if x[0] == series and x[3] >= x[2]]
+        at = sorted({p for x in own for p in (x[2], x[3] + 1)})
+        want += [(series, p, q - 1, *(sum(x[1] == r and x[2] <= p <= x[3] for x in own) for r in ("a", "b"))) for p, q in zip(at, at[1:])]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    lines = got._jdf.queryExecution().executedPlan().toString().split("\n")
+    dealt = [x for x in lines if "Exchange hashpartitioning" in x]
+    assert dealt and not any("pos#" in x for x in dealt)
