@@ -13,6 +13,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,16 +66,16 @@ def _kmer_ids(codes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np
     return places, ids[places]
 
 
-def _slices(texts: list, most: int) -> Iterator[tuple[int, int]]:
+def _slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Texts of about ``most`` characters at a time, as (first, last + 1)."""
     low = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, n in enumerate(lengths):
+        size += n
         if size >= most:
             yield low, i + 1
             low, size = i + 1, 0
-    if low < len(texts):
-        yield low, len(texts)
+    if low < len(lengths):
+        yield low, len(lengths)
 
 
 def _in_batches(rows: DataFrame, seq: str, keys: list[str], made: str, run, most: int | None = None) -> DataFrame:
@@ -82,10 +83,10 @@ def _in_batches(rows: DataFrame, seq: str, keys: list[str], made: str, run, most
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(seq)).to_pylist()
+            texts = batch.column(batch.schema.get_field_index(seq))  # as strings only a slice at a time, which take up to four bytes a character
             held = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names if c != seq}
-            for low, high in _slices(texts, min(most or AT_ONCE, AT_ONCE)):
-                which, columns = run({c: v[low:high] for c, v in held.items()}, texts[low:high])
+            for low, high in _slices(pc.utf8_length(texts).to_pylist(), min(most or AT_ONCE, AT_ONCE)):
+                which, columns = run({c: v[low:high] for c, v in held.items()}, texts[low:high].to_pylist())
                 if len(which):
                     own = [held[c].take(pa.array(which + low)) for c in keys]
                     yield pa.RecordBatch.from_arrays([*own, *columns.values()], names=[*keys, *columns])

@@ -1,7 +1,10 @@
 import collections
 import math
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +114,32 @@ def test_composition_distances(spark):
     assert r.cosine == pytest.approx(1 - 0.125 / (math.sqrt(0.625) * math.sqrt(0.5)))
     n = spark.createDataFrame([("u", 1, 1, 1, 1), ("u", 3, 1, 0, 0), ("v", 0, 0, 2, 1)], "name string, A long, T long, C long, G long")
     assert S.gc_difference(n, "u", "v").first()[0] == pytest.approx(0.75)
+
+
+def test_texts_of_a_batch_become_strings_a_slice_at_a_time(spark):
+    """Python holds the strings of a slice, not of the whole Arrow batch."""
+    rows = spark.createDataFrame([], "k long, s string")
+    text = random_bases(1, 20_000) + "\U0001f9ec"  # four bytes a character as a string
+    batch = pa.RecordBatch.from_pydict({"k": list(range(400)), "s": [text] * 400})
+
+    class Rows:
+        schema = rows.schema
+
+        def where(self, _):
+            return self
+
+        def mapInArrow(self, over, _):
+            return over(iter([batch]))
+
+    seen = []
+
+    def run(columns, texts):
+        seen.extend(zip(columns["k"].to_pylist(), map(len, texts), strict=True))
+        return np.arange(len(texts)), {"n": pa.array(list(map(len, texts)))}
+
+    tracemalloc.start()
+    got = [b.num_rows for b in S._in_batches(Rows(), "s", ["k"], "n long", run)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(got) == 400 and seen == [(i, len(text)) for i in range(400)] and max(got) <= -(-S.AT_ONCE // len(text))
+    assert peak < 8 * S.AT_ONCE < 400 * len(text)
