@@ -37,6 +37,10 @@ _GAPS = np.ones(256, bool)
 for _low, _high in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
     _GAPS[_low : _high + 1] = False
 
+#: The writer holds a row group, a reader a batch of its rows, and neither looks at bytes before a hundred rows: a row group for each shard.
+#: Without statistics, as those of a binary column keep its least and greatest value, a shard's, until the file is closed.
+_ALONE = {"parquet.block.row.count.limit": "1", "parquet.column.statistics.enabled": "false", "parquet.enable.dictionary": "false"}
+
 _INDEX = "n_docs long, n_terms long, ids binary, no_id binary, sizes binary, terms binary, ends binary, docs binary, counts binary, most binary, least binary"
 
 
@@ -72,7 +76,7 @@ def _build(batches):
 def build_index(docs: DataFrame) -> DataFrame:
     """The written index of ``docs`` (doc_id, text): every row with a text, whole texts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    return cut(rows.mapInArrow(_build, _INDEX))
+    return cut(rows.mapInArrow(_build, _INDEX), _ALONE)
 
 
 def _frequencies(shared):

@@ -3,7 +3,9 @@ import math
 import random
 import re
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.llm import ranking
 
@@ -55,3 +57,12 @@ def test_ranking_of_empty_tables(spark):
     assert ranking.rank_documents(ranking.build_index(blank), items).count() == 0
     some = ranking.build_index(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))
     assert ranking.rank_documents(some, items.limit(0)).count() == 0
+
+
+def test_index_is_held_a_shard_at_a_time(spark):
+    """A row group is held as a whole, by its writer and by a reader; it must not be all shards of a task."""
+    docs = spark.range(0, 4, 1, 1).select(F.col("id").alias("doc_id"), F.expr(f"repeat('a b ', {ranking.SHARD // 4})").alias("text"))
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in ranking.build_index(docs).inputFiles()]
+    groups = [f.row_group(i) for f in files for i in range(f.num_row_groups)]
+    assert [g.num_rows for g in groups] == [1] * 4
+    assert not any(g.column(i).is_stats_set for g in groups for i in range(g.num_columns))
