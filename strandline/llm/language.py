@@ -32,7 +32,9 @@ def _letters() -> np.ndarray:
 
 
 def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes and their counts of several such pairs."""
+    """Distinct codes and their counts of several such pairs, or of none."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     codes, where = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
     return codes, np.bincount(where, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
 

@@ -196,6 +196,16 @@ def test_language_equals_brute_force(spark, monkeypatch):
         assert all((a == b).all() for a, b in zip(language.ngrams(texts[2][1] * 3), whole, strict=True))
 
 
+def test_language_learns_beside_empty_texts(spark):
+    texts = ["ab ba aab", "", "", "ba ab", "\n ", "½"]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(zip(texts, "xxyxzz", strict=True))], "doc_id long, text string, lang string")
+    assert language.learn(docs) == language.learn(docs.where("doc_id in (0, 3)")) != []
+    assert language.learn(docs.where("text = ''")) == []
+    got = language.language_of(docs.union(docs.selectExpr("doc_id + 10", "text", "lang"))).select("doc_id", "language.*").collect()
+    assert {r.doc_id % 10 for r in got if r.lang_pred == "und"} == {1, 2, 4, 5} and len(got) == 12
+    assert all(r.lang_pred == "x" for r in got if r.doc_id % 10 in (0, 3))
+
+
 def test_leaks_are_found(spark, hard, empty):
     rng = random.Random(6)
     items = [(i, prose(rng, rng.randrange(16, 60), 900)) for i in range(12)] + [(98, None), (99, "")]
