@@ -683,6 +683,13 @@ def test_stage_language(spark, rough):
     assert got.columns == rough.columns and tuples(got) == collections.Counter({r: n for r, n in tuples(rough).items() if r[1] and re.search("[^\\W\\d_]", r[1].replace("½", ""))})
 
 
+def test_stage_language_beside_empty_texts(spark, rough):
+    """Empty texts of rows that teach drop out; the others stay as they would without them."""
+    empty = spark.createDataFrame([(i, t, "en", "a", 0, 0.5, i, "k", 7, "l") for i in range(60, 72) for t in ("", " ", None)], rough.schema)
+    got = corpus_pipeline.identify_language(spark, rough.union(empty), DATA)
+    assert tuples(got) == tuples(corpus_pipeline.identify_language(spark, rough, DATA))
+
+
 def test_stage_near_duplicates(spark, rough):
     rows = rough.collect()
     groups = components(list(enumerate(r.text for r in rows)))
