@@ -374,6 +374,49 @@ def test_leak_search_counts_before_python(monkeypatch):
     assert near > 40 and len(made) < near / 4
 
 
+def test_leak_basis_of_all_documents(spark, monkeypatch):
+    """All passages of all documents shape the basis, whatever their keys: their products, as NumPy makes them, are what its rounds add up."""
+    rng = random.Random(26)
+    texts = [prose(rng, rng.choice((3, 16, 50, 200, 700)), 400) for _ in range(60)] + ["", "same " * 500] + [prose(rng, 3, 400) for _ in range(4000)]
+    docs = spark.createDataFrame([(4, t) for t in texts], "doc_id long, text string").repartition(3)
+    items = [(i, prose(rng, 30, 400)) for i in range(5)]
+    seen = []
+    whole = decontaminate.latent_basis
+    monkeypatch.setattr(decontaminate, "latent_basis", lambda *a: seen.append((a, whole(*a))) or seen[0][1])
+    decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string"))
+    (_, idf, rank, *_), got = seen[0]
+    q = decontaminate._orthonormal(np.random.default_rng(5).standard_normal((decontaminate.WORDS, rank), np.float32))
+    used = np.unique(decontaminate.buckets(word_hashes([*texts, *(t for _, t in items)])[0]))
+    for _ in range(decontaminate.ROUNDS):
+        parts = []
+        for some in (texts, [t for _, t in items]):
+            rows = []
+            for t in some:
+                b = decontaminate.buckets(word_hashes([t])[0])
+                for low in range(0, len(b), 16):
+                    if low == 0 or low + 48 <= len(b):
+                        v = np.zeros(len(used))
+                        for i in range(low, min(low + 48, len(b)), 16):
+                            v[np.searchsorted(used, np.unique(b[i : i + 16]))] += 1  # a word counts once in a block
+                        length = np.sqrt(sum((idf[np.unique(b[i : i + 16])] ** 2).sum() for i in range(low, min(low + 48, len(b)), 16)))
+                        rows.append(v * idf[used] / length)
+            z = np.zeros(q.shape)
+            z[used] = np.array(rows).T @ (np.array(rows) @ q[used])
+            parts.append(z / np.sqrt(np.linalg.eigvalsh(z.T @ z)[-1]))
+        q = decontaminate._orthonormal(sum(parts).astype(np.float32))
+    strong = np.linalg.svd(q.T @ got, compute_uv=False)
+    assert strong.min() > 0.99
+
+
+def test_short_leaks_among_heavier_words(spark):
+    """Items of two words, so few that the space holds them all, in passages whose other words outweigh them."""
+    rng = random.Random(27)
+    items = [(i, prose(rng, 2, 900)) for i in range(6)]
+    rows = [(i, f"{prose(rng, 150, 9000)} {items[i % 6][1]} {prose(rng, 150, 9000)}") for i in range(120)]
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(i, i % 6) for i, _ in rows} <= {(r.doc_id, r.item_id) for r in got.collect()}
+
+
 def test_leaks_in_batches(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BATCH", 4)
     monkeypatch.setattr(decontaminate, "STRIPE", 3)
