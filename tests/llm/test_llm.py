@@ -752,6 +752,15 @@ def test_stage_decontamination(spark, rough):
     assert got.columns == rough.columns and tuples(got) == tuples(rough)
 
 
+def test_stage_decontamination_by_items_without_id(spark, rough, tmp_path):
+    rng = random.Random(31)
+    items = [(None, prose(rng, 30, 900)), (None, prose(rng, 40, 900)), (1, prose(rng, 30, 900)), (None, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leaky = [(i, f"{prose(rng, 30, 900)} {t} and more", "en", "a", 1, 0.5, 200, "k", 7, "l") for i, (_, t) in enumerate(items[:3], 80)]
+    got = corpus_pipeline.drop_benchmark_leaks(spark, rough.union(spark.createDataFrame(leaky, rough.schema)), str(tmp_path))
+    assert tuples(got) == tuples(rough)
+
+
 def test_stage_mixing(spark, rough):
     got = corpus_pipeline.mix_sources(spark, rough, DATA)
     assert got.columns == rough.columns
